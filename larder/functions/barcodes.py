@@ -8,27 +8,34 @@ PLAIN_DIGITS = 14
 GROUP_SEPARATOR = "\x1d"
 
 
-def check_digit(body):
-    """GS1 check digit of a digit string; weights 3,1,3,1... from the right."""
-    number = body.try_cast("bigint")
-    total = sum(
-        (F.floor(number / float(10**i)) % 10) * (3 if i % 2 == 0 else 1) for i in range(PLAIN_DIGITS)
+def _weighted_sum(digits, even, odd):
+    """Sum of digits times weights by position from the right."""
+    number = digits.try_cast("bigint")
+    plain = sum(
+        (F.floor(number / float(10**i)) % 10) * (even if i % 2 == 0 else odd) for i in range(PLAIN_DIGITS)
     )
-    digits = F.filter(F.split(F.reverse(body), ""), lambda d: d != "")
     longer = F.aggregate(
-        F.transform(digits, lambda d, i: d.try_cast("bigint") * F.when(i % 2 == 0, 3).otherwise(1)),
+        F.transform(
+            F.filter(F.split(F.reverse(digits), ""), lambda d: d != ""),
+            lambda d, i: d.try_cast("bigint") * F.when(i % 2 == 0, even).otherwise(odd),
+        ),
         F.lit(0).cast("bigint"),
         lambda a, b: a + b,
     )
-    weighted = F.when(F.length(body) <= PLAIN_DIGITS, total).otherwise(longer)
-    return F.when(body.rlike("^[0-9]+$"), ((10 - weighted % 10) % 10).cast("int"))
+    return F.when(F.length(digits) <= PLAIN_DIGITS, plain).otherwise(longer)
+
+
+def check_digit(body):
+    """GS1 check digit of a digit string; weights 3,1,3,1... from the right."""
+    return F.when(body.rlike("^[0-9]+$"), ((10 - _weighted_sum(body, 3, 1) % 10) % 10).cast("int"))
 
 
 def has_valid_check_digit(code):
-    """At least 8 ASCII digits whose last one is the check digit; never null."""
-    body = F.substring(code, F.lit(1), F.length(code) - 1)
-    matches = check_digit(body).cast("string") == F.right(code, F.lit(1))
-    return F.coalesce(F.when(code.rlike("^[0-9]{8,}$"), matches), F.lit(False))
+    """At least 8 ASCII digits whose weighted sum, check digit included, is a multiple of ten.
+
+    Never null.
+    """
+    return F.coalesce(code.rlike("^[0-9]{8,}$") & (_weighted_sum(code, 1, 3) % 10 == 0), F.lit(False))
 
 
 def normalize_gtin(code):
@@ -84,20 +91,20 @@ def scanned_gtin(raw):
     return F.coalesce(normalize_gtin(text), _element_string_gtin(text))
 
 
-def scan_kind(raw):
-    """Product, Empty, BadCheckDigit or NotAProduct."""
+def scan_kind(raw, gtin=None):
+    """Product, Empty, BadCheckDigit or NotAProduct.  gtin is the scanned key when known."""
     text = strip(raw)
+    found = scanned_gtin(raw) if gtin is None else gtin
     return (
-        F.when(text.isNull() | (text == ""), "Empty")
-        .when(scanned_gtin(raw).isNotNull(), "Product")
+        F.when(found.isNotNull(), "Product")
+        .when(text.isNull() | (text == ""), "Empty")
         .when(text.rlike("^[0-9]{8,14}$"), "BadCheckDigit")
         .otherwise("NotAProduct")
     )
 
 
-def scan_message(raw):
+def scan_message(raw, kind):
     """What to tell the person who scanned; empty for a product."""
-    kind = scan_kind(raw)
     link = F.lower(strip(raw)).rlike("^(http|https|upi)://")
     # One sentence per kind.
     return (

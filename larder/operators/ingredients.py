@@ -70,7 +70,9 @@ def flatten_ingredients(products, key="gtin", tree="ingredients"):
     """One row per tree node: key, ordinal, parent_ordinal, raw, canonical_id, percentage, pointer."""
     nodes = products.where(F.col(tree).isNotNull()).select(key, tree_nodes(F.col(tree)).alias("_nodes"))
     paths = nodes.select(key, "_nodes", F.col("_nodes.path").alias("_paths"))
-    rows = paths.select(key, "_paths", F.posexplode("_nodes").alias("ordinal", "_n"))
+    rows = paths.select(key, "_paths", F.posexplode_outer("_nodes").alias("ordinal", "_n")).where(
+        F.col("_n").isNotNull()
+    )
     parent = F.array_position(F.col("_paths"), parent_path(F.col("_n.path"))) - 1
     return rows.select(
         key,

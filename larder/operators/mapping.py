@@ -6,95 +6,106 @@ from larder import schemas, vocab
 from larder.functions.barcodes import format_from_length, normalize_gtin
 from larder.functions.numbers import parse_number, round_half_away
 from larder.functions.text import clean_text, first_of_list, map_category, slug, strip, truncate
-from larder.sources.export import FIELDS
+from larder.sources.export import NUTRIENT_FIELDS, TEXT_FIELDS
 
 SOURCE_KEY = "s1"
 
 
-def with_field(name):
-    """An export field; blank counts as missing."""
-    return F.when(strip(F.col(name)) != "", F.col(name))
-
-
 def in_region(printed, countries_tags, tag, prefix):
     listed = F.lower(F.coalesce(countries_tags, F.lit(""))).contains(tag.lower())
     return listed | printed.startswith(prefix)
 
 
-def drop_reason(spec, malformed=F.col("malformed")):
+def cleaned_rows(rows, keep=()):
+    """Export fields with blanks as nulls, and the figures of the declared basis as numbers.
+
+    Per-100 ml shares the per-100 g columns.  No basis is assumed when none is declared.
+    """
+    filled = rows.select(
+        *keep,
+        "malformed",
+        *[F.nullif(strip(F.col(f)), F.lit("")).alias(f) for f in TEXT_FIELDS],
+        *[F.col(f) for f in NUTRIENT_FIELDS],
+    )
+    declared = F.lower(F.col("nutrition_data_per"))
+    basis = (
+        F.when(declared == "100g", "per_100g")
+        .when(declared == "100ml", "per_100ml")
+        .when(declared == "serving", "per_serving")
+    )
+    placed = filled.withColumn("basis", basis)
+
+    def figure(stem):
+        chosen = F.when(F.col("basis") == "per_serving", F.col(f"{stem}_serving")).otherwise(
+            F.col(f"{stem}_100g")
+        )
+        return F.when(F.col("basis").isNotNull(), chosen)
+
+    others = [*keep, "malformed", *TEXT_FIELDS, "basis"]
+    texts = placed.select(*others, *[figure(stem).alias(n) for n, stem, _ in vocab.EXPORT_NUTRIENTS])
+    parsed = texts.select(
+        *others, *[parse_number(F.col(n)).alias(n) for n, _, _ in vocab.EXPORT_NUTRIENTS]
+    )
+    # Sodium becomes milligrams before rounding.
+    return parsed.select(
+        *others,
+        *[
+            round_half_away(F.col(n) * scale if scale != 1 else F.col(n)).alias(n)
+            for n, _, scale in vocab.EXPORT_NUTRIENTS
+        ],
+    )
+
+
+def drop_reason(spec):
     """First reason that applies, or null for a row that becomes a product."""
-    printed = F.coalesce(strip(with_field("code")), F.lit(""))
-    name = clean_text(with_field("product_name"))
-    sold_here = in_region(printed, with_field("countries_tags"), spec.region_tag, spec.region_prefix)
+    sold_here = in_region(
+        F.col("barcode_printed"), F.col("countries_tags"), spec.region_tag, spec.region_prefix
+    )
     return (
-        F.when(malformed, vocab.DROP_MALFORMED)
-        .when(normalize_gtin(printed).isNull(), vocab.DROP_BARCODE)
+        F.when(F.col("malformed"), vocab.DROP_MALFORMED)
+        .when(F.col("gtin").isNull(), vocab.DROP_BARCODE)
         .when(~sold_here, vocab.DROP_REGION)
-        .when(name.isNull() | (F.length(name) < 2), vocab.DROP_NAME)
+        .when(F.col("name").isNull() | (F.length("name") < 2), vocab.DROP_NAME)
     )
 
 
-def package_quantity():
-    amount = parse_number(with_field("product_quantity"))
-    unit = F.lower(strip(with_field("product_quantity_unit")))
+def package_struct(amount, unit_text):
+    unit = F.when(F.lower(unit_text).isin("ml", "l"), "ml").otherwise("g")
     return F.when(
         amount > 0,
         F.struct(
-            F.struct(
-                amount.alias("value"), F.when(unit.isin("ml", "l"), "ml").otherwise("g").alias("unit")
-            ).alias("quantity"),
+            F.struct(amount.alias("value"), unit.alias("unit")).alias("quantity"),
             F.lit(None).cast("int").alias("multipack_count"),
         ),
     )
 
 
-def _serving():
-    described = clean_text(with_field("serving_size"))
-    grams = parse_number(with_field("serving_quantity"))
-    quantity = F.when(grams > 0, F.struct(grams.alias("value"), F.lit("g").alias("unit")))
-    return F.when(
-        described.isNotNull(),
-        F.struct(truncate(described, 100).alias("description"), quantity.alias("quantity")),
-    )
-
-
-def _panel_values(per_serving):
-    """Figures of the declared basis.  Per-100 ml shares the per-100 g columns.
-
-    Sodium is scaled to milligrams before rounding.
-    """
-    fields = {}
-    for nutrient, stem, scale in vocab.EXPORT_NUTRIENTS:
-        text = F.when(per_serving, with_field(f"{stem}_serving")).otherwise(with_field(f"{stem}_100g"))
-        fields[nutrient] = round_half_away(parse_number(text) * scale)
-    missing = F.lit(None).cast("double")
-    return F.struct(*[fields.get(n, missing).alias(n) for n in vocab.NUTRIENT_IDS])
-
-
 def nutrition_panel():
     """The panel of the declared basis, or null.
 
-    No basis is ever assumed, a serving panel needs a serving text, and a panel without
-    any figure is no panel.
+    A serving panel needs a serving text, and a panel without any figure is no panel.
     """
-    declared = F.lower(strip(with_field("nutrition_data_per")))
-    basis = (
-        F.when(declared == "100g", "per_100g")
-        .when(declared == "100ml", "per_100ml")
-        .when(declared == "serving", "per_serving")
+    grams = F.col("serving_grams")
+    serving = F.when(
+        (F.col("basis") == "per_serving") & F.col("serving_size").isNotNull(),
+        F.struct(
+            truncate(F.col("serving_size"), 100).alias("description"),
+            F.when(grams > 0, F.struct(grams.alias("value"), F.lit("g").alias("unit"))).alias("quantity"),
+        ),
+    )
+    figures = {n for n, _, _ in vocab.EXPORT_NUTRIENTS}
+    values = F.struct(
+        *[(F.col(n) if n in figures else F.lit(None).cast("double")).alias(n) for n in vocab.NUTRIENT_IDS]
     )
-    per_serving = F.coalesce(declared == "serving", F.lit(False))
-    values = _panel_values(per_serving)
-    serving = F.when(per_serving, _serving())
-    any_value = F.coalesce(*[values[n] for n in vocab.NUTRIENT_IDS]).isNotNull()
     panel = F.struct(
-        basis.alias("basis"),
+        F.col("basis"),
         serving.alias("serving"),
         values.alias("values"),
         F.lit(None).cast("array<string>").alias("not_declared"),
     )
-    usable = basis.isNotNull() & any_value & (~per_serving | serving.isNotNull())
-    return F.when(usable, panel.cast(schemas.PANEL))
+    any_figure = F.coalesce(*[F.col(n) for n in sorted(figures)]).isNotNull()
+    described = (F.col("basis") != "per_serving") | F.col("serving_size").isNotNull()
+    return F.when(any_figure & described, panel)
 
 
 def stamp_provenance(**present):
@@ -119,16 +130,35 @@ def map_products(rows, spec, retrieved_at, keep=()):
     The product columns of a dropped row are not meaningful.
     """
     day = F.lit(str(retrieved_at))
-    ready = rows.select(
+    figures = [n for n, _, _ in vocab.EXPORT_NUTRIENTS]
+    named = cleaned_rows(rows, keep).select(
+        *keep,
+        "malformed",
+        "basis",
+        *figures,
+        "countries_tags",
+        F.coalesce("code", F.lit("")).alias("barcode_printed"),
+        normalize_gtin(F.col("code")).alias("gtin"),
+        clean_text(F.col("product_name")).alias("name"),
+        slug(first_of_list(F.col("brands"))).alias("brand"),
+        map_category(F.col("categories_tags")).alias("category"),
+        parse_number(F.col("product_quantity")).alias("amount"),
+        "product_quantity_unit",
+        clean_text(F.col("serving_size")).alias("serving_size"),
+        parse_number(F.col("serving_quantity")).alias("serving_grams"),
+        clean_text(F.col("ingredients_text")).alias("ingredients_raw"),
+    )
+    ready = named.select(
         *keep,
         drop_reason(spec).alias("drop_reason"),
-        strip(with_field("code")).alias("barcode_printed"),
-        truncate(clean_text(with_field("product_name")), 200).alias("name"),
-        slug(first_of_list(with_field("brands"))).alias("brand"),
-        map_category(with_field("categories_tags")).alias("category"),
-        package_quantity().alias("package"),
+        "gtin",
+        "barcode_printed",
+        truncate(F.col("name"), 200).alias("name"),
+        "brand",
+        "category",
+        package_struct(F.col("amount"), F.col("product_quantity_unit")).alias("package"),
         nutrition_panel().alias("panel"),
-        truncate(clean_text(with_field("ingredients_text")), 4000).alias("ingredients_raw"),
+        truncate(F.col("ingredients_raw"), 4000).alias("ingredients_raw"),
     )
     source = F.struct(
         F.lit(SOURCE_KEY).alias("id"),
@@ -139,7 +169,6 @@ def map_products(rows, spec, retrieved_at, keep=()):
         F.lit(None).cast("string").alias("note"),
     )
     columns = {
-        "gtin": normalize_gtin(F.col("barcode_printed")),
         "barcode_format": format_from_length(F.col("barcode_printed")),
         "names": F.lit(None),
         "countries": F.array(F.lit(spec.country)),
@@ -158,14 +187,14 @@ def map_products(rows, spec, retrieved_at, keep=()):
         "verification": F.struct(F.lit("unverified").alias("status"), day.alias("last_verified")),
         "schema_version": F.lit(1),
     }
-    return ready.select(
-        *keep,
-        "drop_reason",
-        *[
-            columns.get(name, F.col(name)).cast(kind).alias(name)
-            for name, kind in schemas.PRODUCT_FIELDS
-        ],
-    )
+    mapped = [
+        *[F.col(c) for c in keep],
+        F.col("drop_reason"),
+        *[columns.get(name, F.col(name)).cast(kind).alias(name) for name, kind in schemas.PRODUCT_FIELDS],
+    ]
+    # A generator of one row: without it a filter on drop_reason is pushed below and every
+    # field it needs is worked out twice.
+    return ready.select(F.inline_outer(F.array(F.struct(*mapped))))
 
 
 def accepted(mapped, limit=None):
@@ -174,11 +203,9 @@ def accepted(mapped, limit=None):
     return products.limit(limit) if limit else products
 
 
-def is_complete(nutrition=F.col("nutrition"), ingredients_raw=F.col("ingredients_raw")):
+def is_complete(nutrition="nutrition", ingredients_raw="ingredients_raw"):
     """A product with neither a panel nor ingredient text is incomplete."""
     return F.coalesce(F.size(nutrition) > 0, F.lit(False)) | F.coalesce(
-        ingredients_raw != "", F.lit(False)
+        F.nullif(ingredients_raw, F.lit("")).isNotNull(), F.lit(False)
     )
 
-
-__all__ = ["FIELDS", "accepted", "drop_reason", "is_complete", "map_products", "nutrition_panel"]

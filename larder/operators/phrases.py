@@ -113,17 +113,18 @@ def claimed_phrases(
         F.coalesce(shares, no_shares).alias("shares"),
     )
     segments = F.concat(F.array(F.lit("")), F.coalesce(F.split(folded, SEPARATORS), F.array().cast("array<string>")))
+    # The outer explodes keep Spark from inferring a size filter that splits the text twice.
     words = (
-        texts.select(key, about.alias("_about"), F.posexplode(segments).alias("segment", "_text"))
+        texts.select(key, about.alias("_about"), F.posexplode_outer(segments).alias("segment", "_text"))
         .select(
             key,
             "segment",
             F.when(F.col("segment") == 0, F.col("_about")).alias("about"),
-            normalise(F.col("_text")).alias("_text"),
+            F.when(F.col("segment") == 0, F.array(F.lit("")))
+            .otherwise(F.array_remove(F.split(normalise(F.col("_text")), " "), ""))
+            .alias("_words"),
         )
-        .where((F.col("segment") == 0) | (F.col("_text") != ""))
-        .withColumn("_words", F.split("_text", " "))
-        .select(key, "segment", "about", "_words", F.posexplode("_words").alias("start", "first_word"))
+        .select(key, "segment", "about", "_words", F.posexplode_outer("_words").alias("start", "first_word"))
         .select(
             key, "segment", "about", "start", "first_word",
             F.array_join(F.slice("_words", F.col("start") + 1, longest), " ").alias("ahead"),

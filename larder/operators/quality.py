@@ -390,6 +390,7 @@ def provenance_findings(required, document=None, verified=None, conflicts=None):
 def row_findings(products, today, key="gtin", path=None, raw=None):
     """Every row-local rule in one scan.
 
+    inline_outer, because inline makes Spark infer a size filter that repeats the rules.
     The record is exploded once into slot 0 (the record's own rules) and one slot per
     panel, so the panel arithmetic runs on plain columns.  path is the column with the
     record's path (rule 0103) and raw the column with its JSON text (rule 0503).
@@ -402,7 +403,7 @@ def row_findings(products, today, key="gtin", path=None, raw=None):
     own = record_findings(today, path, raw)
     of_panel = panel_findings(F.col("_panel"), F.col("_slot") - 1, F.col("category"), F.col("nutrition.basis"))
     found = F.when(F.col("_slot") == 0, own).otherwise(of_panel)
-    return slotted.select(key, F.inline(found)).where(F.col("code").isNotNull())
+    return slotted.select(key, F.inline_outer(found)).where(F.col("code").isNotNull())
 
 
 def record_findings(today, path=None, raw=None):
@@ -522,7 +523,7 @@ def reference_findings(records, key, claims):
         return F.size(name) > 0 if kinds[name].startswith(("array", "map")) else F.col(name) != ""
 
     required = F.array_compact(F.array(*[F.when(present(c), F.lit(f"/{c}")) for c in claims]))
-    return records.select(key, F.inline(provenance_findings(required))).where(F.col("code").isNotNull())
+    return records.select(key, F.inline_outer(provenance_findings(required))).where(F.col("code").isNotNull())
 
 
 def ordered(findings, key="gtin"):
@@ -614,7 +615,7 @@ def text_findings(records, key="path", text="text"):
         *[_some(a.cast(FINDINGS)) for a in (extra, F.flatten(panels), sources, evidence)],
     )
     found = F.when(F.col("doc").isNull(), unreadable).otherwise(shape)
-    return parsed.select(key, F.inline(found)).where(F.col("code").isNotNull())
+    return parsed.select(key, F.inline_outer(found)).where(F.col("code").isNotNull())
 
 
 def _panel_shape(panel, i):

@@ -9,7 +9,10 @@ from larder.functions.barcodes import scan_kind, scan_message, scanned_gtin
 def classify_scans(scans, raw="raw"):
     """Adds kind, gtin and message."""
     code = F.col(raw)
-    return scans.withColumns({"kind": scan_kind(code), "gtin": scanned_gtin(code), "message": scan_message(code)})
+    coded = scans.withColumn("gtin", scanned_gtin(code))
+    return coded.withColumn("kind", scan_kind(code, F.col("gtin"))).withColumn(
+        "message", scan_message(code, F.col("kind"))
+    )
 
 
 def enrich_scans(scans, product, raw="raw", keep=()):
@@ -18,7 +21,7 @@ def enrich_scans(scans, product, raw="raw", keep=()):
     Works on batch and streaming scans.  Hits and misses are both recorded.
     """
     known = product.select("gtin", F.lit(True).alias("_known"))
-    coded = classify_scans(scans, raw).where(F.col("kind") == "Product")
+    coded = scans.withColumn("gtin", scanned_gtin(F.col(raw))).where(F.col("gtin").isNotNull())
     return coded.join(known, "gtin", "left").select(
         *keep, "gtin", "scanned_at", F.coalesce("_known", F.lit(False)).alias("found")
     )

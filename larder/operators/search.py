@@ -72,8 +72,8 @@ def search(index, queries, limit, key="gtin"):
     )
     wanted = broadcast_if_small(terms.select("term").distinct())
     found = (
-        index.select(key, "is_complete", "length", F.explode("words").alias("word"))
-        .select(key, "is_complete", "length", F.explode(prefixes).alias("term"))
+        index.select(key, "is_complete", "length", F.explode_outer("words").alias("word"))
+        .select(key, "is_complete", "length", F.explode_outer(prefixes).alias("term"))
         .join(wanted, "term")
         .groupBy("term", key, "is_complete", "length")
         .agg(F.count(F.lit(1)).alias("times"))

@@ -67,7 +67,7 @@ def product_scalars(products, brand, today):
     """Names, texts, freshness and completeness of each product."""
     named = display_names(products, brand, "brand", "brand_name")
     checked = F.col("verification.last_verified")
-    complete = is_complete(F.col("nutrition"), F.nullif(F.trim("ingredients_raw"), F.lit("")))
+    complete = is_complete("nutrition", F.trim("ingredients_raw"))
     return named.select(
         "gtin",
         "name",

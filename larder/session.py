@@ -20,6 +20,7 @@ def local_session(cpus="*", shuffle_partitions=8, memory="8g", **extra):
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("larder")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )

@@ -97,31 +97,34 @@ def decode_lines(lines, value="value"):
     parsed = lines.where(F.col(value) != "").select(
         *others, F.when(whole, F.try_parse_json(F.col(value))).alias("_row")
     )
-    fields = [_field(F.col("_row"), name).alias(name) for name in FIELDS]
-    return parsed.select(*others, F.col("_row").isNull().alias("malformed"), *fields)
-
-
-def _field(row, name):
-    found = F.coalesce(
-        F.try_variant_get(row, f'$["{name}"]', "variant"),
-        F.try_variant_get(row, f'$.nutriments["{name}"]', "variant"),
+    # One projection per step, so that no lookup is written out twice.
+    nodes = parsed.select(
+        *others,
+        F.col("_row").isNull().alias("malformed"),
+        *[
+            F.coalesce(
+                F.try_variant_get("_row", f'$["{name}"]', "variant"),
+                F.try_variant_get("_row", f'$.nutriments["{name}"]', "variant"),
+            ).alias(name)
+            for name in FIELDS
+        ],
     )
-    return _text_of(found, depth=2)
+    return nodes.select(*others, "malformed", *[_text_of(F.col(name)).alias(name) for name in FIELDS])
 
 
-def _text_of(node, depth):
+def _text_of(node, depth=1):
     """Scalars as text, arrays as a comma list, objects and nulls as null."""
     text = F.try_variant_get(node, "$", "string")
     kind = F.schema_of_variant(node)
-    is_object = text.startswith("{") & kind.startswith("OBJECT")
-    is_array = text.startswith("[") & kind.startswith("ARRAY")
-    if depth == 0:
-        return F.when(~is_object & ~is_array, text)
-    items = F.transform(
-        F.try_variant_get(node, "$", "array<variant>"), lambda item: _text_of(item, depth - 1)
-    )
-    joined = F.array_join(F.filter(items, lambda i: i != ""), ",")
-    return F.when(is_object, F.lit(None)).when(is_array, joined).otherwise(text)
+    items = F.try_variant_get(node, "$", "array<variant>")
+
+    def item_text(item):
+        nested = _text_of(item, depth - 1) if depth else F.try_variant_get(item, "$", "string")
+        return F.when(~F.schema_of_variant(item).startswith("OBJECT"), nested)
+
+    joined = F.array_join(F.filter(F.transform(items, item_text), lambda i: i != ""), ",")
+    composed = F.when(kind.startswith("ARRAY"), joined).when(~kind.startswith("OBJECT"), text)
+    return F.when(F.substring(text, 1, 1).isin("[", "{"), composed).otherwise(text)
 
 
 def read_rows(spark, path, sep="\t", **options):
