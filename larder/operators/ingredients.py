@@ -85,9 +85,8 @@ def flatten_ingredients(products, key="gtin", tree="ingredients"):
     )
 
 
-def level_totals(text):
-    """array<struct<pointer, total>>: declared percentages of every list in a tree."""
-    nodes = tree_nodes(text)
+def level_totals(nodes):
+    """array<struct<pointer, total>>: declared percentages of every list of a tree's nodes."""
 
     def total(parent):
         shares = F.transform(

@@ -20,7 +20,7 @@ from larder.functions.nutrients import declared_fields
 from larder.functions.numbers import show_one, show_whole
 from larder.functions.pointers import covers, pointer_of, resolves
 from larder.operators.dedup import duplicate_keys
-from larder.operators.ingredients import flatten_ingredients, level_totals
+from larder.operators.ingredients import flatten_ingredients, level_totals, tree_nodes
 from larder.schemas import FINDING
 
 FINDINGS = f"array<{FINDING}>"
@@ -257,17 +257,12 @@ def ingredient_rules():
 
 def percentage_findings():
     """0603 per list of a tree whose declared percentages exceed the limit."""
-    tree = F.col("ingredients")
-    over = F.filter(level_totals(tree), lambda t: t["total"] > PERCENT_LIMIT)
-    return F.when(
-        # A tree without a percentage cannot exceed anything; skip the walk.
-        tree.contains('"percentage"'),
-        F.transform(
-            over,
-            lambda t: finding(
-                F.lit(True), "warning", "0603", t["pointer"],
-                F.format_string("The declared percentages at this level add up to %s%%.", show_one(t["total"])),
-            ),
+    over = F.filter(level_totals(F.col("_nodes")), lambda t: t["total"] > PERCENT_LIMIT)
+    return F.transform(
+        over,
+        lambda t: finding(
+            F.lit(True), "warning", "0603", t["pointer"],
+            F.format_string("The declared percentages at this level add up to %s%%.", show_one(t["total"])),
         ),
     )
 
@@ -297,20 +292,38 @@ def required_pointers():
     return F.concat(claims, F.coalesce(panels, F.array().cast("array<string>")))
 
 
-def uncovered(required, provenance):
-    """Required pointers no provenance path equals or lies above."""
-    covered = F.transform(F.map_keys(provenance), pointer_of)
+def uncovered(required, covered):
+    """Required pointers no covered pointer equals or lies above."""
     return F.filter(required, lambda r: ~F.exists(covered, lambda c: covers(c, r)))
 
 
+def prepared(records, needed=True, raw=None, tree=False):
+    """Adds what the record rules look at repeatedly: _covered, _document and _nodes.
+
+    They are columns because a lambda would work them out again for every element.
+    """
+    wanted = F.lit(needed) if isinstance(needed, bool) else needed
+    columns = {
+        "_covered": F.when(wanted, F.transform(F.map_keys("provenance"), pointer_of)),
+        "_used": F.when(wanted, F.transform(F.map_values("provenance"), lambda e: e["source"])),
+    }
+    if tree:
+        # A tree without a percentage cannot exceed anything; skip the walk.
+        stated = wanted & F.col("ingredients").contains('"percentage"')
+        columns["_nodes"] = F.when(stated, tree_nodes(F.col("ingredients")))
+    if raw is not None:
+        columns["_document"] = F.when(wanted, F.try_parse_json(F.col(raw)))
+    return records.withColumns(columns)
+
+
 def provenance_findings(required, document=None, verified=None, conflicts=None):
-    """Source coverage of one record, as a findings array.
+    """Source coverage of a prepared record, as a findings array.
 
     document is the record as a variant; without it stale paths are not looked for.
     """
     entries = F.map_entries(F.col("provenance"))
     ids = F.col("sources.id")
-    used = F.transform(F.map_values(F.col("provenance")), lambda e: e["source"])
+    used = F.col("_used")
 
     def at(entry):
         return F.concat(F.lit("/provenance/"), entry["key"])
@@ -326,7 +339,7 @@ def provenance_findings(required, document=None, verified=None, conflicts=None):
             ),
         ),
         F.transform(
-            uncovered(required, F.col("provenance")),
+            uncovered(required, F.col("_covered")),
             lambda r: finding(
                 F.lit(True), "error", "0501", r,
                 F.format_string(
@@ -399,7 +412,9 @@ def row_findings(products, today, key="gtin", path=None, raw=None):
     slots = F.concat(
         F.array(F.lit(None)).cast(panel_type), F.coalesce("nutrition", F.array().cast(panel_type))
     )
-    slotted = products.select("*", F.posexplode(slots).alias("_slot", "_panel"))
+    slotted = prepared(
+        products.select("*", F.posexplode(slots).alias("_slot", "_panel")), F.col("_slot") == 0, raw, tree=True
+    )
     own = record_findings(today, path, raw)
     of_panel = panel_findings(F.col("_panel"), F.col("_slot") - 1, F.col("category"), F.col("nutrition.basis"))
     found = F.when(F.col("_slot") == 0, own).otherwise(of_panel)
@@ -411,7 +426,7 @@ def record_findings(today, path=None, raw=None):
     rules = [*identity_rules(), *ingredient_rules(), *verification_rules(today)]
     if path is not None:
         rules.append(location_rule(F.col(path)))
-    document = F.try_parse_json(F.col(raw)) if raw is not None else None
+    document = F.col("_document") if raw is not None else None
     return F.concat(
         F.array(*rules).cast(FINDINGS),
         _some(percentage_findings().cast(FINDINGS)),
@@ -421,8 +436,11 @@ def record_findings(today, path=None, raw=None):
     )
 
 
-def has_row_error(today):
-    """Does a product break a row-local rule of severity error?  No explode, no join."""
+def with_row_error(products, today, flag):
+    """Adds flag: does the product break a row-local rule of severity error?
+
+    No explode and no join, so the row stays where it is.
+    """
     of_panels = F.flatten(
         F.transform(
             "nutrition",
@@ -430,7 +448,8 @@ def has_row_error(today):
         )
     )
     found = F.concat(record_findings(today), _some(of_panels))
-    return F.exists(found, lambda f: F.coalesce(f["severity"] == "error", F.lit(False)))
+    broken = F.exists(found, lambda f: F.coalesce(f["severity"] == "error", F.lit(False)))
+    return prepared(products, tree=True).select(*products.columns, broken.alias(flag))
 
 
 def only(findings, *codes):
@@ -523,7 +542,8 @@ def reference_findings(records, key, claims):
         return F.size(name) > 0 if kinds[name].startswith(("array", "map")) else F.col(name) != ""
 
     required = F.array_compact(F.array(*[F.when(present(c), F.lit(f"/{c}")) for c in claims]))
-    return records.select(key, F.inline_outer(provenance_findings(required))).where(F.col("code").isNotNull())
+    ready = prepared(records)
+    return ready.select(key, F.inline_outer(provenance_findings(required))).where(F.col("code").isNotNull())
 
 
 def ordered(findings, key="gtin"):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from larder.operators.dedup import first_wins
 from larder.operators.mapping import accepted, map_products
-from larder.operators.quality import has_row_error
+from larder.operators.quality import with_row_error
 from larder.operators.upsert import substance
 from larder.sources.export import decode_lines
 from larder.sources.record_log import append_batch, latest_fingerprints, read_log
@@ -31,7 +31,7 @@ def changes_against(log, candidates, today):
     live = F.col("_before").isNotNull() & ~F.col("_gone")
     compared = candidates.withColumn("substance", substance()).join(before, "gtin", "left")
     written = compared.where(~F.coalesce(live & (F.col("_before") == F.col("substance")), F.lit(False)))
-    judged = written.withColumn("deleted", has_row_error(today))
+    judged = with_row_error(written, today, "deleted")
     # A bad record that was never live leaves no trace; one that was live is marked deleted.
     return judged.where(~F.col("deleted") | F.coalesce(live, F.lit(False))).drop("_before", "_gone")
 
