@@ -1,3 +1,3 @@
 """Registers every query."""
 
-from checks import expressions, imports, rules  # noqa: F401
+from checks import analysis, catalogue, expressions, imports, rules  # noqa: F401

@@ -178,7 +178,7 @@ SQL["panel_rows"] = """
 select l_orderkey, l_linenumber, p_type as category_id,
   case l_returnflag when 'A' then 'per_100g' when 'R' then 'per_100ml' else 'per_serving' end as basis,
   case when l_linenumber % 7 = 0 then null else l_quantity end as sugars_g,
-  round(l_discount * 100, 2) as fat_g, round(l_extendedprice / 100, 2) as sodium_mg
+  round(l_discount * 100, 2) as fat_g, floor(l_extendedprice) / 100e0 as sodium_mg
 from {lineitem} join {part} on l_partkey = p_partkey
 """
 
@@ -420,11 +420,10 @@ def records(spark, sf_dir):
         "verification": F.struct("status", "last_verified"),
         "schema_version": F.lit(1),
     }
-    return rows.select(
-        "rid",
-        "path",
-        *[made.get(n, F.col(n)).cast(kind).alias(n) for n, kind in schemas.PRODUCT_FIELDS],
-    )
+    columns = [F.col("rid"), F.col("path")]
+    columns += [made.get(n, F.col(n)).cast(kind).alias(n) for n, kind in schemas.PRODUCT_FIELDS]
+    # A generator stands for the file: filters on a record stop here.
+    return rows.select(F.inline_outer(F.array(F.struct(*columns))))
 
 
 def ids(spark, sf_dir):

@@ -45,8 +45,8 @@ def compare(spark, con, name, sf_dir):
     if sorted(names) != sorted(df.columns):
         return len(mine), f"columns {sorted(df.columns)} / {sorted(names)}", seconds
     if mine != theirs:
-        lost = [r for r in theirs if r not in set(mine)][:2]
-        extra = [r for r in mine if r not in set(theirs)][:2]
+        lost = sorted(set(theirs) - set(mine))[:2]
+        extra = sorted(set(mine) - set(theirs))[:2]
         return len(mine), f"{len(mine)}/{len(theirs)} rows; only spark {extra}; only sql {lost}", seconds
     return len(mine), None, seconds
 
@@ -65,6 +65,7 @@ def main(arguments):
         try:
             count, problem, seconds = compare(spark, con, name, sf_dir)
         except Exception as error:  # report and go on with the next query
+            con = duck(sf_dir)
             count, problem, seconds = 0, f"{type(error).__name__}: {str(error)[:900]}", 0
         bad += problem is not None
         label = "ok" if problem is None else "FAIL"

@@ -10,12 +10,12 @@ def _children(path, text):
     """Direct children of a node, with their path; grandchildren stay text."""
     return F.transform(
         F.from_json(text, NODE),
-        lambda c, i: F.struct(
-            F.concat(path, F.array(i)).alias("path"),
-            c["raw"].alias("raw"),
-            c["canonical"].alias("canonical"),
-            c["percentage"].alias("percentage"),
-            c["children"].alias("children"),
+        lambda c, i: F.named_struct(
+            F.lit("path"), F.concat(path, F.array(i)),
+            F.lit("raw"), c["raw"],
+            F.lit("canonical"), c["canonical"],
+            F.lit("percentage"), c["percentage"],
+            F.lit("children"), c["children"],
         ),
     )
 
@@ -30,8 +30,8 @@ def tree_nodes(text):
     none = F.array().cast(FLAT)
     root = F.array().cast("array<int>")
     levels = F.length(text) - F.length(F.replace(text, F.lit("["), F.lit("")))
-    start = F.struct(
-        F.coalesce(_children(root, text), none).cast(FLAT).alias("front"), none.alias("done")
+    start = F.named_struct(
+        F.lit("front"), F.coalesce(_children(root, text), none).cast(FLAT), F.lit("done"), none
     )
 
     def descend(state, _):
@@ -41,8 +41,9 @@ def tree_nodes(text):
                 lambda n: F.coalesce(_children(n["path"], n["children"]), none),
             )
         )
-        deeper = F.struct(
-            below.cast(FLAT).alias("front"), F.concat(state["done"], state["front"]).cast(FLAT).alias("done")
+        deeper = F.named_struct(
+            F.lit("front"), below.cast(FLAT),
+            F.lit("done"), F.concat(state["done"], state["front"]).cast(FLAT),
         )
         return F.when(F.size(state["front"]) == 0, state).otherwise(deeper)
 

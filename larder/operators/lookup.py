@@ -10,7 +10,7 @@ def lookup_products(probes, product, code):
 
     Probe keys are matched once per distinct key, so one popular code is looked up once.
     """
-    keyed = probes.withColumn("gtin", normalize_gtin(F.col(code)))
+    keyed = probes.select("*", F.explode_outer(F.array(normalize_gtin(F.col(code)))).alias("gtin"))
     wanted = keyed.where(F.col("gtin").isNotNull()).select("gtin").distinct()
     known = product.join(wanted, "gtin", "left_semi").withColumn("_known", F.lit(True))
     return keyed.join(known, "gtin", "left").withColumn(

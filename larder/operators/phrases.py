@@ -105,12 +105,17 @@ def claimed_phrases(
         stated = F.filter(tree_nodes(F.col(tree)), lambda n: n["percentage"].isNotNull())
         shares = F.when(
             F.col(tree).contains('"percentage"'),
-            F.transform(stated, lambda n: F.struct(n["canonical"].alias("canonical"), n["percentage"].alias("percentage"))),
+            F.transform(
+                stated,
+                lambda n: F.named_struct(
+                    F.lit("canonical"), n["canonical"], F.lit("percentage"), n["percentage"]
+                ),
+            ),
         ).otherwise(no_shares).cast(NO_SHARES)
-    about = F.struct(
-        F.coalesce(strip(body) == "", F.lit(True)).alias("blank"),
-        F.when(whole.rlike(r"[0-9]\s*%"), whole).alias("percent_text"),
-        F.coalesce(shares, no_shares).alias("shares"),
+    about = F.named_struct(
+        F.lit("blank"), F.coalesce(strip(body) == "", F.lit(True)),
+        F.lit("percent_text"), F.when(whole.rlike(r"[0-9]\s*%"), whole),
+        F.lit("shares"), F.coalesce(shares, no_shares),
     )
     segments = F.concat(F.array(F.lit("")), F.coalesce(F.split(folded, SEPARATORS), F.array().cast("array<string>")))
     # The outer explodes keep Spark from inferring a size filter that splits the text twice.
@@ -178,7 +183,7 @@ def _percentage(match, percent_text, shares):
         F.replace(match["alias"], F.lit("."), F.lit("\\.")), F.lit(" "), F.lit("[^a-z0-9]+")
     )
     pattern = F.concat(quoted, F.lit(r"[^a-z0-9%]{0,3}(\d{1,3}(?:\.\d+)?)\s*%"))
-    printed = F.nullif(F.regexp_extract(percent_text, pattern, 1), F.lit("")).try_cast("double")
+    printed = F.nullif(F.call_function("regexp_extract", percent_text, pattern, F.lit(1)), F.lit("")).try_cast("double")
     return F.coalesce(of_tree, F.when((printed > 0) & (printed <= 100), printed))
 
 

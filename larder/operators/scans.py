@@ -6,11 +6,19 @@ from pyspark.sql import functions as F
 from larder.functions.barcodes import scan_kind, scan_message, scanned_gtin
 
 
+def with_scanned_key(scans, raw="raw"):
+    """Adds gtin, null when the scan is no product.
+
+    A generator of one row: a null filter on gtin would otherwise be pushed below and
+    decode every scan twice.
+    """
+    return scans.select("*", F.explode_outer(F.array(scanned_gtin(F.col(raw)))).alias("gtin"))
+
+
 def classify_scans(scans, raw="raw"):
     """Adds kind, gtin and message."""
     code = F.col(raw)
-    coded = scans.withColumn("gtin", scanned_gtin(code))
-    return coded.withColumn("kind", scan_kind(code, F.col("gtin"))).withColumn(
+    return with_scanned_key(scans, raw).withColumn("kind", scan_kind(code, F.col("gtin"))).withColumn(
         "message", scan_message(code, F.col("kind"))
     )
 
@@ -21,7 +29,7 @@ def enrich_scans(scans, product, raw="raw", keep=()):
     Works on batch and streaming scans.  Hits and misses are both recorded.
     """
     known = product.select("gtin", F.lit(True).alias("_known"))
-    coded = scans.withColumn("gtin", scanned_gtin(F.col(raw))).where(F.col("gtin").isNotNull())
+    coded = with_scanned_key(scans, raw).where(F.col("gtin").isNotNull())
     return coded.join(known, "gtin", "left").select(
         *keep, "gtin", "scanned_at", F.coalesce("_known", F.lit(False)).alias("found")
     )

@@ -68,11 +68,11 @@ def search(index, queries, limit, key="gtin"):
     average = totals.select(F.col("words") / F.col("docs")).scalar()
 
     prefixes = F.transform(
-        F.filter(lengths, lambda n: n <= F.length("word")), lambda n: F.substring(F.col("word"), F.lit(1), n)
+        F.filter("_lengths", lambda n: n <= F.length("word")), lambda n: F.substring(F.col("word"), F.lit(1), n)
     )
     wanted = broadcast_if_small(terms.select("term").distinct())
     found = (
-        index.select(key, "is_complete", "length", F.explode_outer("words").alias("word"))
+        index.select(key, "is_complete", "length", lengths.alias("_lengths"), F.explode_outer("words").alias("word"))
         .select(key, "is_complete", "length", F.explode_outer(prefixes).alias("term"))
         .join(wanted, "term")
         .groupBy("term", key, "is_complete", "length")
