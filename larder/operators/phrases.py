@@ -120,18 +120,18 @@ def claimed_phrases(
     segments = F.concat(F.array(F.lit("")), F.coalesce(F.split(folded, SEPARATORS), F.array().cast("array<string>")))
     # The outer explodes keep Spark from inferring a size filter that splits the text twice.
     words = (
-        texts.select(key, about.alias("_about"), F.posexplode_outer(segments).alias("segment", "_text"))
+        texts.select(F.col(key).alias("_key"), about.alias("_about"), F.posexplode_outer(segments).alias("segment", "_text"))
         .select(
-            key,
+            "_key",
             "segment",
             F.when(F.col("segment") == 0, F.col("_about")).alias("about"),
             F.when(F.col("segment") == 0, F.array(F.lit("")))
             .otherwise(F.array_remove(F.split(normalise(F.col("_text")), " "), ""))
             .alias("_words"),
         )
-        .select(key, "segment", "about", "_words", F.posexplode_outer("_words").alias("start", "first_word"))
+        .select("_key", "segment", "about", "_words", F.posexplode_outer("_words").alias("start", "first_word"))
         .select(
-            key, "segment", "about", "start", "first_word",
+            "_key", "segment", "about", "start", "first_word",
             F.array_join(F.slice("_words", F.col("start") + 1, longest), " ").alias("ahead"),
         )
     )
@@ -141,16 +141,16 @@ def claimed_phrases(
 
     # Everything below is grouped on the key or finer, so it shares one exchange.
     fields = ["shortness", "ordinal", "position", "words", "alias", "id", "name", "kind"]
-    firsts = hits.repartition(key).groupBy(key, "segment", "about", *fields).agg(F.min("start").alias("start"))
+    firsts = hits.repartition("_key").groupBy("_key", "segment", "about", *fields).agg(F.min("start").alias("start"))
     claimed = (
-        firsts.groupBy(key, "segment")
+        firsts.groupBy("_key", "segment")
         .agg(
             F.max("about").alias("about"),
             F.collect_list(F.struct("shortness", "ordinal", "position", "start", "words", "alias", "id", "name", "kind"))
             .alias("candidates"),
         )
         .select(
-            key,
+            "_key",
             "about",
             F.struct(
                 "segment", F.filter(_claims(F.col("candidates")), lambda c: c["kind"].isNotNull()).alias("found")
@@ -170,9 +170,9 @@ def claimed_phrases(
         )
     )
     return (
-        claimed.groupBy(key)
+        claimed.groupBy("_key")
         .agg(F.max("about").alias("about"), listed.alias("matches"))
-        .select(key, "about.*", "matches")
+        .select(F.col("_key").alias(key), "about.*", "matches")
     )
 
 

@@ -102,29 +102,31 @@ def decode_lines(lines, value="value"):
         *others,
         F.col("_row").isNull().alias("malformed"),
         *[
-            F.coalesce(
-                F.try_variant_get("_row", f'$["{name}"]', "variant"),
-                F.try_variant_get("_row", f'$.nutriments["{name}"]', "variant"),
+            F.expr(
+                f"""coalesce(try_variant_get(_row, '$["{name}"]', 'variant'), """
+                f"""try_variant_get(_row, '$.nutriments["{name}"]', 'variant'))"""
             ).alias(name)
             for name in FIELDS
         ],
     )
-    return nodes.select(*others, "malformed", *[_text_of(F.col(name)).alias(name) for name in FIELDS])
+    return nodes.select(*others, "malformed", *[F.expr(_text_of(f"`{n}`")).alias(n) for n in FIELDS])
 
 
 def _text_of(node, depth=1):
-    """Scalars as text, arrays as a comma list, objects and nulls as null."""
-    text = F.try_variant_get(node, "$", "string")
-    kind = F.schema_of_variant(node)
-    items = F.try_variant_get(node, "$", "array<variant>")
-
-    def item_text(item):
-        nested = _text_of(item, depth - 1) if depth else F.try_variant_get(item, "$", "string")
-        return F.when(~F.schema_of_variant(item).startswith("OBJECT"), nested)
-
-    joined = F.array_join(F.filter(F.transform(items, item_text), lambda i: i != ""), ",")
-    composed = F.when(kind.startswith("ARRAY"), joined).when(~kind.startswith("OBJECT"), text)
-    return F.when(F.substring(text, 1, 1).isin("[", "{"), composed).otherwise(text)
+    """SQL for scalars as text, arrays as a comma list, objects and nulls as null."""
+    text = f"try_variant_get({node}, '$', 'string')"
+    item = f"x{depth}"
+    nested = _text_of(item, depth - 1) if depth else f"try_variant_get({item}, '$', 'string')"
+    items = (
+        f"transform(try_variant_get({node}, '$', 'array<variant>'), {item} -> "
+        f"CASE WHEN NOT startswith(schema_of_variant({item}), 'OBJECT') THEN {nested} END)"
+    )
+    return (
+        f"CASE WHEN substring({text}, 1, 1) IN ('[', '{{') THEN "
+        f"CASE WHEN startswith(schema_of_variant({node}), 'ARRAY') "
+        f"THEN array_join(filter({items}, i -> i <> ''), ',') "
+        f"WHEN NOT startswith(schema_of_variant({node}), 'OBJECT') THEN {text} END ELSE {text} END"
+    )
 
 
 def read_rows(spark, path, sep="\t", **options):
