@@ -274,13 +274,24 @@ def oracle(body, *extra):
     return head + re.sub(NAME, r"\1", body)
 
 
+def spread(spark, sf_dir, name, driver_table, key):
+    """A binding shared out over the cores when its driver table has fewer files than cores.
+
+    One small file is one task; a table of many files keeps its own splits.
+    """
+    rows = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    few = len(table(spark, sf_dir, driver_table).inputFiles()) < cores
+    return rows.repartition(cores, key) if few else rows
+
+
 def export_lines(spark, sf_dir):
     """Export rows as JSON lines with their stream order: value, ord.
 
     Every 31st line is cut short, every 37th is empty, every 29th hides its sugars behind a
     top-level null, even codes are numbers and some tag lists are arrays.
     """
-    rows = table(spark, sf_dir, "raw_rows")
+    rows = spread(spark, sf_dir, "raw_rows", "orders", "seq")
     nutriments = F.struct(
         *[
             (F.col(source) / divisor).alias(f"{field}{suffix}")
@@ -321,7 +332,7 @@ def export_lines(spark, sf_dir):
 
 def records(spark, sf_dir):
     """Product records with rid and path, nested from label_rows."""
-    rows = table(spark, sf_dir, "label_rows")
+    rows = spread(spark, sf_dir, "label_rows", "lineitem", "rid")
     columns = {
         "energy_kcal": "kcal", "energy_kj": "kj", "protein_g": "protein", "carbohydrate_g": "carbohydrate",
         "sugars_g": "sugars", "added_sugars_g": "added", "fat_g": "fat", "saturated_fat_g": "saturated",
