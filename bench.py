@@ -15,9 +15,7 @@ import checks.all  # noqa: F401  registers the queries
 
 HEADLINES = [
     "import_products",
-    "import_report",
     "row_findings",
-    "findings_summary",
     "peer_stats",
     "nutrient_bands",
     "phrase_detection",

@@ -2,16 +2,20 @@
 
 from pyspark.sql import functions as F
 
-NUMBER = r"^[\t-\r ]*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?[\t-\r ]*$"
+# A number that is not negative; minus zero is.
+NUMBER = (
+    r"^[\t-\r ]*([+]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|-(0+\.?0*|\.0+)([eE][+-]?\d+)?)[\t-\r ]*$"
+)
 
 
 def parse_number(text):
     """A double, or null when unparsable, negative or infinite.
 
-    The pattern comes first because a cast also takes '5d', 'NaN' and 'Infinity'.
+    The pattern comes first because a cast also takes '5d', 'NaN' and 'Infinity'.  It
+    also settles the sign, so the value is worked out once.
     """
     value = F.when(text.rlike(NUMBER), F.btrim(text, F.lit("\t\n\x0b\x0c\r ")).try_cast("double"))
-    return F.when((value >= 0) & (value < float("inf")), value)
+    return F.nullif(value, F.lit(float("inf")))
 
 
 def round_half_away(value):

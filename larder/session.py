@@ -9,8 +9,6 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
-    # The JIT leaves methods over 8000 bytes interpreted; beyond that, split projections win.
-    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Recording a Python call site for every column costs seconds on the wide expressions.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.parquet.filterPushdown": "true",

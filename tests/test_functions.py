@@ -68,7 +68,7 @@ def test_clean_and_lists(spark):
 
 def test_numbers(spark):
     check(spark, {"5d": None, "NaN": None, "Infinity": None, "-1": None, " 1.5 ": 1.5, "1e2": 100.0, ".5": 0.5,
-                  "5.": 5.0, "": None, "1e999": None, "+7": 7.0}, numbers.parse_number)
+                  "5.": 5.0, "": None, "1e999": None, "+7": 7.0, "-0.0": 0.0, "-1e-400": None}, numbers.parse_number)
     check(spark, {"1.005": 1.0, "2.675": 2.68, "0.125": 0.13, "24": 24.0},
           lambda x: numbers.round_half_away(x.cast("double")))
     check(spark, {"24.0": "24", "25.5": "25.5", "0.126": "0.13", "100": "100"}, lambda x: numbers.show_two(x.cast("double")))
