@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from checks.bindings import TODAY, oracle, records, table
 from checks.expressions import half_away
+from checks.imports import with_raw
 from checks.registry import register
 from larder import schemas
 from larder.functions.nutrients import comparable_basis
@@ -480,4 +481,12 @@ def catalogue_flagship(spark, d):
     return catalogue_peer_stats(products(spark, d), {**PEER_RULE, "minimum_peers": 5})
 
 
-register("imported_peer_stats", catalogue_flagship, None)
+IMPORTED = "peer_values as (" + " union all ".join(
+    f"select category as category_id, basis, '{n}' as nutrient, {n} as value from products where category is not null "
+    f"and basis in ('per_100g', 'per_100ml') and {n} is not null"
+    for n in PEER_NUTRIENTS
+) + ")"
+register(
+    "imported_peer_stats", catalogue_flagship,
+    with_raw("select * from stats", IMPORTED, STATS.replace("n >= 30", "n >= 5")),
+)

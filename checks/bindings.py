@@ -21,15 +21,29 @@ RETRIEVED = "2026-08-27"
 
 
 def _digits(key):
-    return ", ".join(f"cast(floor({key} / 1e{i}) as bigint) % 10 as k{i}" for i in range(9))
+    """The 13 digits of a key, and whether it fits behind a three-digit prefix."""
+    powers = [(i, "cast({k} as bigint)" if not i else f"floor(cast({{k}} as decimal(20,0)) / {10**i})") for i in range(13)]
+    digits = ", ".join(f"cast({p.format(k=key)} as bigint) % 10 as k{i}" for i, p in powers)
+    return f"{digits}, {key} < 1000000000 as narrow"
 
 
-ODD = "3 * (k0 + k2 + k4 + k6 + k8) + k1 + k3 + k5 + k7"
-NINE = "lpad(cast({k} as varchar(20)), 9, '0')"
+# Weighted digits of a body; a narrow key leaves all above the ninth at zero.
+ODD = "3 * (k0 + k2 + k4 + k6 + k8 + k10 + k12) + k1 + k3 + k5 + k7 + k9 + k11"
 
 
 def _nine(key):
-    return NINE.format(k=key)
+    """Nine digits of a narrow key, thirteen of a wider one."""
+    return f"lpad(cast({key} as varchar(20)), case when {key} < 1000000000 then 9 else 13 end, '0')"
+
+
+def _cd(weight):
+    """Check digit behind a prefix of that weight; a wide key has no prefix."""
+    return f"(10 - ({ODD} + case when narrow then {weight} else 0 end) % 10) % 10"
+
+
+def _code(prefix, digit="cd"):
+    """Prefix, key and check digit; a wide key fills all 14 digits."""
+    return f"concat(case when narrow then '{prefix}' else '' end, nine, cast({digit} as varchar(2)))"
 
 
 SQL = {}
@@ -40,29 +54,27 @@ select p_partkey, body, cd,
   concat(body, cast(case when p_partkey % 17 = 0 then (cd + 1) % 10 else cd end as varchar(2))) as code
 from (
   select p_partkey,
-    case p_partkey % 4 when 0 then concat('890', nine) when 1 then substring(nine, 3, 7)
-      when 2 then concat('03', nine) else concat('1890', nine) end as body,
-    case p_partkey % 4
-      when 0 then (10 - ({ODD} + 35) % 10) % 10
-      when 1 then (10 - (3 * (k0 + k2 + k4 + k6) + k1 + k3 + k5) % 10) % 10
-      when 2 then (10 - ({ODD} + 3) % 10) % 10
-      else (10 - ({ODD} + 38) % 10) % 10 end as cd
-  from (select p_partkey, {_nine('p_partkey')} as nine, {_digits('p_partkey')} from {{part}}) d
+    case when not narrow then nine when width = 0 then concat('890', nine) when width = 1 then substring(nine, 3, 7)
+      when width = 2 then concat('03', nine) else concat('1890', nine) end as body,
+    case when width = 0 then {_cd(35)} when width = 1 then {_cd(0)} when width = 2 then {_cd(3)}
+      else {_cd(38)} end as cd
+  from (select p_partkey, case when p_partkey % 4 = 1 and p_partkey >= 10000000 then 0 else p_partkey % 4 end as width,
+          {_nine('p_partkey')} as nine, {_digits('p_partkey')} from {{part}}) d
 ) c
 """
 
 # Export rows from orders; every 13th appears again later in the stream.
 SQL["raw_base"] = f"""
 select k, o_orderstatus, o_orderpriority, o_totalprice,
-  case when k % 17 = 0 then concat('890', nine, cast((cd + 1) % 10 as varchar(2)))
-       when k % 11 = 0 then lpad(cast(k as varchar(20)), 7, '0')
-       when k % 7 = 3 then concat('400', nine, cast(cd4 as varchar(2)))
-       else concat('890', nine, cast(cd as varchar(2))) end as code,
+  case when k % 17 = 0 then {_code('890', '(cd + 1) % 10')}
+       when k % 11 = 0 then right(lpad(cast(k as varchar(20)), 20, '0'), 7)
+       when k % 7 = 3 then {_code('400', 'cd4')}
+       else {_code('890')} end as code,
   case when k % 19 = 0 then '  ' when k % 23 = 0 then 'x'
        else concat('  ', o_orderpriority, '  pack ', cast(k % 100 as varchar(20)), ' ') end as product_name,
   case k % 4 when 0 then concat(' ,', o_orderpriority, ' , other') when 1 then 'Nestlé, x'
        when 2 then null else concat('Mother''s  ', o_orderstatus) end as brands,
-  case when k % 7 = 3 and k % 2 = 0 then 'en:France,en:India' else null end as countries_tags,
+  case when not narrow or k % 7 = 3 and k % 2 = 0 then 'en:France,en:India' else null end as countries_tags,
   case k % 8 when 0 then 'en:biscuits,en:cream-biscuits' when 1 then 'en:sodas' when 2 then 'en:unknown'
        when 3 then 'EN:Chocolates , en:candies' when 4 then null when 5 then 'en:wheat-flours,en:flours'
        when 6 then 'en:salts' else 'en:teas' end as categories_tags,
@@ -85,7 +97,7 @@ select k, o_orderstatus, o_orderpriority, o_totalprice,
   case when k % 2 = 0 then cast(k % 70 as double) / 3e0 else null end as fiber,
   cast(k % 1000 as double) / 7919e0 as sodium
 from (
-  select *, (10 - ({ODD} + 35) % 10) % 10 as cd, (10 - ({ODD} + 4) % 10) % 10 as cd4
+  select *, {_cd(35)} as cd, {_cd(4)} as cd4
   from (select o_orderkey as k, o_orderstatus, o_orderpriority, o_totalprice,
           {_nine('o_orderkey')} as nine, {_digits('o_orderkey')} from {{orders}}) d
 ) c
@@ -123,11 +135,10 @@ select k as rid, concat('data/products/', case when k % 37 = 0 then '111' else '
   sodium, l_quantity as sugars1, ingredients_raw, tree, wheat_pct, oil_pct, palm_pct, nd, status, last_verified, k
 from (
   select *,
-    case when k % 17 = 0 then concat('890', nine, cast((cd + 1) % 10 as varchar(2)))
-         else concat('890', nine, cast(cd as varchar(2))) end as printed,
-    case when k % 23 = 0 then concat('0890', nine, cast((cd + 3) % 10 as varchar(2)))
-         when k % 17 = 0 then concat('0890', nine, cast((cd + 1) % 10 as varchar(2)))
-         else concat('0890', nine, cast(cd as varchar(2))) end as gtin,
+    case when k % 17 = 0 then {_code('890', '(cd + 1) % 10')} else {_code('890')} end as printed,
+    case when k % 23 = 0 then {_code('0890', '(cd + 3) % 10')}
+         when k % 17 = 0 then {_code('0890', '(cd + 1) % 10')}
+         else {_code('0890')} end as gtin,
     case when k % 41 = 0 then 'EAN-8' when k % 43 = 0 then 'UPC-E' else 'EAN-13' end as format,
     concat(l_returnflag, ' item ', cast(l_partkey % 100 as varchar(20))) as name,
     case when k % 9 = 0 then null else concat('brand-', cast(l_suppkey % 40 as varchar(20))) end as brand,
@@ -168,7 +179,7 @@ from (
     case when k % 71 = 0 then '2027-01-01' when k % 73 = 0 then 'not a date'
          else concat(cast(2024 + k % 3 as varchar(20)), '-', lpad(cast(1 + k % 12 as varchar(20)), 2, '0'), '-',
            lpad(cast(1 + k % 28 as varchar(20)), 2, '0')) end as last_verified
-  from (select *, (10 - ({ODD} + 35) % 10) % 10 as cd
+  from (select *, {_cd(35)} as cd
         from (select *, {_nine('kk')} as nine, {_digits('kk')} from {{label_base}}) a) b
 ) c
 """
@@ -184,12 +195,11 @@ from {lineitem} join {part} on l_partkey = p_partkey
 
 # A catalogue of parts and scans of them; a third of the scanned keys is not in it.
 SQL["part_products"] = f"""
-select p_partkey, concat('0890', nine, cast(cd as varchar(2))) as gtin,
-  concat('890', nine, cast(cd as varchar(2))) as barcode_printed,
+select p_partkey, {_code('0890')} as gtin, {_code('890')} as barcode_printed,
   p_name as name, concat('brand-', substring(p_brand, 7, 10)) as brand_id, p_type as category_id,
   case when p_size % 2 = 0 then 1 else 0 end as is_complete
 from (
-  select *, (10 - ({ODD} + 35) % 10) % 10 as cd
+  select *, {_cd(35)} as cd
   from (select *, {_nine('p_partkey')} as nine, {_digits('p_partkey')} from {{part}}) d
 ) c
 """
@@ -199,10 +209,9 @@ select event_id, user_id, ts as scanned_at, k, code, gtin14,
     when 2 then concat(' ', code, '  ') when 3 then concat('HTTPS://example.org/', code)
     when 4 then wrong when 5 then (case when event_id % 2 = 0 then '' else 'hello' end) else code end as raw
 from (
-  select *, concat('890', nine, cast(cd as varchar(2))) as code, concat('0890', nine, cast(cd as varchar(2))) as gtin14,
-    concat('890', nine, cast((cd + 1) % 10 as varchar(2))) as wrong
+  select *, {_code('890')} as code, {_code('0890')} as gtin14, {_code('890', '(cd + 1) % 10')} as wrong
   from (
-    select *, (10 - ({ODD} + 35) % 10) % 10 as cd
+    select *, {_cd(35)} as cd
     from (
       select *, {_nine('k')} as nine, {_digits('k')}
       from (select event_id, user_id, ts, (user_id * 37 + event_id) %
@@ -274,15 +283,9 @@ def oracle(body, *extra):
     return head + re.sub(NAME, r"\1", body)
 
 
-def spread(spark, sf_dir, name, driver_table, key):
-    """A binding shared out over the cores when its driver table has fewer files than cores.
-
-    One small file is one task; a table of many files keeps its own splits.
-    """
-    rows = table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    few = len(table(spark, sf_dir, driver_table).inputFiles()) < cores
-    return rows.repartition(cores, key) if few else rows
+def spread(spark, sf_dir, name, key):
+    """A binding shared out by key, whatever files its tables have."""
+    return table(spark, sf_dir, name).repartition(key)
 
 
 def export_lines(spark, sf_dir):
@@ -291,7 +294,7 @@ def export_lines(spark, sf_dir):
     Every 31st line is cut short, every 37th is empty, every 29th hides its sugars behind a
     top-level null, even codes are numbers and some tag lists are arrays.
     """
-    rows = spread(spark, sf_dir, "raw_rows", "orders", "seq")
+    rows = spread(spark, sf_dir, "raw_rows", "seq")
     nutriments = F.struct(
         *[
             (F.col(source) / divisor).alias(f"{field}{suffix}")
@@ -332,7 +335,7 @@ def export_lines(spark, sf_dir):
 
 def records(spark, sf_dir):
     """Product records with rid and path, nested from label_rows."""
-    rows = spread(spark, sf_dir, "label_rows", "lineitem", "rid")
+    rows = spread(spark, sf_dir, "label_rows", "rid")
     columns = {
         "energy_kcal": "kcal", "energy_kj": "kj", "protein_g": "protein", "carbohydrate_g": "carbohydrate",
         "sugars_g": "sugars", "added_sugars_g": "added", "fat_g": "fat", "saturated_fat_g": "saturated",

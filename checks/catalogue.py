@@ -286,8 +286,17 @@ register(
 )
 register(
     "content_fingerprint",
-    lambda spark, d: report.content_fingerprint(table(spark, d, "part_products")),
-    None,
+    lambda spark, d: report.content_fingerprint(table(spark, d, "part_products")).select(
+        F.col("fingerprint").cast("string").alias("fingerprint")
+    ),
+    oracle(
+        "select cast(sum(('0x' || substring(md5(array_to_string(["
+        + ", ".join(
+            f"coalesce('=' || cast({c} as varchar), '-')"
+            for c in ("p_partkey", "gtin", "barcode_printed", "name", "brand_id", "category_id", "is_complete")
+        )
+        + "], chr(31))), 1, 12))::bigint) as varchar) as fingerprint from {part_products}"
+    ),
 )
 register(
     "input_lineage",

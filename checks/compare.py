@@ -1,6 +1,7 @@
 """Run registered queries against their SQL: python -m checks.compare [sf_dir] [names...]."""
 
 import math
+import os
 import sys
 import time
 
@@ -58,7 +59,7 @@ def main(arguments):
 
     sf_dir = arguments[0] if arguments else "/root/testdata/sf0.01"
     wanted = arguments[1:] or list(QUERIES)
-    spark = local_session(8)
+    spark = local_session(int(os.environ.get("CPUS", "8")))
     con = duck(sf_dir)
     bad = 0
     for name in wanted:

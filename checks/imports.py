@@ -2,13 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from checks.bindings import RETRIEVED, TODAY, export_lines, oracle
+from checks.bindings import RETRIEVED, TODAY, export_lines, oracle, table
 from checks.expressions import half_away
 from checks.registry import register
 from larder.operators import brands, dedup, mapping, report, upsert
 from larder.plans.importing import import_products, map_lines
 from larder.sources.export import OPEN_DATABASE, decode_lines
-from larder.vocab import EXPORT_LICENCE
+from larder.vocab import CATEGORY_MAP, EXPORT_LICENCE
 
 SPEC = OPEN_DATABASE
 
@@ -65,11 +65,11 @@ products as (
 STEPS = (KEPT, MAPPED, FIRST)
 
 
-def _with_raw(body):
-    """The CTE chain: bindings, then the import steps, then the body."""
+def with_raw(body, *more):
+    """The CTE chain: bindings, then the import steps and more of them, then the body."""
     chain = oracle("select 1 from {raw_rows}")
     bindings = chain[len("with "):].rsplit(" select 1 from raw_rows", 1)[0]
-    steps = ", ".join(s.strip().replace("{raw_rows}", "raw_rows") for s in STEPS)
+    steps = ", ".join(s.strip().replace("{raw_rows}", "raw_rows") for s in (*STEPS, *more))
     return f"with {bindings}, {steps} {body}"
 
 
@@ -91,7 +91,7 @@ register(
         F.col("ord").alias("seq"), "malformed", "code", "product_name", "categories_tags", "serving_quantity",
         F.col("fiber_100g").try_cast("double").alias("fiber"), F.col("sugars_100g").isNull().alias("no_sugars"),
     ),
-    _with_raw(
+    with_raw(
         "select seq, bad as malformed, case when not bad then code end as code, case when not bad then product_name "
         "end as product_name, case when not bad then categories_tags end as categories_tags, "
         "case when not bad then serving_quantity end as serving_quantity, case when not bad then fiber end as fiber, "
@@ -101,19 +101,19 @@ register(
 register(
     "malformed_lines",
     lambda spark, d: decode_lines(export_lines(spark, d)).where("malformed").select(F.col("ord").alias("seq")),
-    _with_raw("select seq from kept where bad"),
+    with_raw("select seq from kept where bad"),
 )
 register(
     "drop_reasons",
     lambda spark, d: mapped(spark, d).select(F.col("ord").alias("seq"), "drop_reason"),
-    _with_raw("select seq, reason as drop_reason from mapped"),
+    with_raw("select seq, reason as drop_reason from mapped"),
 )
 register(
     "region_filter",
     lambda spark, d: decode_lines(export_lines(spark, d))
     .where(mapping.in_region(F.col("code"), F.col("countries_tags"), SPEC.region_tag, SPEC.region_prefix))
     .select(F.col("ord").alias("seq"), "code"),
-    _with_raw(
+    with_raw(
         "select seq, code from kept where not bad and (code like '890%' or countries_tags is not null)"
     ),
 )
@@ -137,7 +137,7 @@ def flat(df, *keep):
 register(
     "nutrition_panels",
     lambda spark, d: flat(accepted(spark, d), F.col("ord").alias("seq")).where(F.col("basis").isNotNull()),
-    _with_raw(
+    with_raw(
         f"select seq, gtin, basis, serving_description, serving_value, {', '.join(PANEL)} from mapped "
         "where reason is null and basis is not null"
     ),
@@ -149,14 +149,14 @@ register(
         F.col("package.quantity.value").alias("package_value"),
         F.col("package.quantity.unit").alias("package_unit"),
     ),
-    _with_raw("select seq, package_value, package_unit from mapped where reason is null"),
+    with_raw("select seq, package_value, package_unit from mapped where reason is null"),
 )
 register(
     "stamp_provenance",
     lambda spark, d: accepted(spark, d)
     .select(F.col("ord").alias("seq"), F.explode("provenance").alias("path", "e"))
     .select("seq", "path", F.col("e.source").alias("source"), F.col("e.confidence").alias("confidence")),
-    _with_raw(
+    with_raw(
         "select seq, path, 's1' as source, 'medium' as confidence from ("
         "select seq, unnest(['name', case when brand is not null then 'brand' end, case when category is not null "
         "then 'category' end, case when package_value is not null then 'package' end, case when basis is not null "
@@ -172,8 +172,8 @@ register(
         F.col("sources")[0]["licence"].alias("licence"), F.col("verification.status").alias("status"),
         F.col("verification.last_verified").alias("last_verified"),
     ),
-    _with_raw(
-        "select printed as barcode_printed, 'EAN-13' as barcode_format, name, brand, category, ingredients_raw, "
+    with_raw(
+        "select printed as barcode_printed, case when length(printed) = 14 then 'GTIN-14' else 'EAN-13' end as barcode_format, name, brand, category, ingredients_raw, "
         f"'IN' as countries, concat('{SPEC.product_url}', printed) as url, '{EXPORT_LICENCE}' as licence, "
         f"'unverified' as status, '{RETRIEVED}' as last_verified, gtin, basis, serving_description, serving_value, "
         f"{', '.join(PANEL)} from products"
@@ -182,12 +182,12 @@ register(
 register(
     "dedup_first_wins",
     lambda spark, d: dedup.first_wins(accepted(spark, d), "gtin", "ord").select("gtin", F.col("ord").alias("seq"), "name"),
-    _with_raw("select gtin, seq, name from products"),
+    with_raw("select gtin, seq, name from products"),
 )
 register(
     "import_report",
     lambda spark, d: report.import_report(mapped(spark, d)),
-    _with_raw(
+    with_raw(
         "select (select count(*) from mapped) as candidates_read, count(*) as mapped, "
         "(select count(*) from mapped where reason is not null) as dropped, "
         "(select count(*) from mapped where reason is null) - count(*) as duplicates, "
@@ -197,24 +197,24 @@ register(
 register(
     "drop_reason_counts",
     lambda spark, d: report.drop_reason_counts(mapped(spark, d)),
-    _with_raw(
+    with_raw(
         'select reason as drop_reason, count(*) as "rows" from mapped where reason is not null group by reason'
     ),
 )
 register(
     "gap_queue",
     lambda spark, d: report.gap_queue(products(spark, d)),
-    _with_raw("select gtin, name from products where basis is null and ingredients_raw is null"),
+    with_raw("select gtin, name from products where basis is null and ingredients_raw is null"),
 )
 register(
     "is_complete",
     lambda spark, d: products(spark, d).select("gtin", mapping.is_complete().alias("is_complete")),
-    _with_raw("select gtin, basis is not null or ingredients_raw is not null as is_complete from products"),
+    with_raw("select gtin, basis is not null or ingredients_raw is not null as is_complete from products"),
 )
 register(
     "build_counts",
     lambda spark, d: report.build_counts(products(spark, d)),
-    _with_raw(
+    with_raw(
         "select count(*) as products, count(*) filter (basis is null and ingredients_raw is null) as incomplete "
         "from products"
     ),
@@ -222,7 +222,7 @@ register(
 register(
     "build_manifest",
     lambda spark, d: report.build_manifest(products(spark, d), 7, TODAY, SPEC).drop("attribution"),
-    _with_raw(
+    with_raw(
         f"select 7 as catalogue_version, 1 as schema_version, '{TODAY}' as built_on, 'full' as kind, "
         f"'{EXPORT_LICENCE}' as licence, count(*) as products, "
         "count(*) filter (basis is null and ingredients_raw is null) as incomplete from products"
@@ -231,7 +231,7 @@ register(
 register(
     "brand_rollup",
     lambda spark, d: brands.brand_rollup(products(spark, d)),
-    _with_raw(
+    with_raw(
         "select brand as id, case when brand = 'nestle' then 'Nestle' when brand like 'mother%' then "
         "concat('Mother S ', upper(right(brand, 1))) when brand like '4%' then '4 Not Specified' else "
         "concat(left(brand, 1), ' ', upper(substring(brand, 3, 1)), substring(brand, 4)) end as name, "
@@ -242,22 +242,33 @@ register(
     "mapped_categories",
     lambda spark, d: brands.categories_without_record(
         brands.mapped_categories(spark),
-        products(spark, d).where("category is not null").select(F.col("category").alias("id")).distinct(),
+        table(spark, d, "category_names"),
+    ),
+    oracle(
+        "select category from (select unnest(["
+        + ", ".join(sorted({f"'{category}'" for _, category in CATEGORY_MAP}))
+        + "]) as category) m where category not in (select id from {category_names})"
     ),
-    None,
 )
 
 
+def row_number():
+    """The order key inside a record's gtin."""
+    body = F.substring("gtin", 1, 13).cast("bigint")
+    prefixed = F.col("gtin").startswith("0890") | F.col("gtin").startswith("0400")
+    return F.when(prefixed, body % 10**9).otherwise(body)
+
+
 def second_import(spark, d):
     """The same rows a month later: a third with other figures, a tenth gone, new codes for some."""
     later = import_products(export_lines(spark, d), SPEC, "2026-09-27")
-    number = F.substring("barcode_printed", 4, 9).cast("bigint")
+    number = row_number()
     changed = F.when(number % 3 == 0, F.concat("name", F.lit(" new recipe"))).otherwise(F.col("name"))
     return later.where(number % 10 != 0).withColumn("name", changed)
 
 
 def first_import(spark, d):
-    number = F.substring("barcode_printed", 4, 9).cast("bigint")
+    number = row_number()
     return products(spark, d).where(number % 7 != 0)
 
 
@@ -267,7 +278,7 @@ register(
         "gtin", "name", "state", F.col("verification.last_verified").alias("last_verified"),
         F.col("sources")[0]["retrieved_at"].alias("retrieved_at"),
     ),
-    _with_raw(
+    with_raw(
         "select gtin, case when state in ('new', 'changed') and k % 3 = 0 then concat(name, ' new recipe') else name end as name, "
         "state, case when state in ('new', 'changed') then '2026-09-27' else '2026-08-27' end as last_verified, "
         "case when state in ('new', 'changed') then '2026-09-27' else '2026-08-27' end as retrieved_at from ("
@@ -278,7 +289,7 @@ register(
 register(
     "upsert_counts",
     lambda spark, d: report.upsert_counts(upsert.upsert_states(first_import(spark, d), second_import(spark, d))),
-    _with_raw(
+    with_raw(
         "select count(*) filter (k % 7 = 0 or k % 3 = 0) as written, count(*) filter (k % 7 <> 0 and k % 3 <> 0) as "
         "unchanged from products where k % 10 <> 0"
     ),

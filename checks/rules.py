@@ -6,6 +6,7 @@ from checks.bindings import TODAY, ids, oracle, records, table
 from checks.registry import register
 from larder.operators import dedup, ingredients, quality, report, tables, upsert
 from larder.plans import validating
+from larder.schemas import PRODUCT_COLUMNS
 
 
 def row(spark, d):
@@ -249,9 +250,20 @@ register(
     lambda spark, d: upsert.prune_invalid(records(spark, d), row(spark, d), "rid").select("rid", "gtin"),
     oracle(f"select rid, gtin from {{label_rows}} r where rid not in ({ERRORS})"),
 )
+FIELD_ORDER = ", ".join(f"'{c}'" for c in PRODUCT_COLUMNS)
 FIRST_ERROR = (
-    f"select rid, min(code) as code from ({' union all '.join([*EACH.values(), *MORE])}) e "
-    "where severity = 'error' group by rid"
+    f"select rid, code from ({' union all '.join([*EACH.values(), *MORE])}) e where severity = 'error' "
+    "qualify row_number() over (partition by rid order by "
+    f"coalesce(list_position([{FIELD_ORDER}], regexp_extract(pointer, '^/([^/]*)', 1)), 0), "
+    "coalesce(try_cast(regexp_extract(pointer, '^/[^/]*/([0-9]+)', 1) as int), -1), pointer, code) = 1"
+)
+register(
+    "prune_broken",
+    lambda spark, d: upsert.prune_broken(records(spark, d), TODAY).select("rid", "gtin"),
+    oracle(
+        "select rid, gtin from {label_rows} r where rid not in (select rid from ("
+        f"{' union all '.join([*NO_PATH, *MORE])}) e where severity = 'error')"
+    ),
 )
 register(
     "rejections",

@@ -10,9 +10,11 @@ GROUP_SEPARATOR = "\x1d"
 
 def _weighted_sum(digits, even, odd):
     """Sum of digits times weights by position from the right."""
+    # Counted in integers; the generated code casts the digits once.
     number = digits.try_cast("bigint")
     plain = sum(
-        (F.floor(number / float(10**i)) % 10) * (even if i % 2 == 0 else odd) for i in range(PLAIN_DIGITS)
+        (F.call_function("div", number, F.lit(10**i)) % 10) * (even if i % 2 == 0 else odd)
+        for i in range(PLAIN_DIGITS)
     )
     longer = F.aggregate(
         F.transform(

@@ -69,9 +69,8 @@ def claimed_phrases(
 ):
     """One row per text: key, blank, percent_text, shares, matches.
 
-    Each text is read once.  Its segments are exploded to words; each word carries the
-    words that follow it, up to the longest phrase, and is joined to the phrases that begin
-    with it.  Every text also sends one empty word, matched by an empty phrase, so that
+    Each text is read once.  Its segments are exploded to words, joined to the phrases that
+    begin with them; only then are the words that follow compared.  Every text also sends one empty word, matched by an empty phrase, so that
     texts without a hit stay in the result.  Hits are exchanged once, by key.  Only texts
     with a percentage travel with their hits.
     """
@@ -91,7 +90,6 @@ def claimed_phrases(
         "name",
         flagged.alias("kind"),
     )
-    longest = aliases.agg(F.coalesce(F.max("words"), F.lit(1))).scalar()
     nothing = texts.sparkSession.createDataFrame(
         [("", "", 1, 0, 0, 0, "", "", None)], aliases.schema
     )
@@ -130,14 +128,12 @@ def claimed_phrases(
             .alias("_words"),
         )
         .select("_key", "segment", "about", "_words", F.posexplode_outer("_words").alias("start", "first_word"))
-        .select(
-            "_key", "segment", "about", "start", "first_word",
-            F.array_join(F.slice("_words", F.col("start") + 1, longest), " ").alias("ahead"),
-        )
     )
-    begins = (F.col("ahead") == F.col("alias")) | F.col("ahead").startswith(F.concat("alias", F.lit(" ")))
+    # The words ahead are put together only where a phrase begins with this word.
+    ahead = F.array_join(F.slice("_words", F.col("start") + 1, F.col("words")), " ")
     known = broadcast_if_small(aliases.unionByName(nothing))
-    hits = words.join(known, (words["first_word"] == known["first_word"]) & begins).drop("first_word", "ahead")
+    same_first = words["first_word"] == known["first_word"]
+    hits = words.join(known, same_first & (ahead == F.col("alias"))).drop("first_word", "_words")
 
     # Everything below is grouped on the key or finer, so it shares one exchange.
     fields = ["shortness", "ordinal", "position", "words", "alias", "id", "name", "kind"]

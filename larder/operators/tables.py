@@ -180,14 +180,11 @@ def assemble_products(tables):
     The ingredient tree is not rebuilt; it reads back as null.
     """
 
-    def gathered(df, name, item, order, keys=("gtin",)):
+    def gathered(df, name, item, order):
         """Children of a record in order, as an array."""
         listed = F.array_sort(F.collect_list(F.struct(*order, item.alias("_item"))))
-        return df.groupBy(*keys).agg(F.transform(listed, lambda x: x["_item"]).alias(name))
+        return df.groupBy("gtin").agg(F.transform(listed, lambda x: x["_item"]).alias(name))
 
-    missing = gathered(
-        tables["nutrition_not_declared"], "not_declared", F.col("field"), ["field"], ("gtin", "block_index")
-    )
     serving = F.struct(
         F.col("serving_description").alias("description"),
         F.when(
@@ -199,12 +196,14 @@ def assemble_products(tables):
         "basis",
         F.when(F.col("serving_description").isNotNull(), serving).alias("serving"),
         F.struct(*NUTRIENT_IDS).alias("values"),
-        "not_declared",
+        "block_index",
     )
-    blocks = tables["nutrition"].join(missing, ["gtin", "block_index"], "left")
     children = [
         gathered(tables["product_country"], "countries", F.col("country"), ["country"]),
-        gathered(blocks, "nutrition", panel, ["block_index"]),
+        gathered(tables["nutrition"], "nutrition", panel, ["block_index"]),
+        gathered(
+            tables["nutrition_not_declared"], "_missing", F.struct("block_index", "field"), ["block_index", "field"]
+        ),
         gathered(
             tables["source"],
             "sources",
@@ -219,6 +218,16 @@ def assemble_products(tables):
         ).withColumn("provenance", F.map_from_entries("provenance")),
     ]
     joined = reduce(lambda left, right: left.join(right, "gtin", "left"), children, tables["product"])
+
+    def fields_of(block):
+        """The fields a block does not declare; null without any."""
+        own = F.filter("_missing", lambda m: m["block_index"] == block)
+        return F.when(F.size(own) > 0, F.transform(own, lambda m: m["field"]))
+
+    nutrition = F.transform(
+        "nutrition",
+        lambda p: p.dropFields("block_index").withField("not_declared", fields_of(p["block_index"])),
+    )
     package = F.struct(
         F.struct(F.col("package_value").alias("value"), F.col("package_unit").alias("unit")).alias("quantity"),
         F.col("multipack_count").alias("multipack_count"),
@@ -232,10 +241,10 @@ def assemble_products(tables):
         F.col("category_id").alias("category"),
         F.coalesce("countries", F.array().cast("array<string>")).alias("countries"),
         F.when(F.col("package_value").isNotNull(), package).alias("package"),
-        "nutrition",
+        nutrition.alias("nutrition"),
         "ingredients_raw",
         F.lit(None).cast("string").alias("ingredients"),
-        F.coalesce("sources", F.array().cast(children[2].schema["sources"].dataType)).alias("sources"),
+        F.coalesce("sources", F.array().cast(children[3].schema["sources"].dataType)).alias("sources"),
         "provenance",
         F.struct(F.col("verification_status").alias("status"), "last_verified").alias("verification"),
         F.lit(1).alias("schema_version"),
@@ -243,7 +252,10 @@ def assemble_products(tables):
 
 
 def starter_products(products, size):
-    """The most complete products: score descending, then key.  Output order is by key."""
+    """The most complete products: score descending, then key.  Output order is by key.
+
+    Only keys and scores are ranked; the records are joined to the chosen keys.
+    """
     first = F.get(F.col("nutrition"), F.lit(0))["values"]
     panel = 4 + F.least(F.lit(4), F.floor(declared_count(first) / 3).cast("int"))
     score = (
@@ -253,6 +265,7 @@ def starter_products(products, size):
         + F.col("category").isNotNull().cast("int")
         + F.col("package").isNotNull().cast("int")
     )
-    scored = products.withColumn("score", score).where(F.col("score") > 0)
-    return scored.orderBy(F.desc("score"), "gtin").limit(size).orderBy("gtin")
+    scored = products.select("gtin", score.alias("score")).where(F.col("score") > 0)
+    chosen = scored.orderBy(F.desc("score"), "gtin").limit(size)
+    return products.join(chosen, "gtin").select(*products.columns, "score").orderBy("gtin")
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from larder.operators.quality import with_row_error
 from larder.schemas import PRODUCT_COLUMNS
 
 
@@ -63,18 +64,35 @@ def upsert(existing, candidates, key="gtin"):
 
 
 def prune_invalid(products, findings, key="gtin"):
-    """Products without an error finding.  Reference records are never pruned."""
+    """Products without an error finding, of any rule.  Reference records are never pruned.
+
+    For the rules of a record's own fields alone, prune_broken needs no findings and no join.
+    """
     broken = findings.where(F.col("severity") == "error").select(key).distinct()
     return products.join(broken, key, "left_anti")
 
 
+def prune_broken(products, today):
+    """Products that break no row-local rule of severity error; rows stay where they are."""
+    return with_row_error(products, today, "_broken").where(~F.col("_broken")).drop("_broken")
+
+
 def rejections(findings, key="gtin"):
-    """First error of every record that has one."""
-    first = F.min(F.struct("code", "pointer", "message"))
+    """First error of every record that has one, in the order in which a record is read.
+
+    Fields come in their written order and their items by number; rules of one place by code.
+    """
+    field = F.array_position(
+        F.array(*[F.lit(c) for c in PRODUCT_COLUMNS]), F.regexp_extract("pointer", "^/([^/]*)", 1)
+    )
+    item = F.regexp_extract("pointer", "^/[^/]*/([0-9]+)", 1).try_cast("int")
+    place = F.struct(
+        field.alias("field"), F.coalesce(item, F.lit(-1)).alias("item"), "pointer", "code", "message"
+    )
     return (
         findings.where(F.col("severity") == "error")
         .groupBy(key)
-        .agg(first.alias("_first"))
+        .agg(F.min(place).alias("_first"))
         .select(key, F.col("_first.code").alias("code"), F.col("_first.message").alias("message"))
     )
 

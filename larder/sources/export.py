@@ -62,15 +62,18 @@ def source_spec(source_id):
     return SOURCES[source_id]
 
 
-def read_lines(spark, path, spread=None):
+def read_lines(spark, path, spread=None, skip_corrupt=False):
     """Export lines with their stream order: columns value, ord.
 
     ord sorts by file, then offset of the split, then row within the split, so it does
     not depend on how Spark packs splits into tasks.  A .gz file is one split: pass
     spread to share its lines out before the parsing.
+
+    A file that cannot be read to its end fails the job.  With skip_corrupt the lines before
+    the fault are kept; count_cut_short then tells which files lost their end.
     """
     lines = (
-        spark.read.option("ignoreCorruptFiles", "true")
+        spark.read.option("ignoreCorruptFiles", str(bool(skip_corrupt)).lower())
         .text(path)
         .select(
             F.make_valid_utf8("value").alias("value"),
@@ -85,50 +88,96 @@ def read_lines(spark, path, spread=None):
     return lines.repartition(spread, F.col("ord.row")) if spread else lines
 
 
+def cut_short(lines):
+    """Files whose last line is not a whole JSON object: file, last_line (its length).
+
+    A file that was cut keeps the part of a line before the fault, unless the cut falls
+    between two lines.  Plain and compressed files are treated alike.
+    """
+    last = F.max_by(F.col("value"), F.struct("ord.block", "ord.row"))
+    ends = lines.groupBy(F.col("ord.file").alias("file")).agg(last.alias("value"))
+    whole = F.btrim(F.col("value"), F.lit(WHITESPACE)).endswith("}")
+    return ends.where(~whole).select("file", F.length("value").alias("last_line"))
+
+
+# What is not strict JSON is malformed.
+STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
+def _last(keys, texts, name):
+    """The text of the last member of that name; keys and texts run backwards."""
+    return F.get(texts, F.array_position(keys, name) - 1)
+
+
+def _members(top):
+    """Names and texts of a parsed object's members, the last first."""
+    return F.reverse(F.map_keys(top)), F.reverse(F.map_values(top))
+
+
 def decode_lines(lines, value="value"):
     """One string column per export field, plus malformed; other columns stay.
 
     A field is looked up at the top level first, and a null there hides the value in
-    nutriments.  Empty lines are not rows.  The line is parsed once.
+    nutriments.  Of members that repeat a name the last counts.  Empty lines are not rows.
+    The line is parsed once, nutriments once more.
     """
     others = [F.col(c) for c in lines.columns if c != value]
     text = F.btrim(F.col(value), F.lit(WHITESPACE))
     whole = text.startswith("{") & text.endswith("}")
-    parsed = lines.where(F.col(value) != "").select(
-        *others, F.when(whole, F.try_parse_json(F.col(value))).alias("_row")
+    top = F.when(whole, F.from_json(F.col(value), "map<string,string>", STRICT))
+    parsed = lines.where(F.col(value) != "").select(*others, F.col(value).alias("_line"), top.alias("_top"))
+    keys, texts = _members(F.col("_top"))
+    listed = parsed.select(
+        *others, "_line", F.col("_top").isNull().alias("malformed"), keys.alias("_keys"), texts.alias("_texts")
+    )
+    inner = F.from_json(_last(F.col("_keys"), F.col("_texts"), "nutriments"), "map<string,string>", STRICT)
+    nested = listed.select(*others, "_line", "malformed", "_keys", "_texts", inner.alias("_inner"))
+    keys, texts = _members(F.col("_inner"))
+    listed = nested.select(
+        *others, "_line", "malformed", "_keys", "_texts", keys.alias("_inner_keys"), texts.alias("_inner_texts")
     )
-    # One projection per step, so that no lookup is written out twice.
-    nodes = parsed.select(
+    found = listed.select(
         *others,
-        F.col("_row").isNull().alias("malformed"),
+        "_line",
+        "malformed",
         *[
-            F.expr(
-                f"""coalesce(try_variant_get(_row, '$["{name}"]', 'variant'), """
-                f"""try_variant_get(_row, '$.nutriments["{name}"]', 'variant'))"""
-            ).alias(name)
+            F.when(F.array_contains("_keys", name), _last(F.col("_keys"), F.col("_texts"), name))
+            .otherwise(_last(F.col("_inner_keys"), F.col("_inner_texts"), name))
+            .alias(name)
             for name in FIELDS
         ],
     )
-    return nodes.select(*others, "malformed", *[F.expr(_text_of(f"`{n}`")).alias(n) for n in FIELDS])
+    return found.select(*others, "malformed", *[_flat_text(name).alias(name) for name in FIELDS])
 
 
-def _text_of(node, depth=1):
-    """SQL for scalars as text, arrays as a comma list, objects and nulls as null."""
-    text = f"try_variant_get({node}, '$', 'string')"
-    item = f"x{depth}"
-    nested = _text_of(item, depth - 1) if depth else f"try_variant_get({item}, '$', 'string')"
-    items = (
-        f"transform(try_variant_get({node}, '$', 'array<variant>'), {item} -> "
-        f"CASE WHEN NOT startswith(schema_of_variant({item}), 'OBJECT') THEN {nested} END)"
-    )
+def _flat_text(name):
+    """Scalars as they are, arrays as a comma list, objects as null.
+
+    A text that begins with a bracket is a list or an object unless the line has it in quotes.
+    """
+    raw = F.col(name)
+    quoted = F.col("_line").rlike(f'"{name}"\\s*:\\s*"[\\[{{]')
+    nested = F.array_join(F.filter(_items(raw), lambda x: x != ""), ",")
     return (
-        f"CASE WHEN substring({text}, 1, 1) IN ('[', '{{') THEN "
-        f"CASE WHEN startswith(schema_of_variant({node}), 'ARRAY') "
-        f"THEN array_join(filter({items}, i -> i <> ''), ',') "
-        f"WHEN NOT startswith(schema_of_variant({node}), 'OBJECT') THEN {text} END ELSE {text} END"
+        F.when(~raw.startswith("[") & ~raw.startswith("{"), raw)
+        .when(quoted, raw)
+        .when(raw.startswith("["), nested)
     )
 
 
+def _items(text, depth=1):
+    """The items of a JSON array as texts; inner arrays are joined, objects are null."""
+
+    def flat(item):
+        scalar = F.when(~item.startswith("{"), item)
+        if not depth:
+            return scalar
+        inner = F.array_join(F.filter(_items(item, depth - 1), lambda x: x != ""), ",")
+        return F.when(item.startswith("["), F.coalesce(inner, item)).otherwise(scalar)
+
+    return F.transform(F.from_json(text, "array<string>", STRICT), flat)
+
+
 def read_rows(spark, path, sep="\t", **options):
     """Flat export with a header line; the same mapper accepts it.
 
