@@ -321,8 +321,21 @@ register(
 )
 
 
+NESTED_FAULTS = [
+    ("rid % 31 = 0", r'("package":\{"quantity":\{"value":[0-9.]+,"unit":)"[a-z]+"', '$1"furlong"'),
+    ("rid % 30 = 0", r'"verification":\{', '"verification":{"seen":1,'),
+    ("rid % 27 = 0", r'"sources":\[\{', '"sources":[{"colour":"red",'),
+    ("rid % 19 = 0", r'"not_declared":\["trans_fat_g"\]', '"not_declared":["trans_fat_g","sugar_g"]'),
+]
+PLAIN = "rid % 50 <> 0 and rid % 47 <> 0 and rid % 43 <> 0"
+
+
 def record_texts(spark, d):
-    """Record files: every 50th is cut short, every 47th has an unknown member, every 43rd no sources."""
+    """Record files: every 50th is cut short, every 47th has an unknown member, every 43rd no sources.
+
+    Of the others every 31st has a strange unit in its package, every 30th a strange member in
+    its verification and every 27th one in its first source; some lists name an unknown nutrient.
+    """
     base = records(spark, d)
     columns = [c for c in base.columns if c not in ("rid", "path", "ingredients", "conflicts")]
     body = F.to_json(F.struct(*columns))
@@ -330,8 +343,11 @@ def record_texts(spark, d):
     empty = F.when(
         F.col("rid") % 43 == 0, F.regexp_replace(body, r'"sources":\[[^\]]*\]', '"sources":[]')
     )
+    changed = body
+    for when, old, new in NESTED_FAULTS:
+        changed = F.when(F.expr(when), F.regexp_replace(changed, old, new)).otherwise(changed)
     text = F.when(F.col("rid") % 50 == 0, F.substring(body, F.lit(1), F.length(body) - 3)).otherwise(
-        F.coalesce(odd, empty, body)
+        F.coalesce(odd, empty, changed)
     )
     return base.select("rid", text.alias("text"))
 
@@ -348,7 +364,14 @@ register(
         "last_verified = 'not a date' union all "
         "select rid, '0201', '/nutrition/0/serving' from {label_rows} where rid % 50 <> 0 and basis0 = 'per_serving' "
         "and serving_description is null union all "
-        "select rid, '0201', '/nutrition/1/serving' from {label_rows} where rid % 50 <> 0 and basis1 = 'per_serving'"
+        "select rid, '0201', '/nutrition/1/serving' from {label_rows} where rid % 50 <> 0 and basis1 = 'per_serving' "
+        "union all select rid, '0201', '/countries/1' from {label_rows} where rid % 50 <> 0 and country2 like 'C%' "
+        f"union all select rid, '0201', '/package/quantity/unit' from {{label_rows}} where {PLAIN} and rid % 31 = 0 and "
+        "package_value is not null "
+        f"union all select rid, '0201', '/verification/seen' from {{label_rows}} where {PLAIN} and rid % 30 = 0 "
+        f"union all select rid, '0201', '/sources/0/colour' from {{label_rows}} where {PLAIN} and rid % 27 = 0 "
+        f"union all select rid, '0201', '/nutrition/0/not_declared/1' from {{label_rows}} where {PLAIN} and rid % 19 = 0 "
+        "and nd = 2 and basis0 is not null"
         ") s"
     ),
 )

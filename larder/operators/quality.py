@@ -567,10 +567,116 @@ OPTIONAL = [
 SLUG = "^[a-z0-9]+(-[a-z0-9]+)*$"
 
 
+# The members of nested objects; no others are allowed.
+MEMBERS = {
+    "package": ["quantity", "multipack_count"],
+    "quantity": ["value", "unit"],
+    "panel": ["basis", "serving", "values", "not_declared"],
+    "serving": ["description", "quantity"],
+    "source": ["id", "type", "url", "retrieved_at", "licence", "note"],
+    "evidence": ["source", "confidence", "note"],
+    "conflict": ["path", "values", "resolution"],
+    "verification": ["status", "last_verified"],
+}
+OBJECT = "map<string,variant>"
+
+
+def _strange(node, kind, at):
+    """0201 for each member of a parsed object that its kind does not have."""
+    names = F.filter(F.map_keys(node), lambda n: ~n.isin(*MEMBERS[kind]))
+    return _some(
+        F.transform(
+            names,
+            lambda n: finding(
+                F.lit(True), "error", "0201", F.concat(at, F.lit("/"), n),
+                F.format_string(f"member %s is not part of a {kind}", n),
+            ),
+        ).cast(FINDINGS)
+    )
+
+
+def _each(items, rule):
+    """The findings of a rule on every item of an array, given its index."""
+    return _some(F.flatten(F.transform(items, rule)).cast(FINDINGS))
+
+
+def _nested_shape():
+    """Findings inside nested objects of `doc`: member sets and closed values.
+
+    A rule names the innermost place that fails.
+    """
+
+    def get(path, kind):
+        return F.try_variant_get(F.col("doc"), path, kind)
+
+    def inside(node, name, kind=OBJECT):
+        return F.try_variant_get(F.element_at(node, name), "$", kind)
+
+    def wrong(value, good, at, message):
+        bad = F.coalesce(value.isNotNull() & ~good, F.lit(False))
+        return F.array(finding(bad, "error", "0201", at, message)).cast(FINDINGS)
+
+    def amount(node, at):
+        quantity, place = inside(node, "quantity"), F.concat(at, F.lit("/quantity"))
+        unit = inside(quantity, "unit", "string")
+        return F.concat(
+            _strange(quantity, "quantity", place),
+            wrong(unit, unit.isin(*vocab.UNITS), F.concat(place, F.lit("/unit")), "unknown unit"),
+        )
+
+    def at(path, i):
+        return F.concat(F.lit(f"/{path}/"), i.cast("string"))
+
+    def panel(p, i):
+        place = at("nutrition", i)
+        serving = inside(p, "serving")
+        absent = inside(p, "not_declared", "array<string>")
+        return F.concat(
+            _strange(p, "panel", place),
+            _strange(serving, "serving", F.concat(place, F.lit("/serving"))),
+            amount(serving, F.concat(place, F.lit("/serving"))),
+            _each(
+                absent,
+                lambda n, j: wrong(
+                    n, n.isin(*vocab.NUTRIENT_IDS),
+                    F.concat(place, F.lit("/not_declared/"), j.cast("string")), "not a nutrient",
+                ),
+            ),
+        )
+
+    def conflict(c, i):
+        resolution = inside(c, "resolution", "string")
+        return F.concat(
+            _strange(c, "conflict", at("conflicts", i)),
+            wrong(
+                resolution, resolution.isin(*vocab.RESOLUTIONS),
+                F.concat(at("conflicts", i), F.lit("/resolution")), "unknown resolution",
+            ),
+        )
+
+    return F.concat(
+        _strange(get("$.package", OBJECT), "package", F.lit("/package")),
+        amount(get("$.package", OBJECT), F.lit("/package")),
+        _strange(get("$.verification", OBJECT), "verification", F.lit("/verification")),
+        _each(
+            get("$.countries", "array<string>"),
+            lambda c, i: wrong(c, c.rlike("^[A-Z]{2}$"), at("countries", i), "not a country code"),
+        ),
+        _each(get("$.nutrition", f"array<{OBJECT}>"), panel),
+        _each(get("$.sources", f"array<{OBJECT}>"), lambda s, i: _strange(s, "source", at("sources", i))),
+        _each(get("$.conflicts", f"array<{OBJECT}>"), conflict),
+        _each(
+            F.map_entries(get("$.provenance", f"map<string,{OBJECT}>")),
+            lambda e, i: _strange(e["value"], "evidence", F.concat(F.lit("/provenance/"), e["key"])),
+        ),
+    )
+
+
 def text_findings(records, key="path", text="text"):
     """0101 for text that is not JSON and 0201 for records that break the record shape.
 
-    Shape rules: required members, closed member sets, allowed values, patterns and minima.
+    Shape rules: required members, closed member sets at every level, allowed values,
+    patterns and minima.
     """
     doc = F.try_parse_json(F.col(text))
     parsed = records.select(key, doc.alias("doc"), F.col(text).alias("text"))
@@ -633,6 +739,7 @@ def text_findings(records, key="path", text="text"):
     shape = F.concat(
         F.array(*rules).cast(FINDINGS),
         *[_some(a.cast(FINDINGS)) for a in (extra, F.flatten(panels), sources, evidence)],
+        _nested_shape(),
     )
     found = F.when(F.col("doc").isNull(), unreadable).otherwise(shape)
     return parsed.select(key, F.inline_outer(found)).where(F.col("code").isNotNull())
