@@ -38,9 +38,18 @@ def stored(df, name):
     return spark.read.schema(df.schema).parquet(path)
 
 
-def total(df, column):
-    """One aggregated number."""
-    return df.agg(F.sum(column)).first()[0] or 0
+def packed(docs):
+    """docs as a struct `_row` beside doc_id, source and text where docs has them.
+
+    Operators that return whole rows join on columns of their own next to `_row`, so no
+    column of docs clashes with theirs; `_row.*` gives the rows back.
+    """
+    own = [c for c in ("doc_id", "source") if c in docs.columns]
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        *own,
+        F.xxhash64("text").alias("text_hash"),
+    )
 
 
 def running_sum(df, keys, chunk, order, value, into):

@@ -8,7 +8,7 @@ each hit fixes an alignment, which is verified word by word.
 
 from pyspark.sql import functions as F
 
-from larder.llm.common import gram_hash, words_of
+from larder.llm.common import gram_hash, packed, words_of
 from larder.operators.sizes import broadcast_if_small
 
 # Word places that count, from the first word of a window.
@@ -129,4 +129,5 @@ def clean_documents(docs, benchmark, **options):
     A row whose doc_id is null goes if any row without an id overlaps.
     """
     found = overlaps(docs, benchmark, **options).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_leaked")), "left_anti")
+    rows = packed(docs)
+    return rows.join(found, F.col("doc_id").eqNullSafe(F.col("_leaked")), "left_anti").select("_row.*")

@@ -14,9 +14,10 @@ import random
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import stored
+from larder.llm.common import packed, stored
 from larder.llm.components import components
 
 SHINGLE = 3
@@ -229,13 +230,13 @@ def near_duplicates(docs, size=SHINGLE, most=MOST_BITS):
 def first_of_each(docs, **options):
     """docs without those whose component has an earlier one: the smallest doc_id stays.
 
-    Of rows that repeat the smallest doc_id one stays; rows without an id stay if no other
-    has their component.  Columns as in docs.
+    Of rows that repeat the smallest doc_id one stays, and of rows without an id one, if no
+    other row has their component.  Columns as in docs.
     """
-    from pyspark.sql import Window
-
     found = near_duplicates(docs, **options)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(keep.withColumnRenamed("doc_id", "_keep"), F.col("doc_id").eqNullSafe(F.col("_keep")))
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return kept.withColumn("_n", F.row_number().over(once)).where("_n = 1").select(*docs.columns)
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keep = keep.select(F.col("doc_id").alias("_keep")).distinct()
+    rows = packed(docs)
+    kept = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")))
+    once = Window.partitionBy("doc_id").orderBy("text_hash")
+    return kept.withColumn("_n", F.row_number().over(once)).where("_n = 1").select("_row.*")

@@ -12,6 +12,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FIT_ROWS = 3000
 FIT_WORDS = 4000
@@ -210,10 +211,8 @@ def scored(docs, weights, column="score"):
     The weights (1 MB, whatever the input) go to the tasks once.  Other columns pass through,
     an earlier column of that name is replaced.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(weights)
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
     base = docs.drop(column)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
 
     def run(batches):
         scorer = Scorer(shared.value)
@@ -223,7 +222,7 @@ def scored(docs, weights, column="score"):
                 [*batch.columns, pa.array(values, pa.float64())], [*batch.schema.names, column]
             )
 
-    return base.mapInArrow(run, f"{schema}, `{column}` double")
+    return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField(column, T.DoubleType())]))
 
 
 def offending_sentences(docs, weights, least=OFFENDING):
@@ -266,5 +265,7 @@ def toxicity(docs, labels, label="toxic", threshold=THRESHOLD):
 def without_toxic(docs, labels, threshold=THRESHOLD):
     """docs without those that the model rejects; columns as they are."""
     weights = fit(docs, labels)
-    names = docs.columns
-    return scored(docs, weights, "_score").where(F.col("_score") < threshold).select(*names)
+    score = "score"
+    while score in docs.columns:
+        score = f"_{score}"
+    return scored(docs, weights, score).where(F.col(score) < threshold).select(*docs.columns)
