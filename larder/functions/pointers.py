@@ -15,20 +15,24 @@ def covers(ancestor, pointer):
     return (ancestor == "") | (ancestor == pointer) | pointer.startswith(F.concat(ancestor, F.lit("/")))
 
 
-def variant_path(pointer):
-    """The variant path of a pointer; names with a quote cannot be expressed."""
-    steps = F.filter(F.split(pointer, "/"), lambda s: s != "")
+def _member(node, name):
+    """The member of that name; a name with a quote has no variant path and is looked up in a map."""
+    members = F.try_variant_get(node, "$", "map<string,variant>")
+    path = F.concat(F.lit('$["'), name, F.lit('"]'))
+    return F.when(name.contains('"'), F.element_at(members, name)).otherwise(
+        F.try_variant_get(node, path, "variant")
+    )
 
-    def step(s):
-        name = F.replace(F.replace(s, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))
-        return F.when(s.rlike("^[0-9]{1,9}$"), F.concat(F.lit("["), s, F.lit("]"))).otherwise(
-            F.concat(F.lit('["'), name, F.lit('"]'))
-        )
 
-    return F.concat(F.lit("$"), F.array_join(F.transform(steps, step), ""))
+def _step(node, step):
+    """A step of digits is an item of an array, else a member of that name."""
+    name = F.replace(F.replace(step, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))
+    item = F.try_variant_get(node, F.concat(F.lit("$["), step, F.lit("]")), "variant")
+    member = _member(node, name)
+    return F.when(step.rlike("^[0-9]{1,9}$"), F.coalesce(item, member)).otherwise(member)
 
 
 def resolves(document, pointer):
     """Does the pointer exist in a variant?  A present null exists."""
-    found = F.try_variant_get(document, F.when(~pointer.contains('"'), variant_path(pointer)), "variant")
-    return found.isNotNull()
+    steps = F.filter(F.split(pointer, "/"), lambda s: s != "")
+    return F.aggregate(steps, document, _step).isNotNull()

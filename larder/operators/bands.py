@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.nutrients import comparable_basis, display_name, long_values, panel_order, unit_of
 from larder.functions.numbers import show_two
+from larder.operators.sizes import broadcast_if_small
 from larder.vocab import NUTRIENT_IDS
 
 
@@ -55,7 +56,7 @@ def nutrient_bands(panels, bands, key="gtin"):
         )
     )
     rules = bands.withColumn("reads", F.coalesce("derived_from", "nutrient"))
-    joined = values.join(rules, ["basis", "form", "reads"])
+    joined = values.join(broadcast_if_small(rules), ["basis", "form", "reads"])
     value = F.when(
         F.col("derived_from").isNotNull(), F.col("reading") * F.col("multiply_by")
     ).otherwise(F.col("reading"))

@@ -70,8 +70,11 @@ def peer_stats(values, minimum_peers, lower_percentile, higher_percentile, rule_
 def peer_comparison(panels, stats, category, key="gtin"):
     """A sentence per panel and nutrient that has peer cut-offs.
 
-    panels: key, block_index, category_id, basis and one column per nutrient.
+    panels: key, block_index, category_id, basis and one column per nutrient.  Cut-offs are
+    an aggregate of a large table, so they are written first; their measured size then lets
+    them be broadcast and the panels stay where they are.
     """
+    stats, category = broadcast_if_small(written(stats)), broadcast_if_small(category)
     names = category.select(F.col("id").alias("category_id"), F.col("name").alias("_name"))
     values = panels.where(F.col("basis").isin("per_100g", "per_100ml")).select(
         key, "block_index", "category_id", "basis", F.inline(long_values({n: F.col(n) for n in NUTRIENT_IDS}))

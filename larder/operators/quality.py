@@ -21,6 +21,7 @@ from larder.functions.numbers import show_one, show_whole
 from larder.functions.pointers import covers, pointer_of, resolves
 from larder.operators.dedup import duplicate_keys
 from larder.operators.ingredients import flatten_ingredients, level_totals, tree_nodes
+from larder.operators.sizes import broadcast_if_small
 from larder.schemas import FINDING
 
 FINDINGS = f"array<{FINDING}>"
@@ -459,7 +460,7 @@ def only(findings, *codes):
 def _missing(references, known, severity, code, key, message):
     """References whose value has no record; null and empty values are no reference."""
     ids = known.select(F.col(known.columns[0]).alias("value")).distinct()
-    lost = references.where(F.col("value") != "").join(ids, "value", "left_anti")
+    lost = references.where(F.col("value") != "").join(broadcast_if_small(ids), "value", "left_anti")
     return lost.select(
         key,
         F.lit(severity).alias("severity"),

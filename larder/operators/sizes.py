@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from larder.sources.scratch import new_folder
+
 BROADCAST_BYTES = 32 << 20
 
 
@@ -14,3 +16,11 @@ def broadcast_if_small(df, max_bytes=BROADCAST_BYTES):
     """
     size = df.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0]
     return F.broadcast(df) if (size or 0) <= max_bytes else df
+
+
+def written(df):
+    """df, written to the shared folder and read again, so that measuring it computes nothing twice."""
+    spark = df.sparkSession
+    path = new_folder(spark, "side")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from larder.operators import tables as t
 from larder.operators.peers import peer_stats, peer_values
 from larder.schemas import TABLES
+from larder.sources.catalogue import write_catalogue
 
 
 def catalogue_tables(products, dims, meta, peer_rule=None, starter=None):
@@ -38,6 +39,18 @@ def catalogue_tables(products, dims, meta, peer_rule=None, starter=None):
     return {name: tables[name] for name in TABLES}
 
 
+def build_catalogue(products, dims, meta, path, peer_rule=None, starter=None):
+    """Writes the records once, then every table from those files.
+
+    The plan that makes the products runs once, however many tables read them; each table
+    reads its own columns of the written records.
+    """
+    records = f"{path}/records"
+    products.write.mode("overwrite").parquet(records)
+    kept = products.sparkSession.read.schema(products.schema).parquet(records)
+    write_catalogue(catalogue_tables(kept, dims, meta, peer_rule, starter), path)
+
+
 def catalogue_peer_stats(products, peer_rule):
     """Cut-offs straight from the records: the panels carry their category, so no join."""
     if peer_rule is None:

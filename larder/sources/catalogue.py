@@ -8,10 +8,14 @@ SUPPORTED_VERSION = "1"
 
 
 def write_catalogue(tables, path, mode="overwrite"):
-    """One Parquet directory per table; products and panels are ordered by key."""
+    """One Parquet directory per table; those with a gtin are ranged and ordered by it.
+
+    A key lookup then opens one file and prunes its row groups.
+    """
     for name, df in tables.items():
         keyed = "gtin" in df.columns
-        (df.sortWithinPartitions("gtin") if keyed else df).write.mode(mode).parquet(f"{path}/{name}")
+        ranged = df.repartitionByRange("gtin").sortWithinPartitions("gtin") if keyed else df
+        ranged.write.mode(mode).parquet(f"{path}/{name}")
 
 
 def read_catalogue(spark, path):

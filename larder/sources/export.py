@@ -70,7 +70,7 @@ def read_lines(spark, path, spread=None, skip_corrupt=False):
     spread to share its lines out before the parsing.
 
     A file that cannot be read to its end fails the job.  With skip_corrupt the lines before
-    the fault are kept; count_cut_short then tells which files lost their end.
+    the fault are kept; read_extent then reports how much of each file they are.
     """
     lines = (
         spark.read.option("ignoreCorruptFiles", str(bool(skip_corrupt)).lower())
@@ -88,16 +88,18 @@ def read_lines(spark, path, spread=None, skip_corrupt=False):
     return lines.repartition(spread, F.col("ord.row")) if spread else lines
 
 
-def cut_short(lines):
-    """Files whose last line is not a whole JSON object: file, last_line (its length).
+def read_extent(lines):
+    """How much of each file was read: file, lines, bytes, whole (its last line is an object).
 
-    A file that was cut keeps the part of a line before the fault, unless the cut falls
-    between two lines.  Plain and compressed files are treated alike.
+    For runs with skip_corrupt, where a file may end before its end: Spark gives no more than
+    the lines before the fault, so a report shows what they are, not what is missing.
     """
     last = F.max_by(F.col("value"), F.struct("ord.block", "ord.row"))
-    ends = lines.groupBy(F.col("ord.file").alias("file")).agg(last.alias("value"))
+    ends = lines.groupBy(F.col("ord.file").alias("file")).agg(
+        F.count("*").alias("lines"), F.sum(F.octet_length("value") + 1).alias("bytes"), last.alias("value")
+    )
     whole = F.btrim(F.col("value"), F.lit(WHITESPACE)).endswith("}")
-    return ends.where(~whole).select("file", F.length("value").alias("last_line"))
+    return ends.select("file", "lines", "bytes", whole.alias("whole"))
 
 
 # What is not strict JSON is malformed.
