@@ -65,7 +65,7 @@ levels as (
              - coalesce(sum(cap) over (order by cap / weight, source_id rows between unbounded preceding and 1 preceding), 0))
             / sum(weight) over (order by cap / weight, source_id rows between current row and unbounded following) as own_level
   from capped),
-level as (select *, min(case when own_level * weight <= cap then own_level end) over () as level from levels),
+level as (select *, max(case when own_level * weight <= cap then own_level end) over () as level from levels),
 targets as (select source, source_id, source_size, coalesce(least(cap::double, level * weight), 0) as target from level),
 shares as (
   select *, coalesce(sum(target) over (order by source_id rows between unbounded preceding and 1 preceding), 0) / sum(target) over () as lo,

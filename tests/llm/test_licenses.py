@@ -24,7 +24,7 @@ def test_phrases_count_all_places(spark):
         (0, None, None, ""),
         (0, None, None, ""),
     ]
-    assert [found[i].n_words for i in range(5)] == [9, 5, 8, 2, 1]
+    assert [found[i].n_words for i in range(5)] == [9, 5, 7, 2, 1]
     assert found[0].score == 1.0 and found[4].score == 0.0
 
 
