@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from checks.bindings import RETRIEVED, TODAY, export_lines, oracle, table
 from checks.expressions import half_away
 from checks.registry import register
-from larder.operators import brands, dedup, mapping, report, upsert
+from larder.operators import brands, dedup, mapping, report, tables, upsert
 from larder.plans.importing import import_products, map_lines
 from larder.sources.export import OPEN_DATABASE, decode_lines
 from larder.vocab import CATEGORY_MAP, EXPORT_LICENCE
@@ -219,13 +219,35 @@ register(
         "from products"
     ),
 )
+def manifest(spark, d):
+    whole = products(spark, d)
+    starter = tables.starter_products(whole, 100)
+    return report.build_manifest(whole, 7, TODAY, SPEC, minimum_app_version="2.1.0", starter=starter)
+
+
+CONTENT = (
+    "cast(coalesce(sum(('0x' || substring(md5(array_to_string([coalesce('=' || gtin, '-'), coalesce('=' || name, '-'), "
+    "coalesce('=' || ingredients_raw, '-')], chr(31))), 1, 12))::bigint), 0) as varchar)"
+)
+DECLARED = " + ".join(f"case when {n} is not null then 1 else 0 end" for n in PANEL)
+SCORED = f"""
+scored as (
+  select *, case when basis is not null then 4 + least(4, ({DECLARED}) // 3) else 0 end
+    + case when ingredients_raw is not null then 3 else 0 end + case when brand is not null then 1 else 0 end
+    + case when category is not null then 1 else 0 end + case when package_value is not null then 1 else 0 end as score
+  from products
+)
+"""
+STARTER = "starter as (select * from scored where score > 0 order by score desc, gtin limit 100)"
+COUNTS = f"count(*), count(*) filter (basis is null and ingredients_raw is null), {CONTENT}"
 register(
-    "build_manifest",
-    lambda spark, d: report.build_manifest(products(spark, d), 7, TODAY, SPEC).drop("attribution"),
+    "build_manifest", manifest,
     with_raw(
-        f"select 7 as catalogue_version, 1 as schema_version, '{TODAY}' as built_on, 'full' as kind, "
-        f"'{EXPORT_LICENCE}' as licence, count(*) as products, "
-        "count(*) filter (basis is null and ingredients_raw is null) as incomplete from products"
+        f"select 7 as catalogue_version, 1 as schema_version, '2.1.0' as minimum_app_version, '{TODAY}' as built_on, "
+        f"'full' as kind, '{EXPORT_LICENCE}' as licence, '{SPEC.attribution}' as attribution, f.*, s.* from "
+        f"(select {COUNTS} from products) f(products, incomplete, content), "
+        f"(select {COUNTS} from starter) s(starter_products, starter_incomplete, starter_content)",
+        SCORED, STARTER,
     ),
 )
 register(

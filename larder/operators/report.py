@@ -55,11 +55,10 @@ def build_counts(products):
     )
 
 
-def content_fingerprint(df):
-    """Order-independent fingerprint of a table: equal content, equal number.
+def row_number_of(df):
+    """A number for the content of a row of df: the first 12 digits of the md5 of its columns.
 
-    The sum over rows of the first 12 digits of the md5 of the row's columns as text; null
-    is told from every text, and nested columns are taken as JSON.
+    Null is told from every text, and nested columns are taken as JSON.
     """
 
     def shown(name, kind):
@@ -70,22 +69,55 @@ def content_fingerprint(df):
         F.coalesce(F.concat(F.lit("="), shown(name, kind)), F.lit("-")) for name, kind in df.dtypes
     ]
     head = F.substring(F.md5(F.concat_ws("\x1f", *parts)), 1, 12)
-    number = F.conv(head, 16, 10).cast("decimal(38,0)")
-    return df.agg(F.coalesce(F.sum(number), F.lit(0)).cast("decimal(38,0)").alias("fingerprint"))
+    return F.conv(head, 16, 10).cast("decimal(38,0)")
+
+
+def content_fingerprint(df):
+    """Order-independent fingerprint of a table: equal content, equal number."""
+    total = F.coalesce(F.sum(row_number_of(df)), F.lit(0))
+    return df.agg(total.cast("decimal(38,0)").alias("fingerprint"))
+
+
+CONTENT = ("gtin", "name", "ingredients_raw")
 
 
-def build_manifest(products, catalogue_version, built_on, spec, kind="full", schema_version=1):
-    """One row describing a built catalogue."""
+def _section(products, prefix=""):
+    """Counts and content fingerprint of one artefact, in one pass."""
+    number = row_number_of(products.select(*CONTENT))
+    return products.agg(
+        F.count(F.lit(1)).alias(f"{prefix}products"),
+        F.count_if(~is_complete()).alias(f"{prefix}incomplete"),
+        F.coalesce(F.sum(number), F.lit(0)).cast("decimal(38,0)").cast("string").alias(f"{prefix}content"),
+    )
+
+
+def build_manifest(
+    products, catalogue_version, built_on, spec, kind="full", schema_version=1,
+    minimum_app_version="1.0.0", starter=None,
+):
+    """One row describing a built catalogue: its own counts and content, and its starter's.
+
+    Without a starter the starter columns are null.
+    """
     # Names of the manifest columns.
-    return build_counts(products).select(
+    whole = _section(products)
+    if starter is None:
+        part = [
+            F.lit(None).cast(t).alias(f"starter_{n}")
+            for n, t in (("products", "long"), ("incomplete", "long"), ("content", "string"))
+        ]
+        described = whole.select("*", *part)
+    else:
+        described = whole.crossJoin(_section(starter, "starter_"))  # one row each
+    return described.select(
         F.lit(catalogue_version).alias("catalogue_version"),
         F.lit(schema_version).alias("schema_version"),
+        F.lit(minimum_app_version).alias("minimum_app_version"),
         F.lit(str(built_on)).alias("built_on"),
         F.lit(kind).alias("kind"),
         F.lit(spec.licence).alias("licence"),
         F.lit(spec.attribution).alias("attribution"),
-        "products",
-        "incomplete",
+        "*",
     )
 
 
