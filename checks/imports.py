@@ -6,6 +6,7 @@ from checks.bindings import RETRIEVED, TODAY, export_lines, oracle, table
 from checks.expressions import half_away
 from checks.registry import register
 from larder.operators import brands, dedup, mapping, report, tables, upsert
+from larder.operators.quality import with_row_error
 from larder.plans.importing import import_products, map_lines
 from larder.sources.export import OPEN_DATABASE, decode_lines
 from larder.vocab import CATEGORY_MAP, EXPORT_LICENCE
@@ -316,3 +317,40 @@ register(
         "unchanged from products where k % 10 <> 0"
     ),
 )
+
+
+def whole_report(spark, d):
+    judged = with_row_error(products(spark, d), RETRIEVED, "broken")
+    states = upsert.upsert_states(first_import(spark, d), second_import(spark, d))
+    found = report.run_report(mapped(spark, d), states, judged, "broken", 5)
+    listed = F.array_join(
+        F.transform("drop_reasons", lambda r: F.concat(r["drop_reason"], F.lit("="), r["rows"].cast("string"))), ";"
+    )
+    return found.withColumn("drop_reasons", listed).withColumn("rejected_sample", F.array_join("rejected_sample", ","))
+
+
+PER_100 = "basis in ('per_100g', 'per_100ml')"
+MASS = (
+    "coalesce(protein_g, 0) + coalesce(carbohydrate_g, 0) + coalesce(fat_g, 0) + "
+    "case when carbohydrate_g is null then coalesce(fibre_g, 0) else 0 end"
+)
+BROKEN = (
+    "broken as (select gtin from products where sugars_g > carbohydrate_g + 0.1 or saturated_fat_g > fat_g + 0.1 "
+    f"or ({PER_100} and {MASS} > 101))"
+)
+register(
+    "run_report", whole_report,
+    with_raw(
+        "select (select count(*) from mapped) as candidates_read, (select count(*) from products) as mapped, "
+        "(select count(*) from mapped where reason is not null) as dropped, "
+        "(select count(*) from mapped where reason is null) - (select count(*) from products) as duplicates, "
+        "(select count(*) from products where basis is null and ingredients_raw is null) as incomplete, "
+        "(select count(*) from products where k % 10 <> 0 and (k % 7 = 0 or k % 3 = 0)) as written, "
+        "(select count(*) from products where k % 10 <> 0 and k % 7 <> 0 and k % 3 <> 0) as unchanged, "
+        "(select count(*) from broken) as rejected, "
+        "(select string_agg(gtin, ',' order by gtin) from (select gtin from broken order by gtin limit 5)) as rejected_sample, "
+        "(select string_agg(reason || '=' || n, ';' order by reason) from (select reason, count(*) as n from mapped where "
+        "reason is not null group by reason)) as drop_reasons",
+        BROKEN,
+    ),
+)

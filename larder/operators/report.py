@@ -35,6 +35,26 @@ def upsert_counts(states):
     )
 
 
+def run_report(mapped, states, judged, broken, sample=50, order="ord"):
+    """The whole report of an import as one row.
+
+    mapped: rows of map_lines; states: rows of upsert_states; judged: products with a flag
+    `broken` of those that the validator rejects.  Adds to import_report what was written and
+    unchanged, how many were rejected with the first keys of them, and the drop reasons with
+    their counts.  Each part is one row, so the parts are put side by side.
+    """
+    reasons = drop_reason_counts(mapped).agg(
+        F.array_sort(F.collect_list(F.struct("drop_reason", "rows"))).alias("drop_reasons")
+    )
+    lost = judged.where(F.col(broken)).select("gtin")
+    keys = lost.orderBy("gtin").limit(sample).agg(F.array_sort(F.collect_list("gtin")).alias("rejected_sample"))
+    rejected = lost.agg(F.count(F.lit(1)).alias("rejected"))
+    row = import_report(mapped, order)
+    for part in (upsert_counts(states), rejected, keys, reasons):
+        row = row.crossJoin(part)
+    return row
+
+
 def drop_reason_counts(mapped):
     return (
         mapped.where(F.col("drop_reason").isNotNull())
