@@ -22,7 +22,7 @@ from larder.llm.components import components
 
 SHINGLE = 3
 MOST_BITS = 3
-SAMPLE = 4096
+SAMPLE = 1 << 16
 SHARD_ROWS = 1024
 SLICE = 1 << 15
 
