@@ -9,6 +9,7 @@ lower posterior bound of its rate reaches a threshold.
 
 from pyspark.sql import functions as F
 
+from larder.llm.common import stored
 from larder.operators.sizes import broadcast_if_small
 
 # The last labels of a host that are a public suffix of two labels; other suffixes have one.
@@ -118,15 +119,16 @@ def host_reputation(parts, outcomes):
     )
     counted = parts.select("page_id", "host", "domain", "suffix").join(seen, "page_id", "left")
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "good")]
-    hosts = counted.groupBy("host", "domain", "suffix").agg(*sums)
+    # Each level is small beside the pages; written once, it is measured and joined from there.
+    hosts = stored(counted.groupBy("host", "domain", "suffix").agg(*sums), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(*sums)
     suffixes = domains.groupBy("suffix").agg(*sums).withColumn("root", F.lit(1))
     roots = suffixes.groupBy("root").agg(*sums).select(
         "root", ((F.col("good") + 0.5) / (F.col("n") + 1)).alias("rate")
     )
-    rated = _shrunk(suffixes, "suffix", roots, "root")
-    rated = _shrunk(domains, "domain", rated, "suffix")
-    rated = _shrunk(hosts, "host", rated, "domain")
+    rated = stored(_shrunk(suffixes, "suffix", roots, "root"), "suffixes")
+    rated = stored(_shrunk(domains, "domain", rated, "suffix"), "domains")
+    rated = stored(_shrunk(hosts, "host", rated, "domain"), "reputation")
     weight = F.col("n") + F.col("strength")
     spread = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (weight + 1))
     return rated.select(
