@@ -6,6 +6,7 @@ from checks.bindings import oracle, records, table
 from checks.registry import register
 from checks.rules import with_nodes
 from larder.operators import lookup, report, tables
+from larder.operators.sizes import written
 from larder.sources import catalogue
 from larder.sources.export import input_lineage
 from larder.vocab import NUTRIENT_IDS
@@ -190,7 +191,7 @@ register(
 
 
 def assembled(spark, d):
-    base = records(spark, d).withColumn("gtin", F.col("rid").cast("string"))
+    base = written(records(spark, d).withColumn("gtin", F.col("rid").cast("string")))
     parts = {
         "product": tables.product_table(base),
         "product_country": tables.product_country_table(base),
