@@ -440,6 +440,17 @@ def view(spark, d):
     return whole.select(
         "gtin", "name", "brand_name", "description", "verification", "sources", "freshness", "is_complete",
         "needs_discovery", F.col("state").alias("phrase_state"), F.coalesce(F.size("indicators"), F.lit(0)).alias("indicators"),
+        F.array_join(
+            F.transform(
+                "panels",
+                lambda p: F.concat(
+                    p["basis_label"], F.lit(" ["),
+                    F.array_join(F.transform(p["rows"], lambda r: F.concat(r["nutrient"], F.lit("="), r["shown"])), ";"), F.lit("]"),
+                ),
+            ),
+            " ",
+        ).alias("panels"),
+        F.array_join(F.transform("peers", lambda p: p["sentence"]), " ").alias("peers"),
     )
 
 
@@ -447,15 +458,40 @@ def one(x):
     return f"rtrim(rtrim(cast(round(cast({x} as decimal(30,10)), 1) as decimal(30,1))::varchar, '0'), '.')"
 
 
+LABEL_VALUES = "peer_values as (" + " union all ".join(
+    f"select category as category_id, basis, '{n}' as nutrient, {n} as value from typed_nutrition where category is not null "
+    f"and basis in ('per_100g', 'per_100ml') and {n} is not null"
+    for n in PEER_NUTRIENTS
+) + ")"
 register(
     "product_view", view,
     chain(
         "typed_nutrition",
         [
-            oracle("select 1 from {brand_names}").rsplit(" select 1", 1)[0][len("with "):], NORMAL.strip(), BAND_CTE,
+            *[oracle("select 1 from {%s}" % n).rsplit(" select 1", 1)[0][len("with "):] for n in ("brand_names", "category_names")],
+            NORMAL.strip(), BAND_CTE,
             "levels as (select key, count(*) as n from normal n join bands b on b.form = n.form where case b.nutrient when "
             "'sugars_g' then sugars_g when 'fat_g' then fat_g else sodium_mg end is not null group by key)",
             "dated as (select *, try_cast(last_verified as date) as day from label_rows)",
+            "cells as (" + " union all ".join(
+                f"select rid, block_index, nd, '{n}' as nutrient, {n} as value, {i} as position from typed_nutrition"
+                for i, n in enumerate(NUTRIENT_IDS)
+            ) + ")",
+            f"shown as (select rid, block_index, string_agg(concat(nutrient, '=', case when value is null then 'Unknown' else "
+            f"concat({two('value')}, ' ', case nutrient when 'energy_kcal' then 'kcal' when 'energy_kj' then 'kJ' when "
+            "'sodium_mg' then 'mg' else 'g' end) end), ';' order by position) as figures from cells where value is not null or "
+            "(nd = 1 and nutrient in ('added_sugars_g', 'sugars_g')) or (nd = 2 and nutrient = 'trans_fat_g') group by all)",
+            "panel_texts as (select rid, string_agg(concat(case basis when 'per_100g' then 'Per 100 g' when 'per_100ml' then "
+            "'Per 100 ml' when 'per_serving' then 'Per serving' else 'Per package' end, ' [', coalesce(figures, ''), ']'), ' ' "
+            "order by block_index) as panels from typed_nutrition left join shown using (rid, block_index) group by rid)",
+            LABEL_VALUES, STATS,
+            "compared as (select c.rid, string_agg(concat(case c.nutrient when 'sugars_g' then 'Sugars' when 'fat_g' then 'Fat' "
+            "else 'Sodium' end, ': ', case when value > higher_value then 'more than most' when value < lower_value then 'less "
+            "than most' else 'about the same as most' end, ' of the ', peer_count, ' products in the ', lower(coalesce(g.name, "
+            "s.category_id)), ' category that declare a figure.'), ' ' order by c.block_index, c.nutrient) as peers from cells c "
+            "join typed_nutrition t on t.rid = c.rid and t.block_index = c.block_index join stats s on s.category_id = "
+            "t.category and s.basis = t.basis and s.nutrient = c.nutrient left join category_names g on g.id = s.category_id "
+            "where value is not null group by c.rid)",
         ],
         "select cast(r.rid as varchar) as gtin, r.name, coalesce(b.name, brand) as brand_name, concat_ws(' · ', "
         f"coalesce(b.name, brand), case when package_value is not null then trim(concat({one('package_value')}, ' ', case when "
@@ -467,9 +503,10 @@ register(
         "case when day is null then 'Unknown' when m < 6 then 'Current' when m < 12 then 'ReviewRecommended' else "
         "'PossiblyOutdated' end as freshness, basis0 is not null or ingredients_raw is not null as is_complete, "
         "not (basis0 is not null or ingredients_raw is not null) as needs_discovery, "
-        f"{PALM_STATE.replace('rid', 'r.rid')} as phrase_state, coalesce(l.n, 0) as indicators from (select *, (2026 - "
+        f"{PALM_STATE.replace('rid', 'r.rid')} as phrase_state, coalesce(l.n, 0) as indicators, v.panels, w.peers from (select *, (2026 - "
         "year(day)) * 12 + 6 - month(day) - case when 15 < day(day) then 1 else 0 end as m from dated) r "
-        "left join brand_names b on b.id = r.brand left join levels l on l.key = cast(r.rid as varchar)",
+        "left join brand_names b on b.id = r.brand left join levels l on l.key = cast(r.rid as varchar) "
+        "left join panel_texts v on v.rid = r.rid left join compared w on w.rid = r.rid",
     ),
 )
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.analysis import PEER_NUTRIENTS, PEER_RULE, STATS, chain
+from checks.analysis import LABEL_VALUES, PEER_RULE, STATS, chain
 from checks.bindings import export_lines, oracle, records, table
 from checks.imports import SPEC, products, with_raw
 from checks.registry import register
@@ -102,14 +102,9 @@ def catalogue_stats(spark, d):
     return peers.peer_stats(values, 5, 25, 75, "peers", "1.0.0")
 
 
-CATALOGUE_VALUES = "peer_values as (" + " union all ".join(
-    f"select category as category_id, basis, '{n}' as nutrient, {n} as value from typed_nutrition where category is not "
-    f"null and basis in ('per_100g', 'per_100ml') and {n} is not null"
-    for n in PEER_NUTRIENTS
-) + ")"
 register(
     "catalogue_peer_stats", catalogue_stats,
-    chain("typed_nutrition", [CATALOGUE_VALUES, STATS.replace("n >= 30", "n >= 5")], "select * from stats"),
+    chain("typed_nutrition", [LABEL_VALUES, STATS.replace("n >= 30", "n >= 5")], "select * from stats"),
 )
 register(
     "duplicate_gtins",

@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from larder.functions.nutrients import display_name, long_values
+from larder.operators.sizes import broadcast_if_small, written
 from larder.vocab import NUTRIENT_IDS
 
 GROUP = ["category_id", "basis", "nutrient"]

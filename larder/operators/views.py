@@ -3,13 +3,14 @@
 from pyspark.sql import functions as F
 
 from larder.functions.dates import freshness, freshness_note
-from larder.functions.numbers import show_one
+from larder.functions.nutrients import display_name, unit_of
+from larder.functions.numbers import show_one, show_two
 from larder.operators import bands as band_rules
 from larder.operators import peers, phrases
 from larder.operators.lookup import display_names
 from larder.operators.mapping import is_complete
 from larder.operators.tables import panel_rows
-from larder.vocab import BASES, SOURCE_TYPES
+from larder.vocab import BASES, NUTRIENT_IDS, SOURCE_TYPES
 
 # Labels in vocabulary order.
 BASIS_LABELS = ["Per 100 g", "Per 100 ml", "Per serving", "Per package"]
@@ -63,8 +64,29 @@ def package_text(package):
     )
 
 
+def panel_views(nutrition):
+    """Each panel as a screen shows it: its basis in words and its rows in panel order.
+
+    A row is a figure with its unit, or Unknown where the packet declares none.
+    """
+
+    def view(panel, i):
+        def row(nutrient):
+            value, name = panel["values"][nutrient], F.lit(nutrient)
+            absent = F.coalesce(F.array_contains(panel["not_declared"], nutrient), F.lit(False))
+            figure = F.concat_ws(" ", show_two(value), unit_of(name))
+            shown = F.when(value.isNull(), "Unknown").otherwise(figure)
+            made = F.struct(name.alias("nutrient"), display_name(name).alias("display"), shown.alias("shown"))
+            return F.when(value.isNotNull() | absent, made)
+
+        rows = F.array_compact(F.array(*[row(n) for n in NUTRIENT_IDS]))
+        return F.struct(i.alias("block_index"), basis_label(panel["basis"]).alias("basis_label"), rows.alias("rows"))
+
+    return F.transform(nutrition, view)
+
+
 def product_scalars(products, brand, today):
-    """Names, texts, freshness and completeness of each product."""
+    """Names, texts, freshness, completeness and panels of each product, all from its own row."""
     named = display_names(products, brand, "brand", "brand_name")
     checked = F.col("verification.last_verified")
     complete = is_complete("nutrition", F.trim("ingredients_raw"))
@@ -79,6 +101,7 @@ def product_scalars(products, brand, today):
         freshness_note(checked, today).alias("freshness_note"),
         complete.alias("is_complete"),
         (~complete).alias("needs_discovery"),
+        panel_views(F.col("nutrition")).alias("panels"),
     )
 
 
