@@ -12,6 +12,7 @@ from larder.operators.ingredients import tree_nodes
 from larder.operators.sizes import broadcast_if_small
 from larder.vocab import PHRASE_ACCENTS
 
+# Fixed value: what parts an ingredient statement into segments.
 SEPARATORS = r"[,;()\[\]{}•|\n]+"
 NO_SHARES = "array<struct<canonical:string,percentage:double>>"
 
@@ -178,6 +179,7 @@ def _percentage(match, percent_text, shares):
     quoted = F.replace(
         F.replace(match["alias"], F.lit("."), F.lit("\\.")), F.lit(" "), F.lit("[^a-z0-9]+")
     )
+    # Fixed value: a share printed right after the phrase.
     pattern = F.concat(quoted, F.lit(r"[^a-z0-9%]{0,3}(\d{1,3}(?:\.\d+)?)\s*%"))
     printed = F.nullif(F.call_function("regexp_extract", percent_text, pattern, F.lit(1)), F.lit("")).try_cast("double")
     return F.coalesce(of_tree, F.when((printed > 0) & (printed <= 100), printed))
