@@ -104,23 +104,33 @@ def fit(docs, labels, label="toxic", most_rows=FIT_ROWS, most_words=FIT_WORDS):
     weights[-1] = -30.0
     if not (0 < y.sum() < len(y)):
         return weights
-    ids = np.frombuffer(b"".join(found.column("ids").to_pylist()), "<i4")
-    per_doc = [np.frombuffer(x, "<i4") for x in found.column("sizes").to_pylist()]
-    sizes = np.concatenate(per_doc)
-    doc_of = np.repeat(np.arange(len(y)), [len(x) for x in per_doc])
-    return train(ids, sizes, doc_of, y)
 
+    def documents():
+        for ids, sizes in zip(found.column("ids"), found.column("sizes")):
+            yield np.frombuffer(ids.as_py(), "<i4"), np.frombuffer(sizes.as_py(), "<i4")
 
-def telling(ids, doc_of_id, y):
+    # A document at a time: only what the telling features leave is put together.
+    mask = telling((ids for ids, _ in documents()), y)
+    kept, sentence_of, doc_of, n = [], [], [], 0
+    for doc, (ids, sizes) in enumerate(documents()):
+        keep = mask[ids]
+        kept.append(ids[keep])
+        sentence_of.append(np.repeat(np.arange(n, n + len(sizes)), sizes)[keep])
+        doc_of.append(np.full(len(sizes), doc))
+        n += len(sizes)
+    return train(*map(np.concatenate, (kept, sentence_of, doc_of)), y, mask)
+
+
+def telling(documents, y):
     """Features that toxic documents hold far more often than clean ones (a mask).
 
     They pass the universal threshold sqrt(2 ln F) for F features on the two-proportion
     score, and are at least RATIO times as frequent; all other features weigh nothing.
     """
-    pairs = np.unique(doc_of_id.astype(np.int64) * BUCKETS + ids)
-    toxic = y[pairs // BUCKETS] == 1
-    a = np.bincount(pairs[toxic] % BUCKETS, minlength=BUCKETS)
-    b = np.bincount(pairs[~toxic] % BUCKETS, minlength=BUCKETS)
+    counts = np.zeros((2, BUCKETS), np.int64)
+    for ids, toxic in zip(documents, y):
+        counts[int(toxic), np.unique(ids)] += 1
+    b, a = counts
     n1, n0 = y.sum(), (1 - y).sum()
     p = (a + b) / (n1 + n0)
     spread = np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
@@ -129,22 +139,18 @@ def telling(ids, doc_of_id, y):
     return (score >= least) & (a / n1 >= RATIO * (b + 0.5) / n0)
 
 
-def train(ids, sizes, doc_of, y, epochs=EPOCHS, rate=0.3):
+def train(ids, sentence_of, doc_of, y, mask, epochs=EPOCHS, rate=0.3):
     """Full-batch adaptive gradient on the noisy-or likelihood, both labels weighing alike.
 
-    ids: features of all sentences in turn; sizes: how many each has; doc_of: the document of
-    each sentence.  Only telling features get a weight, and none below zero.
+    ids: telling features; sentence_of: the sentence of each; doc_of: the document of each
+    sentence.  Only features of the mask get a weight, and none below zero.
     """
-    sentence_of = np.repeat(np.arange(len(sizes)), sizes)
-    mask = telling(ids, doc_of[sentence_of], y)
-    keep = mask[ids]
-    ids, sentence_of = ids[keep], sentence_of[keep]
     w, b = np.where(mask, 1.0, 0.0), -6.0
     seen, seen_b = np.full(BUCKETS, 1e-8), 1e-8
     each = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     n_docs = len(y)
     for _ in range(epochs):
-        z = np.clip(b + np.bincount(sentence_of, w[ids], len(sizes)), -30, 30)
+        z = np.clip(b + np.bincount(sentence_of, w[ids], len(doc_of)), -30, 30)
         p = 1 / (1 + np.exp(-z))
         clean = np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-9)), n_docs)
         some = np.maximum(1 - np.exp(clean), 1e-9)
