@@ -8,12 +8,11 @@ from larder.functions.barcodes import normalize_gtin
 def lookup_products(probes, product, code):
     """Probe codes of any width against the catalogue; unknown and invalid codes stay, unfound.
 
-    Probe keys are matched once per distinct key, so one popular code is looked up once.
+    One join on the key, each side exchanged once; AQE splits the probes of a popular code.
     Probes without a key join nothing, so they do not meet in one partition.
     """
     keyed = probes.select("*", F.explode_outer(F.array(normalize_gtin(F.col(code)))).alias("gtin"))
-    wanted = keyed.where(F.col("gtin").isNotNull()).select("gtin").distinct()
-    known = product.join(wanted, "gtin", "left_semi").withColumn("_known", F.lit(True))
+    known = product.withColumn("_known", F.lit(True))
     found = keyed.where(F.col("gtin").isNotNull()).join(known, "gtin", "left")
     invalid = keyed.where(F.col("gtin").isNull())
     return (
