@@ -52,6 +52,24 @@ def packed(docs):
     )
 
 
+def one_of_each(docs, found):
+    """docs with one row for each component of found (doc_id, text_hash, component).
+
+    The row with the smallest doc_id stays, null last, then that with the smallest hash of its
+    text; of rows equal in both, one.  Columns as in docs.
+    """
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    keep = found.groupBy("component").agg(F.min(rank).alias("first")).select(
+        F.col("first.doc_id").alias("_keep"), F.col("first.text_hash").alias("_hash")
+    )
+    rows = packed(docs)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")) & (F.col("text_hash") == F.col("_hash"))
+    kept = rows.join(keep.distinct(), same)
+    # Only rows equal in both meet in a window, and each task keeps one of them before the exchange.
+    once = Window.partitionBy("doc_id", "text_hash").orderBy(*[c for c in ("source",) if c in docs.columns] or ["doc_id"])
+    return kept.withColumn("_n", F.row_number().over(once)).where("_n = 1").select("_row.*")
+
+
 def running_sum(df, keys, chunk, order, value, into):
     """Adds the sum of value over all earlier rows of the same keys, hot keys split.
 
