@@ -126,8 +126,12 @@ def overlaps(docs, benchmark, masks=MASKS, window=WINDOW, share=SHARE):
 def clean_documents(docs, benchmark, **options):
     """docs without those that overlap a benchmark item; columns as they are.
 
-    A row whose doc_id is null goes if any row without an id overlaps.
+    Rows that share a doc_id, or have none, go or stay each by its own text.
     """
-    found = overlaps(docs, benchmark, **options).select(F.col("doc_id").alias("_leaked")).distinct()
+    hashed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("doc_id"), "text")
+    found = overlaps(hashed, benchmark, **options).select(
+        F.col("doc_id.doc_id").alias("_leaked"), F.col("doc_id.text_hash").alias("_hash")
+    ).distinct()
     rows = packed(docs)
-    return rows.join(found, F.col("doc_id").eqNullSafe(F.col("_leaked")), "left_anti").select("_row.*")
+    same = F.col("doc_id").eqNullSafe(F.col("_leaked")) & (F.col("text_hash") == F.col("_hash"))
+    return rows.join(found, same, "left_anti").select("_row.*")

@@ -14,10 +14,9 @@ import random
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import packed, stored
+from larder.llm.common import one_of_each, stored
 from larder.llm.components import components
 
 SHINGLE = 3
@@ -49,7 +48,7 @@ def fingerprint(text, size=SHINGLE):
 
 
 def fingerprints(docs, size=SHINGLE):
-    """doc_id and its fingerprint (the 64 bits as a signed long), a row per row of docs.
+    """doc_id, text_hash and the fingerprint (64 bits as a signed long), a row per row of docs.
 
     The text is lower-cased in A-Z and cut at white space (bytes.split cuts at the six ASCII
     ones); shingles of `size` words, repeats included, are hashed by XXH64 with seed 42.  A
@@ -61,12 +60,16 @@ def fingerprints(docs, size=SHINGLE):
         for batch in batches:
             values = [fingerprint(t, size) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.array(values, np.uint64).view(np.int64))],
-                ["doc_id", "fingerprint"],
+                [
+                    batch.column("doc_id"),
+                    batch.column("text_hash"),
+                    pa.array(np.array(values, np.uint64).view(np.int64)),
+                ],
+                ["doc_id", "text_hash", "fingerprint"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, fingerprint long"
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
+        run, "doc_id long, text_hash long, fingerprint long"
     )
 
 
@@ -207,12 +210,11 @@ def near_pairs(prints, most=MOST_BITS, sample=SAMPLE, shard_rows=SHARD_ROWS):
     return shards.groupBy("side", "leaf").applyInArrow(match, "a long, b long")
 
 
-def near_duplicates(docs, size=SHINGLE, most=MOST_BITS):
-    """Per row of docs: doc_id, fingerprint (long), component_id.
+def components_of(docs, size=SHINGLE, most=MOST_BITS):
+    """Per row of docs: doc_id, text_hash, fingerprint, component_id, component (never null).
 
     component_id is the smallest doc_id that links of at most `most` bits reach.  Equal
-    fingerprints are one class and are never expanded into pairs.  Rows of one doc_id count
-    each for itself; a class of null ids only has a null component.  Empty tables give none.
+    fingerprints are one class and are never expanded into pairs.
     """
     prints = stored(fingerprints(docs, size), "fingerprints")
     classes = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "classes")
@@ -223,20 +225,22 @@ def near_duplicates(docs, size=SHINGLE, most=MOST_BITS):
         "root", F.coalesce("root", "fingerprint")
     )
     smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    known = grouped.join(smallest, "root").select("fingerprint", "component_id")
-    return prints.join(known, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    known = grouped.join(smallest, "root").select("fingerprint", "component_id", F.col("root").alias("component"))
+    return prints.join(known, "fingerprint").select(
+        "doc_id", "text_hash", "fingerprint", "component_id", "component"
+    )
 
 
-def first_of_each(docs, **options):
-    """docs without those whose component has an earlier one: the smallest doc_id stays.
+def near_duplicates(docs, **options):
+    """Per row of docs: doc_id, fingerprint (long), component_id, see `components_of`.
 
-    Of rows that repeat the smallest doc_id one stays, and of rows without an id one, if no
-    other row has their component.  Columns as in docs.
+    Rows of one doc_id count each for itself; a class of null ids only has a null component.
+    Empty tables give none.
     """
-    found = near_duplicates(docs, **options)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = keep.select(F.col("doc_id").alias("_keep")).distinct()
-    rows = packed(docs)
-    kept = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")))
-    once = Window.partitionBy("doc_id").orderBy("text_hash")
-    return kept.withColumn("_n", F.row_number().over(once)).where("_n = 1").select("_row.*")
+    return components_of(docs, **options).select("doc_id", "fingerprint", "component_id")
+
+
+def first_of_each(docs, **options):
+    """docs with one row of each component: the smallest doc_id, null last, then text_hash."""
+    found = components_of(docs, **options).select("doc_id", "text_hash", "component")
+    return one_of_each(docs, found)
