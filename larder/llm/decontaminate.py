@@ -4,6 +4,9 @@ A mask looks at some of the words in a window and ignores the others, so a passa
 words replaced still agrees with the original wherever the replaced ones fall on ignored
 places.  Hashes of the benchmark's windows are joined to those of all windows of the corpus;
 each hit fixes an alignment, which is verified word by word.
+
+The masks together leave no way to replace two of 13 words unseen.  An item shorter than that
+is cut into one run of words more than may be replaced; one of the runs then is whole.
 """
 
 from pyspark.sql import functions as F
@@ -12,10 +15,13 @@ from larder.llm.common import gram_hash, packed, words_of
 from larder.operators.sizes import broadcast_if_small
 
 # Word places that count, from the first word of a window.
-MASKS = ((0, 1, 3, 4, 6), (0, 2, 3, 5, 7))
+MASKS = ((0, 1, 3, 4, 6), (0, 2, 3, 5, 7), (0, 1, 3, 7, 8))
 SEPARATORS = r"^\p{L}\p{N}"
 WINDOW = 13
 SHARE = 0.8
+# Shorter items admit no replaced word and are not looked for.
+LEAST_ITEM = 5
+LONGEST_RUN = 8
 
 
 def normal_words(text):
@@ -46,22 +52,45 @@ def windows(rows, masks=MASKS):
     )
 
 
+def runs(items, window=WINDOW, share=SHARE):
+    """Seeds of the items shorter than the window: item_place, length and the item's columns."""
+    n = F.size("words")
+    parts = (n - F.ceil(n * F.lit(share)) + 1).cast("int")
+    length = F.least(F.expr("int(_n div _parts)"), F.lit(LONGEST_RUN))
+    short = items.where((n < window) & (n >= LEAST_ITEM)).withColumn("_n", n).withColumn("_parts", parts)
+    return short.withColumn("length", length).select(
+        *items.columns,
+        "length",
+        F.explode(F.expr("transform(sequence(0, _parts - 1), i -> int(i * (_n div _parts)))")).alias("item_place"),
+    )
+
+
 def overlaps(docs, benchmark, masks=MASKS, window=WINDOW, share=SHARE):
     """Verified overlaps: doc_id, item_id, first_word, n_words, n_same, passage.
 
     Aligned words of a document and an item are compared from hit to hit; an overlap is the
     best stretch of min(window, words of the item) words with at least `share` of them equal,
     and a row is the best alignment of the pair (most equal words, then the first).  Null or
-    empty texts, and items shorter than the shortest window, have none.  Rows that repeat a
+    empty texts, and items of fewer than LEAST_ITEM words, have none.  Rows that repeat a
     doc_id are one document if their texts are equal, else each is compared.  Benchmark
     hashes are broadcast when their measured size allows it; beyond, the join is shuffled.
     """
     items = benchmark.select(
         F.col("item_id"), normal_words(F.col("text")).alias("words")
-    ).where(F.size("words") > 0)
-    seeds = windows(items, masks).select(
-        "hash", "mask", "item_id", F.col("place").alias("item_place"), F.size("words").alias("n_item")
-    )
+    ).where(F.size("words") >= LEAST_ITEM)
+    short = runs(items, window, share)
+    # Whole runs are masks too; texts are only searched for the lengths that items have.
+    lengths = sorted(r[0] for r in short.select("length").distinct().collect())
+    place, n_item = F.col("place").alias("item_place"), F.size("words").alias("n_item")
+    seeds = windows(items.where(F.size("words") >= window), masks).select("hash", "mask", "item_id", place, n_item)
+    for number, length in enumerate(lengths, len(masks)):
+        value = gram_hash(F.col("words"), F.col("item_place"), range(length))
+        seeds = seeds.union(
+            short.where(F.col("length") == length).select(
+                value.alias("hash"), F.lit(number).alias("mask"), "item_id", "item_place", n_item
+            )
+        )
+    masks = (*masks, *[tuple(range(length)) for length in lengths])
     texts = docs.select(F.col("doc_id"), normal_words(F.col("text")).alias("words"))
     hits = windows(texts, masks).join(broadcast_if_small(seeds), ["hash", "mask"])
     # The document's words that lie beside the item's; what lies outside it is null.
