@@ -4,15 +4,18 @@ from pyspark.sql import functions as F
 
 from larder.llm import (
     decontaminate,
+    language_model,
     licenses,
     lines,
     mixing,
+    negatives,
     revisits,
     simhash,
     tokens,
     topk,
     toxicity,
     urls,
+    whitening,
 )
 
 QUERIES = {}
@@ -357,6 +360,45 @@ def op10_revisits(spark, sf_dir):
     return found.withColumn("headers", text)
 
 
+@register()
+def op11_language_model(spark, sf_dir):
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = """
+with usable as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)) as w from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))),
+scored as (
+  select a.vec_id as anchor_id, a.label as anchor_label, r.vec_id, r.label, list_inner_product(a.w, r.w)::bigint as score
+  from usable a join usable r on a.vec_id % 50 = 0 and a.vec_id <> r.vec_id),
+positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score
+  from (select *, row_number() over (partition by anchor_id order by score desc, vec_id) as place from scored where label = anchor_label)
+  where place <= 5),
+pairs as (
+  select p.*, s.vec_id as negative_id, s.score as negative_score,
+         row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id) as rank
+  from positives p join scored s using (anchor_id)
+  where s.label <> s.anchor_label and 50 * positive_score <= 100 * s.score and 100 * s.score <= 95 * positive_score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from pairs where rank <= 3
+"""
+
+
+@register(OP12_SQL)
+def op12_hard_negatives(spark, sf_dir):
+    label = F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)")
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return negatives.hard_negatives(rows, rows.where("vec_id % 50 = 0"))
+
+
+@register()
+def op13_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 @register()
 def pipeline(spark, sf_dir):
     import corpus_pipeline

@@ -38,4 +38,4 @@ def test_each_stage_does_what_its_operator_says(spark, stages):
 
 
 def test_run_is_registered():
-    assert "pipeline" in QUERIES and len([q for q in QUERIES if q.startswith("op")]) == 10
+    assert "pipeline" in QUERIES and len([q for q in QUERIES if q.startswith("op")]) == 13
