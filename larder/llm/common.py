@@ -1,5 +1,6 @@
 """Shared pieces: tables in the cluster's shared folder, splits of hot groups, word arrays."""
 
+import contextlib
 import tempfile
 import uuid
 
@@ -38,6 +39,18 @@ def stored(df, name):
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def small_batches(spark, rows):
+    """While it holds, Arrow batches have few rows: a batch is bounded by rows, and texts are long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def packed(docs):
     """docs as a struct `_row` beside doc_id, source and text where docs has them.
 

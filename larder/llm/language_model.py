@@ -18,17 +18,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from larder.llm.common import stored
+from larder.llm.common import small_batches, stored
 
 GROWTH = 1.25
 HASHES = 5
-BITS_AN_ENTRY = 16
+BITS_AN_ENTRY = 12
 STRENGTHS = tuple(4.0**i for i in range(-1, 9))
 SEGMENT_BYTES = 192 << 20
 HEAD_WORDS = 1 << 20
 BUCKET_BYTES = 8 << 20
 FLUSH_TOKENS = 1 << 22
-CHUNK_TOKENS = 1 << 19
+CHUNK_TOKENS = 1 << 17
+BATCH_ROWS = 512
 MEMO, MEMO_WORD = 200_000, 64
 
 
@@ -220,17 +221,18 @@ def counted(docs, bits):
 class Filter:
     """Parts of a filter, end to end; those of other buckets are empty."""
 
-    def __init__(self, parts, bits):
-        """parts: (bucket, bytes)."""
+    def __init__(self, lengths, bits):
+        """lengths: bytes of each bucket's part."""
         self.bits = bits
-        lengths = np.zeros(1 << bits, np.int64)
-        for bucket, data in parts:
-            lengths[bucket] = len(data)
-        self.starts = np.concatenate(([0], np.cumsum(lengths)))
-        self.sizes = (lengths * 8).astype(np.uint64)
+        own = np.zeros(1 << bits, np.int64)
+        for bucket, length in lengths:
+            own[bucket] = length
+        self.starts = np.concatenate(([0], np.cumsum(own)))
+        self.sizes = (own * 8).astype(np.uint64)
         self.data = np.zeros(int(self.starts[-1]) + 1, np.uint8)
-        for bucket, data in parts:
-            self.data[self.starts[bucket] : self.starts[bucket] + len(data)] = np.frombuffer(data, np.uint8)
+
+    def put(self, bucket, data):
+        self.data[self.starts[bucket] : self.starts[bucket] + len(data)] = np.frombuffer(data, np.uint8)
 
     def levels(self, hashes):
         """The level read for each hash: probes with rising levels until one is missing."""
@@ -278,14 +280,15 @@ def likelihoods(of_word, of_pair, of_start, sizes, total, held_out):
     return np.stack(plain, 1), np.stack(left_out, 1)
 
 
-def segments(sizes, most=SEGMENT_BYTES):
-    """Lots of buckets in order, each of at most `most` bytes where a single one is not larger."""
+def segments(parts, most=SEGMENT_BYTES):
+    """Lots of parts (bucket, bytes of words, of pairs), each of at most `most` bytes, or one part."""
     out, size = [[]], 0
-    for bucket, own in sizes:
+    for part in parts:
+        own = part[1] + part[2]
         if out[-1] and size + own > most:
             out.append([])
             size = 0
-        out[-1].append(bucket)
+        out[-1].append(part)
         size += own
     return out
 
@@ -308,7 +311,8 @@ def score(docs, most_bytes=SEGMENT_BYTES, head_words=HEAD_WORDS, bucket_bytes=BU
     training = docs.where("not held_out").select("text")
     size = training.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1, size / bucket_bytes)))))
-    table = stored(counted(training, bits), "counts")
+    with small_batches(spark, BATCH_ROWS):
+        table = stored(counted(training, bits), "counts")
 
     tokens, words = table.agg(F.sum("tokens"), F.sum(F.size("words").cast("long"))).first()
     tokens, words = tokens or 0, words or 0
@@ -320,15 +324,15 @@ def score(docs, most_bytes=SEGMENT_BYTES, head_words=HEAD_WORDS, bucket_bytes=BU
     head_counts = known.column("counts").to_numpy()[order]
     shared_head = spark.sparkContext.broadcast((head_hashes, head_counts))
 
-    weight = F.length("word_filter") + F.length("pair_filter")
-    parts = [(r.bucket, r.size) for r in table.select("bucket", weight.alias("size")).orderBy("bucket").collect()]
-    lots = segments(parts, most_bytes)
+    parts = table.select("bucket", F.length("word_filter"), F.length("pair_filter")).orderBy("bucket").collect()
+    lots = segments(map(tuple, parts), most_bytes)
     state = docs.withColumns({c: F.lit(None).cast("binary") for c in ("word_levels", "pair_levels")})
     state = state.withColumn("start_level", F.lit(0))
-    for lot in lots[:-1]:
-        state = stored(probed(state, shared_filters(table, lot, bits)), "levels")
-    last = shared_filters(table, lots[-1], bits)
-    rows = stored(scored(state, last, shared_head, tokens + words + 1), "scores")
+    with small_batches(spark, BATCH_ROWS):
+        for lot in lots[:-1]:
+            state = stored(probed(state, shared_filters(table, lot, bits)), "levels")
+        last = shared_filters(table, lots[-1], bits)
+        rows = stored(scored(state, last, shared_head, tokens + words + 1), "scores")
 
     best = rows.agg(*[F.sum(F.get("left_out", F.lit(i))) for i in range(len(STRENGTHS))]).first()
     strength = max(range(len(STRENGTHS)), key=lambda i: (best[i] or 0.0, i)) if tokens else len(STRENGTHS) - 1
@@ -366,14 +370,15 @@ def head_count(table, most):
 
 def shared_filters(table, lot, bits):
     """The filters of a lot of buckets, broadcast: at most the bytes the lot was cut to."""
-    words, pairs = [], []
+    words = Filter([(b, w) for b, w, _ in lot], bits)
+    pairs = Filter([(b, p) for b, _, p in lot], bits)
     if lot:
-        chosen = table.where(F.col("bucket").between(lot[0], lot[-1])).select("bucket", "word_filter", "pair_filter")
+        chosen = table.where(F.col("bucket").between(lot[0][0], lot[-1][0]))
         # Part after part, so that the driver's JVM never holds the lot.
-        for row in chosen.toLocalIterator():
-            words.append((row[0], bytes(row[1])))
-            pairs.append((row[0], bytes(row[2])))
-    return table.sparkSession.sparkContext.broadcast((Filter(words, bits), Filter(pairs, bits)))
+        for row in chosen.select("bucket", "word_filter", "pair_filter").toLocalIterator():
+            words.put(row[0], row[1])
+            pairs.put(row[0], row[2])
+    return table.sparkSession.sparkContext.broadcast((words, pairs))
 
 
 def with_levels(batch, at, texts, memo, filters):
