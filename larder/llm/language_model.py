@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from larder.llm.common import small_batches, stored
 
 GROWTH = 1.25
-HASHES = 5
-BITS_AN_ENTRY = 12
+BITS = 5
+BITS_AN_ENTRY = 14
 STRENGTHS = tuple(4.0**i for i in range(-1, 9))
 SEGMENT_BYTES = 192 << 20
 HEAD_WORDS = 1 << 20
@@ -30,7 +30,7 @@ BUCKET_BYTES = 8 << 20
 FLUSH_TOKENS = 1 << 22
 CHUNK_TOKENS = 1 << 17
 BATCH_ROWS = 512
-MEMO, MEMO_WORD = 200_000, 64
+MEMO, MEMO_BYTES = 200_000, 16 << 20
 
 
 def _thresholds():
@@ -50,18 +50,6 @@ def level(counts):
     return np.searchsorted(LEAST, counts, side="right")
 
 
-class Hashes(dict):
-    """64-bit hashes of words, remembered up to a bound in number and length."""
-
-    def __missing__(self, word):
-        found = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= MEMO_WORD:
-            if len(self) >= MEMO:
-                self.clear()
-            self[word] = found
-        return found
-
-
 # No word holds white space, so these are the hashes of no word.
 START, END = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"\t", b"\n"))
 
@@ -77,17 +65,45 @@ def pair_hash(before, word):
     return mixed(before * np.uint64(0x9E3779B97F4A7C15) + word)
 
 
-def token_hashes(texts, memo):
-    """(hashes of all tokens end to end, tokens of each text): words, A-Z lower-cased, then one end."""
-    words, sizes = [], []
-    for text in texts:
-        own = (text or b"").lower().split()
-        own.append(b"\n")
-        words += own
-        sizes.append(len(own))
-    # Bytes lower and split by ASCII alone, which are the letters and separators meant.
-    flat = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-    return flat, np.array(sizes, np.int64)
+class Vocabulary(dict):
+    """Numbers of the words met, and columns with what is known of each: its hash, then facts of the hash.
+
+    It starts anew once it holds MEMO words or MEMO_BYTES of them, so texts of ever new words
+    do not fill a worker.
+    """
+
+    def __init__(self, *facts):
+        self.facts = (lambda hashes: hashes, *facts)
+        self.reset()
+
+    def reset(self):
+        self.clear()
+        self.new, self.bytes = [], 0
+        self.columns = [fact(np.zeros(0, np.uint64)) for fact in self.facts]
+
+    def __missing__(self, word):
+        number = self[word] = len(self)
+        self.new.append(word)
+        self.bytes += len(word)
+        return number
+
+    def tokens(self, texts):
+        """(numbers of all tokens end to end, tokens of each text): words, A-Z lower-cased, then one end."""
+        if len(self) > MEMO or self.bytes > MEMO_BYTES:
+            self.reset()
+        words, sizes = [], []
+        for text in texts:
+            # Bytes lower and split by ASCII alone, which are the letters and separators meant.
+            own = (text or b"").lower().split()
+            own.append(b"\n")
+            words += own
+            sizes.append(len(own))
+        numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.new:
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.new), np.uint64, len(self.new))
+            self.columns = [np.concatenate((c, fact(hashes))) for c, fact in zip(self.columns, self.facts)]
+            self.new = []
+        return numbers, np.array(sizes, np.int64)
 
 
 def before_each(flat, sizes):
@@ -129,7 +145,7 @@ def gathered(docs, bits):
     """
 
     def run(batches):
-        memo, pending, size = Hashes(), ([], []), 0
+        memo, pending, size = Vocabulary(), ([], []), 0
 
         def flush():
             for kind, parts in enumerate(pending, 1):
@@ -148,7 +164,8 @@ def gathered(docs, bits):
 
         for batch in batches:
             for _, texts in chunks(batch):
-                flat, sizes = token_hashes(texts, memo)
+                numbers, sizes = memo.tokens(texts)
+                flat = memo.columns[0][numbers]
                 pending[0].append(flat)
                 pending[0].append(np.full(len(sizes), START))
                 pending[1].append(pair_hash(before_each(flat, sizes), flat))
@@ -162,24 +179,23 @@ def gathered(docs, bits):
     return docs.mapInArrow(run, "kind int, bucket int, hashes binary, counts binary")
 
 
-def places(hashes, at_level, sizes):
-    """The bit places of (hash, level) in filters of the given sizes in bits: one row a hash function."""
+def probes(hashes, at_level, sizes):
+    """(place, bits) of (hash, level) in parts of the given sizes: one 64-bit word holds all its bits."""
     g = mixed(hashes + np.uint64(0xD6E8FEB86659FD93 * at_level % (1 << 64)))
-    low, step = g & np.uint64(0xFFFFFFFF), (g >> np.uint64(32)) | np.uint64(1)
-    for j in range(HASHES):
-        spread = (low + step * np.uint64(j)) & np.uint64(0xFFFFFFFF)
-        yield (spread * sizes) >> np.uint64(32)
+    place = ((g >> np.uint64(32)) * sizes) >> np.uint64(32)
+    return place.astype(np.int64), [(g >> np.uint64(6 * j)) & np.uint64(63) for j in range(BITS)]
 
 
 def filter_part(hashes, counts):
-    """A Bloom filter, as bytes, of the levels of the counts."""
+    """A Bloom filter, as 64-bit words in bytes, of the levels of the counts."""
     levels = level(counts)
-    size = np.uint64(max(64, -(-int(levels.sum()) * BITS_AN_ENTRY // 64) * 64))
-    bits = np.zeros(int(size), bool)
+    size = max(1, -(-int(levels.sum()) * BITS_AN_ENTRY // 64))
+    bits = np.zeros(size * 64, bool)
     for at in range(1, int(levels.max(initial=0)) + 1):
         hashes, levels = hashes[levels >= at], levels[levels >= at]
-        for place in places(hashes, at, size):
-            bits[place] = True
+        place, own = probes(hashes, at, np.uint64(size))
+        for bit in own:
+            bits[place * 64 + bit.astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
 
@@ -226,13 +242,14 @@ class Filter:
         self.bits = bits
         own = np.zeros(1 << bits, np.int64)
         for bucket, length in lengths:
-            own[bucket] = length
+            own[bucket] = length // 8
         self.starts = np.concatenate(([0], np.cumsum(own)))
-        self.sizes = (own * 8).astype(np.uint64)
-        self.data = np.zeros(int(self.starts[-1]) + 1, np.uint8)
+        self.sizes = own.astype(np.uint64)
+        self.data = np.zeros(int(self.starts[-1]), np.uint64)
 
     def put(self, bucket, data):
-        self.data[self.starts[bucket] : self.starts[bucket] + len(data)] = np.frombuffer(data, np.uint8)
+        at = self.starts[bucket]
+        self.data[at : at + len(data) // 8] = np.frombuffer(data, "<u8")
 
     def levels(self, hashes):
         """The level read for each hash: probes with rising levels until one is missing."""
@@ -243,41 +260,40 @@ class Filter:
         at = 0
         while len(alive) and at < len(LEAST):
             at += 1
-            hit = np.ones(len(alive), bool)
-            for place in places(hashes, at, sizes):
-                place = place.astype(np.int64)
-                hit &= (self.data[starts + (place >> 3)] >> (place & 7).astype(np.uint8)) & 1 == 1
+            place, bits = probes(hashes, at, sizes)
+            word = self.data[starts + place]
+            hit = word >> bits[0]
+            for bit in bits[1:]:
+                hit &= word >> bit
+            hit = (hit & np.uint64(1)).astype(bool)
             alive, hashes, sizes, starts = alive[hit], hashes[hit], sizes[hit], starts[hit]
             out[alive] = at
         return out
 
 
-def read_levels(flat, sizes, words, pairs):
-    """Levels of each token and of each pair it ends, and of START; distinct ones are probed once."""
-    distinct, at = np.unique(flat, return_inverse=True)
-    of_word = words.levels(distinct)[at]
-    distinct, at = np.unique(pair_hash(before_each(flat, sizes), flat), return_inverse=True)
-    of_start = words.levels(np.array([START]))[0]
-    return of_word, pairs.levels(distinct)[at], of_start
-
-
 def likelihoods(of_word, of_pair, of_start, sizes, total, held_out):
-    """Per text and strength: log10 probabilities, and those with each token left out of its counts."""
+    """By text and strength log10 probabilities, and by strength the sum over the texts not held
+    out with each token left out of its counts.
+
+    A token's probability follows from three levels, so it is computed once for each triple.
+    """
     first = np.cumsum(sizes) - sizes
     of_before = np.empty_like(of_word)
     of_before[1:] = of_word[:-1]
     of_before[first] = of_start
-    word, pair, before = VALUE[of_word], VALUE[of_pair], VALUE[of_before]
+    triple = (of_word.astype(np.int32) << 16) | (of_pair.astype(np.int32) << 8) | of_before
+    triples, at = np.unique(triple, return_inverse=True)
+    word, pair, before = VALUE[triples >> 16], VALUE[triples >> 8 & 255], VALUE[triples & 255]
     # Both levels are read apart; a pair is never seen more often than what it begins with.
     pair = np.minimum(pair, before)
-    less = np.repeat(~held_out, sizes)
+    learnt = np.bincount(at, np.repeat(~held_out, sizes), len(triples))
     plain, left_out = [], []
     for m in STRENGTHS:
-        p = (pair + m * (word + 1) / total) / (before + m)
-        plain.append(np.add.reduceat(np.log10(p), first))
-        q = (np.maximum(pair - 1, 0) + m * (np.maximum(word - 1, 0) + 1) / total) / (np.maximum(before - 1, 0) + m)
-        left_out.append(np.add.reduceat(np.where(less, np.log10(q), 0.0), first))
-    return np.stack(plain, 1), np.stack(left_out, 1)
+        p = np.log10((pair + m * (word + 1) / total) / (before + m))
+        plain.append(np.add.reduceat(p[at], first))
+        less = np.maximum(pair - 1, 0) + m * (np.maximum(word - 1, 0) + 1) / total
+        left_out.append(float(learnt @ np.log10(less / (np.maximum(before - 1, 0) + m))))
+    return np.stack(plain, 1), left_out
 
 
 def segments(parts, most=SEGMENT_BYTES):
@@ -381,26 +397,28 @@ def shared_filters(table, lot, bits):
     return table.sparkSession.sparkContext.broadcast((words, pairs))
 
 
-def with_levels(batch, at, texts, memo, filters):
-    """Tokens of some rows and their levels: what earlier passes found, and what filters know."""
-    flat, sizes = token_hashes(texts, memo)
-    of_word, of_pair, of_start = read_levels(flat, sizes, *filters)
+def with_levels(batch, at, texts, memo, pairs, start):
+    """Tokens of some rows and their levels: what earlier passes found, and what the filters know."""
+    numbers, sizes = memo.tokens(texts)
+    flat, of_word = memo.columns[0][numbers], memo.columns[1][numbers]
+    distinct, place = np.unique(pair_hash(before_each(flat, sizes), flat), return_inverse=True)
+    of_pair = pairs.levels(distinct)[place]
     earlier = [b"".join(x or b"" for x in batch.column(c).slice(at, len(texts)).to_pylist()) for c in ("word_levels", "pair_levels")]
     if earlier[0]:
         of_word = np.maximum(of_word, np.frombuffer(earlier[0], np.uint8))
         of_pair = np.maximum(of_pair, np.frombuffer(earlier[1], np.uint8))
-    of_start = max(int(of_start), batch.column("start_level")[at].as_py())
-    return flat, sizes, of_word, of_pair, of_start
+    return numbers, flat, sizes, of_word, of_pair, max(start, batch.column("start_level")[at].as_py())
 
 
 def probed(state, filters):
     """state with the levels that these filters know put in: a byte a token and pair."""
 
     def run(batches):
-        memo = Hashes()
+        words, pairs = filters.value
+        memo, start = Vocabulary(words.levels), int(words.levels(np.array([START]))[0])
         for batch in batches:
             for at, texts in chunks(batch):
-                _, sizes, of_word, of_pair, of_start = with_levels(batch, at, texts, memo, filters.value)
+                _, _, sizes, of_word, of_pair, of_start = with_levels(batch, at, texts, memo, pairs, start)
                 edges = np.concatenate(([0], np.cumsum(sizes)))
                 cut = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(edges, edges[1:])], pa.binary())
                 part = batch.slice(at, len(texts))
@@ -414,26 +432,32 @@ def probed(state, filters):
 
 
 def scored(state, filters, head, total):
-    """Per row: key, doc_id, held_out, n_tokens, scores and left_out by strength, the exact sums
-    over words of the head, and the other words with how often each occurs."""
+    """Per row: key, doc_id, held_out, n_tokens, scores by strength, the exact sums over words of
+    the head, the other words with how often each occurs; left_out of a chunk in its first row."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        memo, row = Hashes(), TaskContext.get().partitionId() << 40
-        hashes, counts = head.value
+        row = TaskContext.get().partitionId() << 40
+        words, pairs = filters.value
+        hashes, counts = (np.append(x, x.dtype.type(0)) for x in head.value)
+
+        def exact(wanted):
+            """The counts of words of the head, -1 of others."""
+            place = np.searchsorted(hashes[:-1], wanted)
+            found = (hashes[place] == wanted) & (place < len(hashes) - 1)
+            return np.where(found, counts[place], -1)
+
+        memo, start = Vocabulary(words.levels, exact), int(words.levels(np.array([START]))[0])
         for batch in batches:
             for at, texts in chunks(batch):
-                flat, sizes, of_word, of_pair, of_start = with_levels(batch, at, texts, memo, filters.value)
+                numbers, flat, sizes, of_word, of_pair, of_start = with_levels(batch, at, texts, memo, pairs, start)
                 part = batch.slice(at, len(texts))
                 out = part.column("held_out").to_numpy(zero_copy_only=False)
                 plain, left_out = likelihoods(of_word, of_pair, of_start, sizes, total, out)
-                distinct, place = np.unique(flat, return_inverse=True)
-                where = np.minimum(np.searchsorted(hashes, distinct), max(len(hashes) - 1, 0))
-                found = (hashes[where] == distinct) if len(hashes) else np.zeros(len(distinct), bool)
-                exact = np.where(found, np.log10((counts[where] if len(hashes) else np.zeros(len(distinct))) + 1.0), 0.0)
+                of_head = memo.columns[2][numbers]
+                in_head = of_head >= 0
                 first = np.cumsum(sizes) - sizes
-                in_head = found[place]
                 rare, times, edges = rare_words(flat, ~in_head, sizes)
                 lists = lambda x: pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(x))
                 yield pa.RecordBatch.from_pydict(
@@ -443,9 +467,9 @@ def scored(state, filters, head, total):
                         "held_out": part.column("held_out"),
                         "n_tokens": pa.array(sizes),
                         "head_known": pa.array(np.add.reduceat(in_head.astype(np.int64), first)),
-                        "head_sum": pa.array(np.add.reduceat(exact[place], first)),
+                        "head_sum": pa.array(np.add.reduceat(np.log10(np.maximum(of_head, 0) + 1.0), first)),
                         "scores": pa.array(list(plain), pa.list_(pa.float64())),
-                        "left_out": pa.array(list(left_out), pa.list_(pa.float64())),
+                        "left_out": pa.array([left_out] + [None] * (len(texts) - 1), pa.list_(pa.float64())),
                         "rare": lists(rare.view(np.int64)),
                         "times": lists(times),
                     }
