@@ -22,15 +22,15 @@ from larder.llm.common import small_batches, stored
 
 GROWTH = 1.25
 BITS = 5
-BITS_AN_ENTRY = 14
+BITS_AN_ENTRY = 12
 STRENGTHS = tuple(4.0**i for i in range(-1, 9))
 SEGMENT_BYTES = 192 << 20
 HEAD_WORDS = 1 << 20
 BUCKET_BYTES = 8 << 20
-FLUSH_TOKENS = 1 << 22
+FLUSH_TOKENS = 1 << 21
 CHUNK_TOKENS = 1 << 17
 BATCH_ROWS = 512
-MEMO, MEMO_BYTES = 200_000, 16 << 20
+MEMO, MEMO_BYTES = 100_000, 8 << 20
 
 
 def _thresholds():
@@ -346,9 +346,14 @@ def score(docs, most_bytes=SEGMENT_BYTES, head_words=HEAD_WORDS, bucket_bytes=BU
     state = state.withColumn("start_level", F.lit(0))
     with small_batches(spark, BATCH_ROWS):
         for lot in lots[:-1]:
-            state = stored(probed(state, shared_filters(table, lot, bits)), "levels")
-        last = shared_filters(table, lots[-1], bits)
-        rows = stored(scored(state, last, shared_head, tokens + words + 1), "scores")
+            filters = shared_filters(table, lot, bits)
+            state = stored(probed(state, filters), "levels")
+            filters.destroy()
+        filters = shared_filters(table, lots[-1], bits)
+        rows = stored(scored(state, filters, shared_head, tokens + words + 1), "scores")
+    # The scores are written: nothing asks for these again.
+    filters.destroy()
+    shared_head.destroy()
 
     best = rows.agg(*[F.sum(F.get("left_out", F.lit(i))) for i in range(len(STRENGTHS))]).first()
     strength = max(range(len(STRENGTHS)), key=lambda i: (best[i] or 0.0, i)) if tokens else len(STRENGTHS) - 1
