@@ -21,14 +21,14 @@ from pyspark.sql import functions as F
 from larder.llm.common import small_batches, stored
 
 GROWTH = 1.25
-BITS = 5
-BITS_AN_ENTRY = 12
+BITS = 4
+BITS_AN_ENTRY = 11
 STRENGTHS = tuple(4.0**i for i in range(-1, 9))
 SEGMENT_BYTES = 192 << 20
-HEAD_WORDS = 1 << 20
-BUCKET_BYTES = 8 << 20
+HEAD_WORDS = 1 << 19
+BUCKET_BYTES = 4 << 20
 FLUSH_TOKENS = 1 << 21
-CHUNK_TOKENS = 1 << 17
+CHUNK_TOKENS = 1 << 16
 BATCH_ROWS = 512
 MEMO, MEMO_BYTES = 100_000, 8 << 20
 
@@ -336,8 +336,10 @@ def score(docs, most_bytes=SEGMENT_BYTES, head_words=HEAD_WORDS, bucket_bytes=BU
     head = table.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select("x.words", "x.counts")
     known = head.where(F.col("counts") >= least).toArrow()
     order = np.argsort(known.column("words").to_numpy().view(np.uint64))
-    head_hashes = known.column("words").to_numpy().view(np.uint64)[order]
-    head_counts = known.column("counts").to_numpy()[order]
+    # With a last entry that is no word, so that a search never ends outside.
+    head_hashes = np.append(known.column("words").to_numpy().view(np.uint64)[order], np.uint64(0))
+    head_counts = np.append(known.column("counts").to_numpy()[order], -1)
+    del known, order
     shared_head = spark.sparkContext.broadcast((head_hashes, head_counts))
 
     parts = table.select("bucket", F.length("word_filter"), F.length("pair_filter")).orderBy("bucket").collect()
@@ -445,7 +447,7 @@ def scored(state, filters, head, total):
 
         row = TaskContext.get().partitionId() << 40
         words, pairs = filters.value
-        hashes, counts = (np.append(x, x.dtype.type(0)) for x in head.value)
+        hashes, counts = head.value
 
         def exact(wanted):
             """The counts of words of the head, -1 of others."""
