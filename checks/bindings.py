@@ -193,6 +193,60 @@ select l_orderkey, l_linenumber, p_type as category_id,
 from {lineitem} join {part} on l_partkey = p_partkey
 """
 
+# Products on shelves of one country, for alternatives.
+SQL["shelf_rows"] = """
+select concat(l_orderkey, '-', l_linenumber) as gtin, max(p_type) as category_id,
+  case max(l_returnflag) when 'A' then 'per_100g' when 'R' then 'per_100ml' else 'per_serving' end as basis,
+  concat('C', max(l_suppkey) % 3) as country,
+  case when l_linenumber % 7 = 0 then null else max(l_quantity) end as sugars_g,
+  round(max(l_discount) * 100, 2) as fat_g, round(max(l_tax) * 100, 2) as fibre_g,
+  floor(max(l_extendedprice)) / 100e0 as sodium_mg
+from {lineitem} join {part} on l_partkey = p_partkey group by l_orderkey, l_linenumber
+"""
+SQL["shelf_nutrients"] = """
+select distinct p_type as category_id, 'sugars_g' as field from {part} where p_type <> 'LARGE'
+union all select distinct p_type, 'fat_g' from {part} where p_type in ('STANDARD', 'ECONOMY', 'PROMO')
+union all select distinct p_type, 'fibre_g' from {part} where p_type in ('ECONOMY', 'PROMO')
+union all select distinct p_type, 'sodium_mg' from {part} where p_type = 'MEDIUM'
+"""
+SQL["shelf_substitutes"] = """
+select distinct p_type as category_id, case p_type when 'STANDARD' then 'ECONOMY' when 'SMALL' then 'MEDIUM'
+  else 'STANDARD' end as substitute_id from {part} where p_type in ('STANDARD', 'SMALL', 'PROMO')
+"""
+
+# A tree with long ways, circles and a parent that does not exist; panels on its categories.
+SQL["category_tree"] = """
+select concat('c', k) as id, case when k = 0 then null when k % 97 = 0 then concat('c', k)
+    when k % 103 = 7 then 'ghost' when k % 5 = 0 then concat('c', k - 5) else concat('c', cast(floor(k / 2) as bigint)) end
+  as parent_id from (select c_custkey as k from {customer}) c
+"""
+SQL["tree_limits"] = """
+select id as category_id, concat('Group ', id) as source_category, nutrient, display, 'g' as unit, reads as derived_from,
+  factor as multiply_by, above
+from (select concat('c', c_custkey) as id from {customer} where c_custkey % 50 = 10) c cross join (
+  select 'sugars_g' as nutrient, 'Sugars' as display, cast(null as varchar(20)) as reads, cast(null as double) as factor, 10e0 as above
+  union all select 'salt_g', 'Salt', 'sodium_mg', 0.0025e0, 1.5e0) l
+"""
+SQL["tree_panels"] = """
+select gtin, concat('c', mod(l_orderkey * 7 + l_linenumber, (select count(*) from {customer}))) as category_id,
+  case when l_linenumber % 3 = 0 then 'per_100ml' when l_linenumber % 3 = 1 then 'per_100g' else 'per_serving' end as basis,
+  case when l_linenumber % 3 = 2 then 25e0 end as serving_value, case when l_linenumber % 3 = 2 then 'g' end as serving_unit,
+  sugars_g, sodium_mg
+from (select l_orderkey, l_linenumber, concat(l_orderkey, '-', l_linenumber) as gtin, max(l_quantity) as sugars_g,
+        floor(max(l_extendedprice)) / 50e0 as sodium_mg from {lineitem} group by l_orderkey, l_linenumber) g
+"""
+
+# What suppliers say of parts; a supplier's type follows its key.
+SQL["claim_rows"] = """
+select l_partkey as part, concat('p', l_partkey) as key, case when l_linenumber % 2 = 0 then 'sugars_g' else 'fat_g' end as path,
+  concat('s', l_suppkey % 40) as source,
+  case l_suppkey % 7 when 0 then 'packaging' when 1 then 'manufacturer' when 2 then 'regulator' when 3 then 'open_database'
+    when 4 then 'retailer' when 5 then 'community' else 'hearsay' end as type,
+  case when l_linenumber % 5 = 4 then null when l_suppkey % 40 < 25 and l_quantity < 40 then '10'
+    else cast(cast(floor(l_quantity / 15) as bigint) as varchar(20)) end as value
+from {lineitem}
+"""
+
 # A catalogue of parts and scans of them; a third of the scanned keys is not in it.
 SQL["part_products"] = f"""
 select p_partkey, {_code('0890')} as gtin, {_code('890')} as barcode_printed,
