@@ -1,3 +1,3 @@
 """Importing this registers every query."""
 
-from checks import analysis, catalogue, expressions, files, imports, rules, shelves  # noqa: F401
+from checks import analysis, catalogue, expressions, files, history, imports, rules, shelves  # noqa: F401

@@ -274,6 +274,11 @@ from (
   ) c
 ) b
 """
+# Every third scanned code of the catalogue is written at the time of its scan, some deleted.
+SQL["version_rows"] = """
+select gtin14 as gtin, scanned_at as valid_at, event_id as batch, concat('v', event_id) as name, event_id % 36 = 0 as deleted
+from {scan_rows} where event_id % 3 = 0 and k < (select count(*) from {part})
+"""
 SQL["brand_names"] = """
 select concat('brand-', cast(s_suppkey as varchar(20))) as id, s_name as name from {supplier} where s_suppkey < 30
 """

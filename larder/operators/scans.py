@@ -72,3 +72,14 @@ def miss_demand(enriched):
         .agg(F.count(F.lit(1)).alias("scans"))
         .orderBy(F.desc("scans"), "gtin")
     )
+
+
+def heavy_misses(enriched, window, share):
+    """window_start, gtin, scans, total: codes with more than 1 / share of a window's misses, exactly."""
+    counts = (
+        enriched.where(~F.col("found"))
+        .groupBy(F.window("scanned_at", window)["start"].alias("window_start"), "gtin")
+        .agg(F.count(F.lit(1)).alias("scans"))
+    )
+    totals = counts.groupBy("window_start").agg(F.sum("scans").alias("total"))
+    return counts.join(totals, "window_start").where(F.col("scans") * share > F.col("total"))

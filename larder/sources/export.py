@@ -226,3 +226,33 @@ def source_snapshot(lineage, spec, retrieved_at):
         F.lit(spec.licence).alias("licence"),
         F.lit(spec.attribution).alias("attribution"),
     )
+
+
+def file_contents(lines, file="file", value="value"):
+    """file, lines, characters, content: what each file holds, whatever its name or splits.
+
+    content is a hash of the lines as a multiset: two sums of digits of each line's MD5, so
+    parts of a file add up in any order and a line that is repeated, changed or missing shows.
+    An empty line counts; a null one is left out.
+    """
+    digest = F.md5(F.col(value))
+    part = lambda start: F.conv(F.substring(digest, start, 15), 16, 10).cast("decimal(38,0)")
+    sums = lines.where(F.col(value).isNotNull()).groupBy(F.col(file).alias("file")).agg(
+        F.count(F.lit(1)).alias("lines"),
+        F.sum(F.length(value)).alias("characters"),
+        F.sum(part(1)).alias("_a"),
+        F.sum(part(18)).alias("_b"),
+    )
+    content = F.concat_ws("-", F.col("lines").cast("string"), F.col("_a").cast("string"), F.col("_b").cast("string"))
+    return sums.select("file", "lines", "characters", content.alias("content"))
+
+
+def unseen_files(contents, snapshot):
+    """Files whose content no snapshot has, one of equal ones: a file that comes again is skipped.
+
+    snapshot: content of what earlier runs read.  Of new files with the same content the one
+    whose name is first stays.
+    """
+    known = snapshot.select("content").distinct()
+    firsts = contents.groupBy("content").agg(F.min(F.struct("file", "lines", "characters")).alias("_f"))
+    return firsts.join(known, "content", "left_anti").select("_f.file", "_f.lines", "_f.characters", "content")
