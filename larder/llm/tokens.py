@@ -8,9 +8,11 @@ tokens, in the order of the part.  Both open as memory maps, so a sequence, its
 document's tokens are slices of the file: nothing is decoded or copied.
 """
 
+import json
 import re
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -18,96 +20,159 @@ from pyarrow import fs
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import new_folder, stored
+from larder.llm.common import new_folder, small_batches, stored
 
 SEQUENCE = 2048
 BATCH_ROWS = 256
-MEMO = 300_000
+MEMO, MEMO_BYTES = 400_000, 32 << 20
+LEARN_BYTES, LEARN_CHUNKS = 2 << 20, 8192
 
-# Chunks of Latin-1 letters, then punctuation: the tokenizer cuts them the same way, and
-# neither its normalizer nor its contractions see across the cut.
+# Latin-1 letters, then punctuation: the tokenizer cuts them the same way, and neither its
+# normalizer nor its contractions see across the cut.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)\Z")
-SPACES = re.compile(r"[\x20\x09-\x0D]+")
+
+# The parts of a tokenizer file under which white space is dropped, never
+# joined across, and a word of these letters goes lower-cased and byte by byte to the model.
+NORMALIZERS = [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"},
+]
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def splits_at_white_space(spec):
+    """Whether a tokenizer, by its file, encodes the pieces between white space each for itself."""
+    normalizer, cutter = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    split = {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True}
+    first = (cutter.get("pretokenizers") or [{}])[0]
+    rest = [x.get("type") for x in (cutter.get("pretokenizers") or [])[1:]]
+    return (
+        normalizer.get("normalizers") == NORMALIZERS
+        and first == split and rest == ["ByteLevel"]
+        and spec["model"]["type"] == "BPE"
+        and not any(t["lstrip"] or t["rstrip"] or t["content"].split() != [t["content"]] for t in spec["added_tokens"])
+    )
+
+
+class Memo(dict):
+    """Numbers of keys and, by number, their values: those used lately, bounded in number and bytes.
+
+    A key not met is numbered and noted in `new`; its value must follow.  Once there are too
+    many the numbers start anew, and keys of the last generation bring their values along.
+    """
+
+    def __init__(self, most=None, most_bytes=None):
+        self.most, self.most_bytes = most or MEMO, most_bytes or MEMO_BYTES
+        self.values_of, self.new, self.old, self.size = [], [], {}, 0
+
+    def __missing__(self, key):
+        number = self[key] = len(self.values_of)
+        value = self.old.get(key)
+        self.values_of.append(value)
+        if value is None:
+            self.new.append(key)
+        return number
+
+    def renew(self):
+        """Between two uses: starts a generation when this one is full."""
+        if len(self) > self.most or self.size > self.most_bytes:
+            self.old = dict(zip(self, self.values_of))
+            self.clear()
+            self.values_of, self.size = [], 0
+
+    def learn(self, keys, values):
+        values_of = self.values_of
+        for key, value in zip(keys, values):
+            values_of[self[key]] = value
+        self.size += sum(map(len, keys)) + sum(map(len, values))
 
 
 class Encoder:
-    """Ids of whole texts by a tokenizers file, words remembered up to a bound.
+    """Ids of whole texts by a tokenizers file; pieces between white space are remembered.
 
-    white_space_splits says that the tokenizer drops white space and never joins across it,
-    so a text's ids are those of its pieces in order; otherwise whole texts are encoded.
+    A tokenizer whose file does not say that the pieces are encoded each for itself gets whole
+    texts, and nothing is remembered.
     """
 
-    def __init__(self, path, white_space_splits=True):
+    def __init__(self, path):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.splits = white_space_splits
-        self.chunks = {}
-        self.words = {}
+        self.splits = splits_at_white_space(json.loads(self.tokenizer.to_str()))
+        self.model, self.code = self.tokenizer.model, "H" if self.dtype.itemsize == 2 else "I"
+        self.chunks, self.words = Memo(), Memo()
+        # How the tokenizer writes the bytes of each letter outside ASCII.
+        letters = [chr(i) for i in range(0xDF, 0x100) if chr(i).isalpha()] if self.splits else []
+        cut = self.tokenizer.pre_tokenizer.pre_tokenize_str if letters else None
+        self.spelled = {ord(x): cut(x)[0][0] for x in letters}
 
     def _whole(self, text):
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, self.dtype).tobytes()
 
     def _learn_words(self, words):
-        """Ids of lower-cased letter words, one call for all: each is one word of the encoding."""
-        if not words:
-            return
-        encoding = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        of = np.array(encoding.word_ids, np.int64)
-        ids = np.array(encoding.ids, self.dtype)
-        edges = np.searchsorted(of, np.arange(len(words) + 1))
-        for i, word in enumerate(words):
-            self.words[word] = ids[edges[i] : edges[i + 1]].tobytes()
-
-    def _learn(self, missing):
-        if len(self.chunks) + len(missing) > MEMO:
-            self.chunks.clear()
-        if len(self.words) + len(missing) > MEMO:
-            self.words.clear()
-        plain = {c: m.groups() for c in missing if (m := PLAIN.match(c))}
-        new = dict.fromkeys(
-            w for a, b in plain.values() for w in (a.lower(), b) if w and w not in self.words
-        )
-        for word in [w for w in new if not w[0].isalpha()]:
-            self.words[word] = self._whole(word)
-        self._learn_words([w for w in new if w[0].isalpha()])
-        for chunk in missing:
-            if chunk in plain:
-                word, marks = plain[chunk]
-                ids = self.words[word.lower()] + (self.words[marks] if marks else b"")
+        """Ids of lower-cased words of Latin-1 letters by the model alone: nothing else changes them."""
+        memo, tokenize, spelled = self.words, self.model.tokenize, self.spelled
+        memo.renew()
+        numbers = [memo[w] for w in words]
+        new, memo.new = memo.new, []
+        memo.learn(new, [array(self.code, [t.id for t in tokenize(w.translate(spelled))]).tobytes() for w in new])
+        return [memo.values_of[n] for n in numbers]
+
+    def _learn_others(self, chunks):
+        """Ids of any chunks: encoded together, cut where each begins."""
+        for i in range(0, len(chunks), LEARN_CHUNKS):
+            part = chunks[i : i + LEARN_CHUNKS]
+            texts = [c.decode() for c in part]
+            encoding = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            ids = array(self.code, encoding.ids).tobytes()
+            starts = np.array([a for a, _ in encoding.offsets], np.int64)
+            begins = np.cumsum([0, *[len(t) + 1 for t in texts]])
+            edges = (np.searchsorted(starts, begins) * self.dtype.itemsize).tolist()
+            self.chunks.learn(part, [ids[a:b] for a, b in zip(edges, edges[1:])])
+
+    def _learn(self, chunks):
+        match = PLAIN.match
+        plain, words, marks, others = [], [], [], []
+        for chunk in chunks:
+            found = match(chunk.decode())
+            if found:
+                plain.append(chunk)
+                words.append(found[1].lower())
+                marks.append(found[2])
             else:
-                ids = self._whole(chunk)
-            self.chunks[chunk] = ids
+                others.append(chunk)
+        ends = {m: self._whole(m) if m else b"" for m in set(marks)}
+        self.chunks.learn(plain, [ids + ends[m] for ids, m in zip(self._learn_words(words), marks)])
+        self._learn_others(others)
 
     def encode(self, texts):
-        """The ids of each text as little-endian bytes of self.dtype; null is empty."""
+        """The ids of each text (as UTF-8) as little-endian bytes of self.dtype; null is empty."""
         if not self.splits:
-            return [self._whole(t or "") for t in texts]
-        out = []
-        for text in texts:
-            # str.split cuts at more characters; those the tokenizer does not drop stay whole.
-            pieces = SPACES.split(text or "")
-            missing = {p for p in pieces if p and p not in self.chunks}
-            if missing:
-                if len(self.chunks) + len(missing) > MEMO:
-                    missing = {p for p in pieces if p}
-                self._learn(missing)
-            get = self.chunks.__getitem__
-            out.append(b"".join([get(p) for p in pieces if p]))
+            return [self._whole((t or b"").decode()) for t in texts]
+        out, part, size, memo = [], [], 0, self.chunks
+        for i, text in enumerate(texts, 1):
+            # Bytes are cut at ASCII white space; what else is white space stays in a chunk.
+            part.append(list(map(memo.__getitem__, (text or b"").split())))
+            size += len(text or b"")
+            if size > LEARN_BYTES or i == len(texts):
+                new, memo.new = memo.new, []
+                self._learn(new)
+                ids = memo.values_of.__getitem__
+                out += [b"".join(map(ids, numbers)) for numbers in part]
+                part, size = [], 0
+                memo.renew()
         return out
 
 
 _ENCODERS = {}
 
 
-def encoder(path, white_space_splits=True):
+def encoder(path):
     """One encoder for each worker process."""
-    key = (path, white_space_splits)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(path, white_space_splits)
-    return _ENCODERS[key]
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 class PartWriter:
@@ -190,7 +255,7 @@ def opened(root, path):
     return pa.ipc.open_file(files.open_input_file(path))
 
 
-def write_tokens(docs, tokenizer_path, root, length=SEQUENCE, end_id=1, white_space_splits=True):
+def write_tokens(docs, tokenizer_path, root, length=SEQUENCE, end_id=1):
     """Writes the Arrow files below root and returns their manifest.
 
     docs: doc_id, text; other columns are left out.  Rows go in ascending doc_id (null
@@ -203,7 +268,7 @@ def write_tokens(docs, tokenizer_path, root, length=SEQUENCE, end_id=1, white_sp
     """
 
     def write(batches):
-        code = encoder(tokenizer_path, white_space_splits)
+        code = encoder(tokenizer_path)
         writer, n_docs = None, 0
         for batch in batches:
             if not batch.num_rows:
@@ -211,7 +276,7 @@ def write_tokens(docs, tokenizer_path, root, length=SEQUENCE, end_id=1, white_sp
             if writer is None:
                 writer = PartWriter(root, length, code.dtype)
             end = np.array([end_id], code.dtype).tobytes()
-            ids = [x + end for x in code.encode(batch.column("text").to_pylist())]
+            ids = [x + end for x in code.encode(batch.column("text").cast(pa.binary()).to_pylist())]
             writer.add(batch.column("doc_id"), ids)
             n_docs += batch.num_rows
         if writer is not None:
@@ -232,10 +297,7 @@ def write_tokens(docs, tokenizer_path, root, length=SEQUENCE, end_id=1, white_sp
     ordered = with_key.repartitionByRange("doc_id", "_tie").sortWithinPartitions(
         "doc_id", "_tie", "text"
     )
-    batch_rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    try:
-        # Long texts: a batch is bounded by rows, so few at a time.
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    with small_batches(spark, 512):
         manifest = stored(
             ordered.drop("_tie").mapInArrow(
                 write,
@@ -243,8 +305,6 @@ def write_tokens(docs, tokenizer_path, root, length=SEQUENCE, end_id=1, white_sp
             ),
             "manifest",
         )
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch_rows)
     # One row for each file pair: few enough to order in one task.
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn(
@@ -296,7 +356,8 @@ def read_documents(manifest, root):
                     )
 
     parts = manifest.select("part", "ids_path", "docs_path", "start")
-    return parts.repartition("part").mapInArrow(
+    # A number given is kept: the rows are few and small, what they name is not.
+    return parts.repartition(max(1, parts.count()), "part").mapInArrow(
         read, "doc_id long, start long, n_tokens long, ids_crc32 long"
     )
 

@@ -44,9 +44,43 @@ def test_odd_rows_come_back_in_order(odd, plain):
 def test_memory_bound_does_not_change_ids(monkeypatch, texts, plain):
     monkeypatch.setattr(tokens, "MEMO", 50)
     encoder = tokens.Encoder(tokenizer_path())
-    for text in [*texts.values()][:20] + ["á b\x0bc\x1cd\x85e", "ÀÉ ß ſ ﬁ İ", "don't I'LL 'sx x's"]:
-        ids = np.frombuffer(encoder.encode([text])[0], encoder.dtype)
+    odd = ["á b\x0bc\x1cd\x85e", "ÀÉ ß ſ ﬁ İ", "don't I'LL 'sx x's", "a<|endoftext|>b <|startoftext|>", "x ̈y áb  "]
+    some = [*texts.values()][:20] + odd + [None, "", " \t", "ABC,, abc. Abc Œuvre Ÿ ÿ÷×"]
+    assert encoder.splits
+    coded = lambda t: None if t is None else t.encode()
+    for text in some:
+        ids = np.frombuffer(encoder.encode([coded(text)])[0], encoder.dtype)
         assert ids.tolist() == plain(text), text
+    together = encoder.encode([coded(t) for t in some])
+    assert [np.frombuffer(x, encoder.dtype).tolist() for x in together] == [plain(t) for t in some]
+
+
+def test_the_memo_keeps_what_was_used_lately():
+    memo, learnt = tokens.Memo(4, 1000), []
+    for i in range(40):
+        memo.renew()
+        numbers = [memo[k] for k in (b"often", b"k%d" % i, b"often")]
+        new, memo.new = memo.new, []
+        learnt += new
+        memo.learn(new, [k + b"!" for k in new])
+        assert [memo.values_of[n] for n in numbers] == [b"often!", b"k%d!" % i, b"often!"]
+        assert len(memo) + len(memo.old) <= 12
+    assert learnt.count(b"often") == 1
+    assert memo[b"x"] >= 0
+    memo.learn([b"x"], [b"v" * 2000])
+    memo.renew()
+    assert len(memo) == 0 and not memo.values_of
+
+
+def test_another_tokenizer_gets_whole_texts(texts):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, direct = tokens.Encoder(path), Tokenizer.from_file(path)
+    assert not encoder.splits
+    for text in [*texts.values()][:5]:
+        ids = np.frombuffer(encoder.encode([(text or "").encode()])[0], encoder.dtype).tolist()
+        assert ids == direct.encode(text or "", add_special_tokens=False).ids
 
 
 def test_any_sequence_is_a_view_of_the_file(spark, documents, texts, plain):
