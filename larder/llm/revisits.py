@@ -67,14 +67,15 @@ def weak(etag):
 def resolve(records, permitted=PERMITTED):
     """Per revisit: record_id, canonical, time, refers_to, outcome, status, headers, payload.
 
-    records: record_id (long, distinct), kind ('response' or 'revisit'; others are left out),
+    records: record_id (long), kind ('response' or 'revisit'; others are left out),
     url, time (long), status, headers (map, lower-case names), payload; other columns are
     left out.  A full response has status 200; a revisit refers to the latest one of the same
     canonical url at an earlier time.  Entity tags are compared weakly if both have one, else
     Last-Modified; outcomes: resolved, mismatch (validators differ), unverified (nothing to
     compare), no_response.  Only resolved ones have a referred record, its status, merged
     headers (permitted ones of the revisit over the response's own) and its payload.  Null
-    urls or times resolve to no_response.  Headers and payloads are joined last, by record.
+    urls or times resolve to no_response.  Each revisit is one row, whether its id is repeated
+    or null; a response without an id is never referred to, and ids of responses are distinct.  Headers and payloads are joined last, by record.
     """
     records = records.withColumn("headers", F.coalesce("headers", F.create_map().cast("map<string,string>")))
     events = records.where(F.col("kind").isin("response", "revisit")).select(
@@ -82,21 +83,24 @@ def resolve(records, permitted=PERMITTED):
         "kind",
         canonical_url(F.col("url")).alias("canonical"),
         F.col("time").cast("long").alias("time"),
-        ((F.col("kind") == "response") & F.coalesce(F.col("status") == 200, F.lit(False))).alias("full"),
+        # A response without an id cannot be referred to.
+        ((F.col("kind") == "response") & F.col("record_id").isNotNull() & F.coalesce(F.col("status") == 200, F.lit(False)))
+        .alias("full"),
+        # A revisit carries its headers along: its row is never looked up by its id again.
+        F.when(F.col("kind") == "revisit", F.col("headers")).alias("own"),
     )
     usable = F.col("canonical").isNotNull() & F.col("time").isNotNull()
     found = latest_before(
         events.where(usable), "canonical", "time", F.col("full"), "record_id"
     ).where("kind = 'revisit'")
     lost = events.where(~usable & (F.col("kind") == "revisit"))
-    revisits = found.select("record_id", "canonical", "time", "_before").unionByName(
-        lost.select("record_id", "canonical", "time", F.lit(None).cast("long").alias("_before"))
+    revisits = found.select("record_id", "canonical", "time", "own", "_before").unionByName(
+        lost.select("record_id", "canonical", "time", "own", F.lit(None).cast("long").alias("_before"))
     )
-    asked = records.where("kind = 'revisit'").select("record_id", F.col("headers").alias("own"))
     answers = records.where("kind = 'response'").select(
         F.col("record_id").alias("_before"), "status", "headers", "payload"
     )
-    both = revisits.join(asked, "record_id").join(answers, "_before", "left")
+    both = revisits.join(answers, "_before", "left")
     tag, own_tag = weak(F.col("headers")["etag"]), weak(F.col("own")["etag"])
     date, own_date = F.col("headers")["last-modified"], F.col("own")["last-modified"]
     outcome = (

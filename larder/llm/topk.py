@@ -19,19 +19,24 @@ SCALE = 64
 CANDIDATE_BLOCK = 4096
 QUERY_BLOCK = 1024
 QUERY_ROWS = 128
+MOST_WEIGHT = 2.0**53
 
 
 def quantised(vectors, scale=SCALE):
     """vec_id, weights: floor(scale * x) of each component, x as a double.
 
-    Vectors that are null or hold a null, NaN or infinite component are left out; an empty
-    vector has no terms and scores 0 with all.
+    Vectors that are null or hold a null, NaN or infinite component are left out, as are rows
+    without an id, which no result could name; an empty vector has no terms and scores 0 with all.
     """
     usable = F.col("embedding").isNotNull() & F.expr(
         "forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
     )
     weights = F.expr(f"transform(embedding, x -> floor({scale} * double(x)))")
-    return vectors.where(usable).select(F.col("vec_id").cast("long"), weights.alias("weights"))
+    large = F.expr(f"exists(embedding, x -> abs({scale} * double(x)) >= {MOST_WEIGHT})")
+    refused = F.raise_error(F.lit(f"a component times {scale} is {MOST_WEIGHT:.0f} or more"))
+    return vectors.where(usable & F.col("vec_id").isNotNull()).select(
+        F.col("vec_id").cast("long"), F.when(large, refused).otherwise(weights).alias("weights")
+    )
 
 
 def matrix(column):
@@ -89,7 +94,8 @@ def top_k(vectors, queries, k=K, scale=SCALE, candidate_block=CANDIDATE_BLOCK, q
     vectors: vec_id, embedding; queries: rows of the same shape, whose own row (equal vec_id)
     is no candidate of theirs.  Equal scores go to the smaller vec_id; fewer candidates: all.
     Each of several query rows of one vec_id ranks for itself, as does each candidate row.
-    Scores must fit into 63 bits less those of the block size.
+    Rows that repeat a query's vec_id are its own and no candidates of it.  Scores must fit
+    into 62 bits less those of the block size; vectors that may exceed that are refused.
 
     Both sides are cut into blocks by hash and each pair of blocks is one group, so a task
     holds two blocks and their scores, QUERY_ROWS queries at a time, whatever the input.
@@ -98,8 +104,15 @@ def top_k(vectors, queries, k=K, scale=SCALE, candidate_block=CANDIDATE_BLOCK, q
     asked = quantised(queries, scale)
     number = F.row_number().over(Window.partitionBy("vec_id").orderBy("weights"))
     asked = stored(asked.withColumn("nth", number), "queries")
-    n_blocks = max(1, -(-candidates.count() // candidate_block))
-    q_blocks = max(1, -(-asked.count() // query_block))
+    size = (F.count("*"), F.max(F.size("weights")), F.max(F.array_max(F.transform("weights", F.abs))))
+    n_candidates, width, large = (x or 0 for x in candidates.agg(*size).first())
+    n_asked, width_asked, large_asked = (x or 0 for x in asked.agg(*size).first())
+    most = float(large) * float(large_asked) * min(width, width_asked)
+    # A score and a place in a block share 63 bits; blocks by hash may be somewhat larger.
+    if most >= 2.0**62 / (4 * candidate_block):
+        raise ValueError(f"inner products may reach {most:.3g}, of less than {2.0**62 / (4 * candidate_block):.3g}")
+    n_blocks = max(1, -(-n_candidates // candidate_block))
+    q_blocks = max(1, -(-n_asked // query_block))
     block = lambda salt, n: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = asked.withColumn("q", block(1, q_blocks)).withColumn("c", every(n_blocks))

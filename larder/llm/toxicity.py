@@ -14,12 +14,13 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larder.llm.common import stored
+
 FIT_ROWS = 3000
-FIT_WORDS = 4000
 BUCKETS = 1 << 18
 EPOCHS = 80
 RATIO = 4.0
-MEMO = 300_000
+MEMO, MEMO_BYTES = 200_000, 16 << 20
 THRESHOLD = 0.7
 OFFENDING = 0.5
 
@@ -33,22 +34,32 @@ def word_features(word):
     return [zlib.crc32(n.encode("utf-8", "surrogatepass")) % BUCKETS for n in sorted(names)]
 
 
-class Features(dict):
-    """word_features of distinct words, remembered up to a bound."""
+class Words(dict):
+    """What features(word) gives for each raw piece of text, remembered up to a bound in number and bytes.
+
+    A piece is stripped of marks first; one of marks alone gives None.
+    """
 
-    def __missing__(self, word):
-        if len(self) >= MEMO:
-            self.clear()
-        found = self[word] = word_features(word)
+    def __init__(self, features):
+        self.features, self.size = features, 0
+
+    def __missing__(self, piece):
+        bare = piece.strip(EDGES)
+        found = tuple(self.features(word_features(bare))) if bare else None
+        if len(piece) < 256:
+            if len(self) >= MEMO or self.size > MEMO_BYTES:
+                self.clear()
+                self.size = 0
+            self.size += len(piece)
+            self[piece] = found
         return found
 
 
-def sentences(text):
-    """(start, end, words) of each sentence of a text that has words."""
-    for m in SENTENCE.finditer(text):
-        words = [w for w in (x.strip(EDGES) for x in m.group().lower().split()) if w]
-        if words:
-            yield m.start(), m.end(), words
+def sentence_features(sentence, words):
+    """The features of a sentence, each once, or None when it has no words: for fit, score and place alike."""
+    found = set(map(words.__getitem__, set(sentence.lower().split())))
+    found.discard(None)
+    return set().union(*found) if found else None
 
 
 def training_rows(docs, labels, label, most_rows=FIT_ROWS):
@@ -65,73 +76,82 @@ def training_rows(docs, labels, label, most_rows=FIT_ROWS):
         known.where("_y = 0").orderBy(*order).limit(most_rows)
     )
     # At most two limits of (id, label): small whatever the tables are.
-    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    # An id counts once, by the text of the smallest hash, however many rows share it.
+    return rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("_y").cast("int").alias("_y"))
 
 
-def fit(docs, labels, label="toxic", most_rows=FIT_ROWS, most_words=FIT_WORDS):
+def fit(docs, labels, label="toxic", most_rows=FIT_ROWS):
     """Weights of the hashed features and the bias, as one float array (the bias last).
 
-    Tasks turn the sampled texts into feature ids; the driver holds those only: at most
-    2 * most_rows documents of most_words words (a longer document is cut for the fit, never
-    for scoring).  Without documents of both labels the model scores 0 everywhere.
+    Whole texts of at most most_rows documents of each label are read, in tasks: first to
+    count in how many documents of a label a feature is, then for the telling features of
+    each sentence.  The driver gets the counts, two for each feature bucket, and of the sampled
+    documents the telling features alone.  Without documents of both labels the model scores
+    0 everywhere.
     """
+    rows = stored(training_rows(docs, labels, label, most_rows), "training")
+    sizes = {r[0]: r[1] for r in rows.groupBy("_y").agg(F.count("*")).collect()}
+    weights = np.zeros(BUCKETS + 1, np.float32)
+    weights[-1] = -30.0
+    if len(sizes) < 2:
+        return weights
 
-    def run(batches):
-        features = Features()
+    def count(batches):
+        words, counts = Words(lambda found: found), np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
-            ids, sizes, ys = [], [], []
             for text, y in zip(batch.column("text").to_pylist(), batch.column("_y").to_pylist()):
-                feats, lengths, n = [], [], 0
-                for _, _, words in sentences(text or ""):
-                    words = words[: most_words - n]
-                    n += len(words)
-                    found = sorted({f for w in set(words) for f in features[w]})
-                    feats += found
-                    lengths.append(len(found))
-                    if n >= most_words:
-                        break
-                ids.append(np.array(feats, "<i4").tobytes())
-                sizes.append(np.array(lengths, "<i4").tobytes())
-                ys.append(y)
+                found = set().union(*(sentence_features(x, words) or () for x in SENTENCE.findall(text or "")))
+                counts[y, np.fromiter(found, np.int64, len(found))] += 1
+        for y in (0, 1):
+            at = np.flatnonzero(counts[y])
             yield pa.RecordBatch.from_pydict(
-                {"ids": pa.array(ids, pa.binary()), "sizes": pa.array(sizes, pa.binary()), "y": pa.array(ys, pa.int32())}
+                {"y": pa.array(np.full(len(at), y, np.int32)), "feature": pa.array(at), "n": pa.array(counts[y, at])}
             )
 
-    rows = training_rows(docs, labels, label, most_rows).select("text", F.col("_y").cast("int"))
-    found = rows.mapInArrow(run, "ids binary, sizes binary, y int").toArrow()
-    y = found.column("y").to_numpy().astype(float)
-    weights = np.zeros(BUCKETS + 1, np.float32)
-    weights[-1] = -30.0
-    if not (0 < y.sum() < len(y)):
-        return weights
-
-    def documents():
-        for ids, sizes in zip(found.column("ids"), found.column("sizes")):
-            yield np.frombuffer(ids.as_py(), "<i4"), np.frombuffer(sizes.as_py(), "<i4")
-
-    # A document at a time: only what the telling features leave is put together.
-    mask = telling((ids for ids, _ in documents()), y)
-    kept, sentence_of, doc_of, n = [], [], [], 0
-    for doc, (ids, sizes) in enumerate(documents()):
-        keep = mask[ids]
-        kept.append(ids[keep])
-        sentence_of.append(np.repeat(np.arange(n, n + len(sizes)), sizes)[keep])
-        doc_of.append(np.full(len(sizes), doc))
-        n += len(sizes)
-    return train(*map(np.concatenate, (kept, sentence_of, doc_of)), y, mask)
+    found = rows.select("text", "_y").mapInArrow(count, "y int, feature long, n long")
+    found = found.groupBy("y", "feature").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros((2, BUCKETS), np.int64)
+    counts[found.column("y").to_numpy(), found.column("feature").to_numpy()] = found.column("n").to_numpy()
+    mask = telling(counts, sizes[1], sizes[0])
+    shared = rows.sparkSession.sparkContext.broadcast(frozenset(np.flatnonzero(mask).tolist()))
 
+    def bags(batches):
+        words = Words(lambda found: shared.value.intersection(found))
+        for batch in batches:
+            out = []
+            for text, y in zip(batch.column("text").to_pylist(), batch.column("_y").to_pylist()):
+                told = [f for x in SENTENCE.findall(text or "") if (f := sentence_features(x, words)) is not None]
+                some = [sorted(f) for f in told if f]
+                out.append((y, len(told) - len(some), [f for x in some for f in x], [len(x) for x in some]))
+            columns = list(zip(*out)) or [()] * 4
+            kinds = (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds)], ["y", "plain", "ids", "sizes"]
+            )
 
-def telling(documents, y):
+    kinds = "y int, plain long, ids array<long>, sizes array<long>"
+    # Sorted, so that sums do not depend on the order of the tasks.
+    bag = rows.select("text", "_y").mapInArrow(bags, kinds).orderBy("y", "plain", "sizes", "ids").toArrow()
+    shared.destroy()
+    y = bag.column("y").to_numpy().astype(float)
+    flat = lambda c: np.array([x for part in bag.column(c).to_pylist() for x in part], np.int64)
+    lengths = np.array([len(x) for x in bag.column("sizes").to_pylist()])
+    # Sentences without a telling feature are alike: one of a document stands for all of them.
+    doc_of = np.concatenate((np.repeat(np.arange(len(y)), lengths), np.arange(len(y))))
+    times = np.concatenate((np.ones(int(lengths.sum())), bag.column("plain").to_numpy().astype(float)))
+    sentence_of = np.repeat(np.arange(int(lengths.sum())), flat("sizes"))
+    return train(flat("ids"), sentence_of, doc_of, times, y, mask)
+
+
+def telling(counts, n1, n0):
     """Features that toxic documents hold far more often than clean ones (a mask).
 
-    They pass the universal threshold sqrt(2 ln F) for F features on the two-proportion
-    score, and are at least RATIO times as frequent; all other features weigh nothing.
+    counts: by label (clean, toxic) and feature the documents that hold it, of n1 toxic and n0
+    clean ones.  The features pass the universal threshold sqrt(2 ln F) for F features on the
+    two-proportion score, and are at least RATIO times as frequent; all others weigh nothing.
     """
-    counts = np.zeros((2, BUCKETS), np.int64)
-    for ids, toxic in zip(documents, y):
-        counts[int(toxic), np.unique(ids)] += 1
     b, a = counts
-    n1, n0 = y.sum(), (1 - y).sum()
     p = (a + b) / (n1 + n0)
     spread = np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
     score = (a / n1 - b / n0) / spread
@@ -139,11 +159,11 @@ def telling(documents, y):
     return (score >= least) & (a / n1 >= RATIO * (b + 0.5) / n0)
 
 
-def train(ids, sentence_of, doc_of, y, mask, epochs=EPOCHS, rate=0.3):
+def train(ids, sentence_of, doc_of, times, y, mask, epochs=EPOCHS, rate=0.3):
     """Full-batch adaptive gradient on the noisy-or likelihood, both labels weighing alike.
 
     ids: telling features; sentence_of: the sentence of each; doc_of: the document of each
-    sentence.  Only features of the mask get a weight, and none below zero.
+    sentence, times: how many sentences of the document it stands for.  Only features of the mask get a weight, and none below zero.
     """
     w, b = np.where(mask, 1.0, 0.0), -6.0
     seen, seen_b = np.full(BUCKETS, 1e-8), 1e-8
@@ -152,11 +172,11 @@ def train(ids, sentence_of, doc_of, y, mask, epochs=EPOCHS, rate=0.3):
     for _ in range(epochs):
         z = np.clip(b + np.bincount(sentence_of, w[ids], len(doc_of)), -30, 30)
         p = 1 / (1 + np.exp(-z))
-        clean = np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-9)), n_docs)
+        clean = np.bincount(doc_of, times * np.log1p(-np.minimum(p, 1 - 1e-9)), n_docs)
         some = np.maximum(1 - np.exp(clean), 1e-9)
         # d log P(y) / dz of a sentence: -p for clean documents, p (1 - P) / P for toxic ones.
         gain = np.where(y == 1, np.exp(clean) / some, -1.0) * each
-        g = gain[doc_of] * p
+        g = gain[doc_of] * p * times
         gw = np.bincount(ids, g[sentence_of], BUCKETS)
         seen += gw * gw
         w = np.maximum(w + rate * gw / np.sqrt(seen), 0) * mask
@@ -169,46 +189,48 @@ def train(ids, sentence_of, doc_of, y, mask, epochs=EPOCHS, rate=0.3):
 
 
 class Scorer:
-    """Word weights looked up once for each distinct word, up to a bound."""
+    """Sentence and document scores of texts; pieces without weight are looked up once."""
 
     def __init__(self, weights):
-        self.weights = weights
         self.bias = float(weights[-1])
-        self.words = {}
-
-    def weight(self, word):
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) >= MEMO:
-                self.words.clear()
-            bare = word.strip(EDGES)
-            found = float(self.weights[word_features(bare)].sum()) if bare else 0.0
-            self.words[word] = found
-        return found
+        self.weights = {int(i): float(weights[i]) for i in np.flatnonzero(weights[:-1])}
+        self.words = Words(lambda found: [f for f in found if f in self.weights])
+        self.plain = float(np.logaddexp(0, self._bounded(self.bias)))
+
+    @staticmethod
+    def _bounded(z):
+        return min(max(z, -30.0), 30.0)
+
+    def _log_odds(self, features):
+        return self._bounded(self.bias + sum(self.weights[f] for f in sorted(features)))
 
     def sentence_scores(self, text):
         """(start, end, probability) of each sentence with words."""
         out = []
         for m in SENTENCE.finditer(text):
-            words = set(m.group().lower().split())
-            if words and any(w.strip(EDGES) for w in words):
-                bare = {w.strip(EDGES) for w in words} - {""}
-                z = self.bias + sum(map(self.weight, bare))
-                out.append((m.start(), m.end(), 1 / (1 + np.exp(-min(max(z, -30.0), 30.0)))))
+            features = sentence_features(m.group(), self.words)
+            if features is not None:
+                out.append((m.start(), m.end(), 1 / (1 + np.exp(-self._log_odds(features)))))
         return out
 
     def score(self, text):
         """The noisy-or over the sentences; 0 without any."""
-        clean = 0.0
-        get = self.weight
-        for piece in SENTENCE.findall(text):
-            words = set(piece.lower().split())
-            if not words:
-                continue
-            z = self.bias + sum(map(get, words))
-            z = min(max(z, -30.0), 30.0)
-            clean += np.log1p(np.exp(z)) if z < 20 else z
-        return float(1 - np.exp(-clean))
+        plain, clean = 0, 0.0
+        for sentence in SENTENCE.findall(text):
+            features = sentence_features(sentence, self.words)
+            if features:
+                clean += float(np.logaddexp(0, self._log_odds(features)))
+            elif features is not None:
+                plain += 1
+        return float(-np.expm1(-clean - plain * self.plain))
+
+    def judged(self, text, least=OFFENDING):
+        """(score, offending sentences, start and end of the worst one or None)."""
+        score = self.score(text)
+        # Only a document that scores as much can hold a sentence that does.
+        told = [s for s in self.sentence_scores(text) if s[2] >= least] if score >= least else []
+        worst = max(told, key=lambda s: (s[2], -s[0])) if told else (None, None)
+        return score, len(told), worst[0], worst[1]
 
 
 def scored(docs, weights, column="score"):
@@ -256,15 +278,36 @@ def offending_sentences(docs, weights, least=OFFENDING):
     )
 
 
-def toxicity(docs, labels, label="toxic", threshold=THRESHOLD):
-    """Per row: doc_id, held_out, score, predicted (1 at the threshold).  Null ids are not held out."""
-    weights = fit(docs, labels, label)
-    out = scored(docs.select(F.col("doc_id").cast("long"), "text"), weights)
+def toxicity(docs, labels, label="toxic", threshold=THRESHOLD, least=OFFENDING):
+    """Per row: doc_id, held_out, score, predicted (1 at the threshold), and where it offends.
+
+    n_offending counts the sentences scored at least `least`; worst_start and worst_end
+    (characters) are the first of the worst ones, null without any.  Null ids are not held out.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label))
+
+    def run(batches):
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            rows = [scorer.judged(t or "", least) for t in batch.column("text").to_pylist()]
+            columns = list(zip(*rows)) or [()] * 4
+            kinds = (pa.float64(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(columns, kinds)]],
+                ["doc_id", "score", "n_offending", "worst_start", "worst_end"],
+            )
+
+    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+        run, "doc_id long, score double, n_offending int, worst_start long, worst_end long"
+    )
     return out.select(
         "doc_id",
         F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
+        "n_offending",
+        "worst_start",
+        "worst_end",
     )
 
 

@@ -75,3 +75,16 @@ def test_empty_and_clashing(spark):
         {c: F.lit("own") for c in ("canonical", "full", "own", "_before", "_chunk", "outcome", "refers_to")}
     )
     assert [r.refers_to for r in revisits.resolve(more).collect()] == [1]
+
+
+def test_repeated_revisits_and_null_ids_stay_one_row_each(spark):
+    rows = [
+        (1, "response", "http://a", 1, 200, {"etag": "e"}, "p"), (None, "response", "http://a", 2, 200, {"etag": "f"}, "q"),
+        (2, "revisit", "http://a", 5, 304, {"etag": "e"}, None), (2, "revisit", "http://a", 5, 304, {"etag": "e"}, None),
+        (None, "revisit", "http://a", 6, 304, {"etag": "e", "date": "own"}, None), (None, "revisit", None, 6, 304, None, None),
+    ]
+    found = revisits.resolve(spark.createDataFrame(rows, RECORDS)).collect()
+    assert sorted((str(r.record_id), r.outcome, r.refers_to) for r in found) == [
+        ("2", "resolved", 1), ("2", "resolved", 1), ("None", "no_response", None), ("None", "resolved", 1),
+    ]
+    assert [r.headers["date"] for r in found if r.record_id is None and r.headers] == ["own"]

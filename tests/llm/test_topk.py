@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from larder.llm import topk
 
@@ -70,3 +71,22 @@ def test_clashing_columns(spark):
     table = spark.createDataFrame(rows, VECTORS)
     more = table.withColumns({c: F.lit(1) for c in ("weights", "q", "c", "nth", "rank", "score")})
     assert sorted(map(tuple, topk.top_k(more, more, k=2).collect())) == slow(rows, rows, 2)
+
+
+def test_rows_without_an_id_take_no_part(spark):
+    rows = [(1, [1.0]), (None, [0.9]), (2, [0.5]), (None, [0.4])]
+    assert found(spark, rows, [(1, [1.0]), (None, [1.0])], k=3) == [(1, 1, 2, 2048)]
+
+
+def test_rows_of_the_query_s_id_are_its_own(spark):
+    rows = [(20, [1.0]), (20, [0.5]), (3, [0.25])]
+    assert found(spark, rows, rows[:2], k=2) == [(20, 1, 3, 512), (20, 1, 3, 1024)]
+
+
+def test_large_components_are_exact_or_refused(spark):
+    rows = [(i, [1e4 + i, -2e4 * i]) for i in range(9)]
+    assert found(spark, rows, rows[:3], k=4) == slow(rows, rows[:3], 4)
+    with pytest.raises(Exception, match="a component times"):
+        found(spark, [(1, [1e30]), (2, [1.0])], [(1, [1e30])])
+    with pytest.raises(Exception, match="inner products may reach"):
+        found(spark, [(1, [1e9]), (2, [1e9])], [(1, [1e9])])

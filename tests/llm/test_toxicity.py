@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from larder.llm import toxicity
 
@@ -45,11 +46,49 @@ def test_the_offending_sentence_is_located(spark):
 def test_score_is_the_noisy_or_of_its_sentences(spark):
     docs, labels = made(spark)
     scorer = toxicity.Scorer(toxicity.fit(docs, labels))
-    for text in ("You nasty1 thing 3. Plain words 2 go 5 here", "Plain words", "", "...\n!?"):
+    odd = "You nasty1, (nasty1) NASTY1 nasty2 thing 3! ... you nasty0, 'nasty0' nasties. ,,, ?! nasty1"
+    for text in ("You nasty1 thing 3. Plain words 2 go 5 here", "Plain words", "", "...\n!?", odd):
         p = np.array([s[2] for s in scorer.sentence_scores(text)])
         assert abs(scorer.score(text) - (1 - np.prod(1 - p))) < 1e-9
 
 
+def test_scores_match_a_plain_reading_of_the_weights(spark):
+    """Word by word: the features of a sentence's distinct bare words, each once."""
+    docs, labels = made(spark)
+    weights = toxicity.fit(docs, labels).astype(float)
+    draw = np.random.default_rng(1)
+    pieces = ["you", "nasty1", "nasty1,", "(Nasty2)", "nast", "nastier", "plain", ",", "...", "words.", "go!", "\n", "x" * 300]
+    for _ in range(200):
+        text = " ".join(draw.choice(pieces, draw.integers(0, 25)))
+        clean, places = 1.0, []
+        for m in toxicity.SENTENCE.finditer(text):
+            bare = {w.strip(toxicity.EDGES) for w in m.group().lower().split()} - {""}
+            if bare:
+                features = {f for w in bare for f in toxicity.word_features(w)}
+                z = min(max(weights[-1] + sum(weights[f] for f in features), -30), 30)
+                p = 1 / (1 + np.exp(-z))
+                clean *= 1 - p
+                places.append((p, -m.start(), m.end()))
+        scorer = toxicity.Scorer(weights)
+        assert abs(scorer.score(text) - (1 - clean)) < 1e-9
+        told = [x for x in places if x[0] >= 0.5]
+        worst = max(told) if told else (None, None, None)
+        start = None if worst[1] is None else -worst[1]
+        assert scorer.judged(text)[1:] == (len(told), start, worst[2])
+
+
+def test_the_fit_reads_whole_texts_and_an_id_once(spark):
+    docs, labels = made(spark, 300)
+    # The offending sentence comes after 5,000 words; a third of the rows share one id.
+    late = docs.withColumn("text", F.concat(F.repeat(F.lit("so on "), 2500), F.lit(". "), "text"))
+    plain = toxicity.fit(docs, labels)
+    found = toxicity.toxicity(late, labels).collect()
+    assert {r.doc_id for r in found if r.predicted} == set(range(0, 300, 5))
+    assert all(r.n_offending == 1 and r.worst_start > 15000 for r in found if r.predicted)
+    many = docs.union(docs.where("doc_id = 7").crossJoin(spark.range(150)).select("doc_id", "text"))
+    assert np.array_equal(toxicity.fit(many, labels), plain)
+
+
 def test_odd_rows(spark, odd, clashing, empty):
     labels = spark.createDataFrame(
         [(1, 1), (2, 0), (3, None), (None, 1), (4, 5), (6, 0), (6, 1)], "doc_id long, toxic int"
