@@ -19,8 +19,6 @@ MASKS = ((0, 1, 3, 4, 6), (0, 2, 3, 5, 7), (0, 1, 3, 7, 8))
 SEPARATORS = r"^\p{L}\p{N}"
 WINDOW = 13
 SHARE = 0.8
-# Shorter items admit no replaced word and are not looked for.
-LEAST_ITEM = 5
 LONGEST_RUN = 8
 
 
@@ -53,11 +51,14 @@ def windows(rows, masks=MASKS):
 
 
 def runs(items, window=WINDOW, share=SHARE):
-    """Seeds of the items shorter than the window: item_place, length and the item's columns."""
+    """Seeds of the items shorter than the window: item_place, length and the item's columns.
+
+    Of one to four words none may be replaced, so such an item is one run, itself.
+    """
     n = F.size("words")
     parts = (n - F.ceil(n * F.lit(share)) + 1).cast("int")
     length = F.least(F.expr("int(_n div _parts)"), F.lit(LONGEST_RUN))
-    short = items.where((n < window) & (n >= LEAST_ITEM)).withColumn("_n", n).withColumn("_parts", parts)
+    short = items.where((n < window) & (n > 0)).withColumn("_n", n).withColumn("_parts", parts)
     return short.withColumn("length", length).select(
         *items.columns,
         "length",
@@ -71,13 +72,14 @@ def overlaps(docs, benchmark, masks=MASKS, window=WINDOW, share=SHARE):
     Aligned words of a document and an item are compared from hit to hit; an overlap is the
     best stretch of min(window, words of the item) words with at least `share` of them equal,
     and a row is the best alignment of the pair (most equal words, then the first).  Null or
-    empty texts, and items of fewer than LEAST_ITEM words, have none.  Rows that repeat a
+    empty texts, and items without words, have none; an item of one to four words overlaps
+    where all its words stand.  Rows that repeat a
     doc_id are one document if their texts are equal, else each is compared.  Benchmark
     hashes are broadcast when their measured size allows it; beyond, the join is shuffled.
     """
     items = benchmark.select(
         F.col("item_id"), normal_words(F.col("text")).alias("words")
-    ).where(F.size("words") >= LEAST_ITEM)
+    ).where(F.size("words") > 0)
     short = runs(items, window, share)
     # Whole runs are masks too; texts are only searched for the lengths that items have.
     lengths = sorted(r[0] for r in short.select("length").distinct().collect())
