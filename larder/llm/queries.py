@@ -70,38 +70,14 @@ levels as (
   from capped),
 level as (select *, max(case when own_level * weight <= cap then own_level end) over () as level from levels),
 targets as (select source, source_id, source_size, coalesce(least(cap::double, level * weight), 0) as target from level),
-shares as (
-  select *, coalesce(sum(target) over (order by source_id rows between unbounded preceding and 1 preceding), 0) / sum(target) over () as lo,
-         case when source_id = max(source_id) over () then 1.0
-              else sum(target) over (order by source_id rows between unbounded preceding and current row) / sum(target) over () end as hi
-  from targets),
-scale as (
-  select greatest(0, ceil(log2(greatest(sum(size), 1) / 128.0)))::int as bits, greatest(sum(size), 1)::double as words from sized),
-grid as (select bits, (1 << bits)::bigint as n, words / (1 << bits) as block from scale),
-points as (
-  select i as slot, list_sum(list_transform(range(bits), lambda b: ((i >> b) & 1) << (bits - 1 - b))) as point, n
-  from grid, range((select n from grid)) t(i)),
-slots as (
-  select slot, source_id, row_number() over (partition by source_id order by slot) - 1 as rank
-  from points join shares on coalesce(point, 0) >= lo * n and coalesce(point, 0) < hi * n),
-blocks as (select source_id, ceil(source_size / block)::bigint as blocks, source_size from shares, grid),
-picks as (
-  select source_id, rank % blocks as block, count(*) as times from slots join blocks using (source_id)
-  where rank < blocks * 3 group by all),
 placed as (
   select doc_id, size, source_id, s.source_size, target, key,
          (sum(size) over (partition by source_id order by key, doc_id rows between unbounded preceding and current row) - size)::bigint as start
-  from sized join shares s on sized.source is not distinct from s.source),
-cut as (
-  select doc_id, source_id, start, b as block,
-         least(start + size, ceil((b + 1) * grid.block)::bigint) - greatest(start, ceil(b * grid.block)::bigint) as n_words
-  from placed, grid, lateral unnest(range(greatest(floor(start / grid.block)::bigint - 1, 0), floor((start + size - 1) / grid.block)::bigint + 2)) t(b)
-  where size > 0),
-taken as (
-  select doc_id, source_id, start, sum(n_words * times)::bigint as taken
-  from cut join picks using (source_id, block) where n_words > 0 group by all)
-select p.doc_id, p.size::bigint as size, p.source_size, p.target, coalesce(case when p.size > 0 then taken end, 0)::bigint as taken
-from placed p left join taken t on p.source_id = t.source_id and p.start = t.start and p.doc_id is not distinct from t.doc_id
+  from sized join targets s on sized.source is not distinct from s.source)
+select doc_id, size::bigint as size, source_size, target,
+       list_sum([greatest(0, least(e * source_size + start + size, floor(target + 0.5)::bigint) - e * source_size - start)
+                 for e in [0, 1, 2]])::bigint as taken
+from placed
 """
 
 
