@@ -1,5 +1,8 @@
 """Peers, bands, phrases, search, scans and the product view."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.bindings import TODAY, oracle, records, table
@@ -8,8 +11,9 @@ from checks.imports import with_raw
 from checks.registry import register
 from larder import schemas
 from larder.functions.nutrients import comparable_basis
-from larder.operators import bands, peers, phrases, scans, search, tables, views
+from larder.operators import bands, peer_views, peers, phrases, scans, search, tables, views
 from larder.plans.building import catalogue_peer_stats
+from larder.sources.scratch import new_folder
 from larder.vocab import NUTRIENT_IDS
 
 PEER_NUTRIENTS = ["sugars_g", "fat_g", "sodium_mg"]
@@ -57,6 +61,27 @@ def peer_stats(spark, d):
 register("peer_stats", peer_stats, chain("panel_rows", [VALUES, STATS], "select * from stats"))
 
 
+def maintained(spark, d):
+    """Orders as records: some are first seen with other figures, some come later, some go again."""
+    rows = table(spark, d, "panel_rows").withColumnRenamed("l_orderkey", "k").drop("l_linenumber")
+    early, late, gone = F.expr("k % 3 != 1"), F.expr("k % 5 = 0 or k % 3 = 1"), F.expr("k % 7 = 0")
+    first = rows.where(early).withColumn("sugars_g", F.expr("sugars_g + if(k % 5 = 0, 1, 0)"))
+    batches = [(first, False), (rows.where(late), False), (rows.where(gone), True)]
+    log = reduce(DataFrame.unionByName, [
+        b.withColumn("batch", F.lit(i).cast("long")).withColumn("deleted", F.lit(went)) for i, (b, went) in enumerate(batches)
+    ])
+    root = new_folder(spark, "cut_offs")
+    for i in range(len(batches)):
+        peer_views.update(spark, root, i, *peer_views.batch_changes(log, i, "k"), PEER_RULE, fold_every=2)
+    return peer_views.cut_off_view(spark, root)
+
+
+register(
+    "maintained_peer_stats", maintained,
+    chain("panel_rows", [VALUES.replace("is not null", "is not null and l_orderkey % 7 != 0"), STATS], "select * from stats"),
+)
+
+
 def panel_columns(spark, d):
     rows = table(spark, d, "panel_rows").withColumn("block_index", F.lit(0)).withColumn(
         "gtin", F.concat_ws("-", "l_orderkey", "l_linenumber")

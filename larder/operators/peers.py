@@ -46,6 +46,11 @@ def peer_stats(values, minimum_peers, lower_percentile, higher_percentile, rule_
     distinct figures (two decimals), not products, however large one category is.
     """
     counted = values.groupBy(*GROUP, "value").agg(F.count(F.lit(1)).alias("n"))
+    return cut_offs(counted, minimum_peers, lower_percentile, higher_percentile, rule_id, rule_version)
+
+
+def cut_offs(counted, minimum_peers, lower_percentile, higher_percentile, rule_id, rule_version):
+    """Nearest-rank cut-offs of counted figures: the group columns, value, and n, one row per value."""
     ordered = Window.partitionBy(*GROUP).orderBy("value")
     placed = counted.select(
         *GROUP,

@@ -23,11 +23,16 @@ def with_order(batch):
     return batch.select("value", order.alias("ord"))
 
 
-def start_import(lines, root, checkpoint, spec, retrieved_at, today, **trigger):
-    """Runs import_batch on every micro-batch; a repeated batch replaces its own output."""
+def start_import(lines, root, checkpoint, spec, retrieved_at, today, then=None, **trigger):
+    """Runs import_batch on every micro-batch; a repeated batch replaces its own output.
+
+    then(spark, batch_id) follows each batch, for views of the log; it must bear repeating too.
+    """
 
     def write(batch, batch_id):
         import_batch(with_order(batch), root, batch_id, spec, retrieved_at, today)
+        if then:
+            then(batch.sparkSession, batch_id)
 
     return (
         lines.writeStream.foreachBatch(write)
