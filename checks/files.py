@@ -56,21 +56,22 @@ register(
 
 
 def record_files(spark, d):
-    """Country records written as JSON files, one for each nation, and read as a tree."""
-    nations = table(spark, d, "nation")
-    path = new_folder(spark, "countries")
-    rows = nations.select(
-        F.concat(F.lit("C"), "n_nationkey").alias("code"), F.col("n_name").alias("name"),
-        F.lit("per_100g").alias("default_nutrition_basis"), F.lit("sodium").alias("sodium_declared_as"),
-        F.lit(1).alias("schema_version"),
+    """Records of parts as multi-line JSON files in a tree, a shelf a folder; every hundredth file has no name."""
+    parts = table(spark, d, "part").select("p_partkey", "p_name")
+    path = new_folder(spark, "parts")
+    name = F.when(F.col("p_partkey") % 100 > 0, F.col("p_name"))
+    record = F.to_json(F.struct(F.concat(F.lit("P"), "p_partkey").alias("code"), name.alias("name"), F.lit(1).alias("schema_version")))
+    # An array over several lines is a file of records.
+    lines = parts.groupBy((F.col("p_partkey") % 40).alias("shelf"), F.floor(F.col("p_partkey") / 4000).alias("file")).agg(
+        F.concat(F.lit("[\n"), F.array_join(F.collect_list(record), ",\n"), F.lit("\n]")).alias("value")
     )
-    rows.withColumn("file", F.col("code")).write.partitionBy("file").json(path)
-    return read_records(spark, path, schemas.COUNTRY).select("code", "name", "schema_version")
+    lines.write.partitionBy("shelf", "file").option("compression", "none").option("lineSep", "\n").text(path)
+    return read_records(spark, path, schemas.COUNTRY, glob="*.txt").select("code", "name", "schema_version")
 
 
 register(
     "record_tree", record_files,
-    "select concat('C', n_nationkey) as code, n_name as name, 1 as schema_version from nation",
+    "select concat('P', p_partkey) as code, case when p_partkey % 100 > 0 then p_name end as name, 1 as schema_version from part",
 )
 
 

@@ -263,14 +263,16 @@ register(
 )
 register(
     "mapped_categories",
+    # The categories that products of the import have serve as the category records.
     lambda spark, d: brands.categories_without_record(
         brands.mapped_categories(spark),
-        table(spark, d, "category_names"),
+        products(spark, d).where("length(name) > 12").select(F.col("category").alias("id")).distinct(),
     ),
-    oracle(
+    with_raw(
         "select category from (select unnest(["
         + ", ".join(sorted({f"'{category}'" for _, category in CATEGORY_MAP}))
-        + "]) as category) m where category not in (select id from {category_names})"
+        + "]) as category) m where category not in (select category from products where length(name) > 12 and "
+        "category is not null)"
     ),
 )
 

@@ -131,35 +131,31 @@ def messages(code):
 register(
     "macros_exceed_basis", messages("0405"),
     oracle(
-        "select rid, concat(spot, '/values') as pointer, concat('Protein, carbohydrate and fat add up to ', "
-        f"{one(MASS)}, ' g, which is more than the ', case when basis = 'per_100g' then '100 g' else '100 ml' end, "
-        f"' they are declared against.') as message from {P} r where {PANEL_RULES['0405'][2]}"
+        f"select rid, concat(spot, '/values') as pointer, concat('Macronutrients of ', {one(MASS)}, ' g do not fit into ', "
+        f"case when basis = 'per_100g' then '100 g' else '100 ml' end, '.') as message from {P} r where {PANEL_RULES['0405'][2]}"
     ),
 )
 register(
     "energy_disagrees", messages("0406"),
     oracle(
-        f"select rid, concat(spot, '/values/energy_kcal') as pointer, concat('The packet declares ', {one('energy_kcal')}, "
-        "' kcal, but the protein, carbohydrate and fat it lists work out to about ', "
-        f"{one(WORKED)}, ' kcal, a difference of ', {whole(f'abs(energy_kcal - ({WORKED})) / ({WORKED}) * 100')}, '%.') "
-        f"as message from {P} r where {PANEL_RULES['0406'][2]}"
+        f"select rid, concat(spot, '/values/energy_kcal') as pointer, concat('Energy of ', {one('energy_kcal')}, ' kcal is ', "
+        f"{whole(f'abs(energy_kcal - ({WORKED})) / ({WORKED}) * 100')}, '% away from the ', {one(WORKED)}, "
+        f"' kcal of its macronutrients.') as message from {P} r where {PANEL_RULES['0406'][2]}"
     ),
 )
 register(
     "energy_units_disagree", messages("0407"),
     oracle(
-        f"select rid, concat(spot, '/values/energy_kj') as pointer, concat({one('energy_kcal')}, ' kcal is about ', "
-        f"{whole('energy_kcal * 4.184e0')}, ' kJ, but the record says ', {one('energy_kj')}, ' kJ.') as message "
+        f"select rid, concat(spot, '/values/energy_kj') as pointer, concat('Energy of ', {one('energy_kj')}, ' kJ does not "
+        f"match ', {one('energy_kcal')}, ' kcal, which are ', {whole('energy_kcal * 4.184e0')}, ' kJ.') as message "
         f"from {P} r where {PANEL_RULES['0407'][2]}"
     ),
 )
 register(
     "sodium_implausible", messages("0411"),
     oracle(
-        f"select rid, concat(spot, '/values/sodium_mg') as pointer, concat({whole('sodium_mg')}, ' mg of sodium per 100 is "
-        f"about ', {one('sodium_mg * 2.54e0 / 1000')}, ' g of salt in every 100, which no food except salt itself "
-        "contains. This is usually a decimal point in the wrong place.') as message "
-        f"from {P} r where {PANEL_RULES['0411'][2]}"
+        f"select rid, concat(spot, '/values/sodium_mg') as pointer, concat('Sodium of ', {whole('sodium_mg')}, ' mg in 100 "
+        f"means ', {one('sodium_mg * 2.54e0 / 1000')}, ' g of salt.') as message from {P} r where {PANEL_RULES['0411'][2]}"
     ),
 )
 

@@ -19,14 +19,14 @@ def read_record_text(spark, directory, base=None):
     return files.select(path.alias("path"), F.col("value").alias("text"))
 
 
-def read_records(spark, directory, schema):
+def read_records(spark, directory, schema, glob="*.json"):
     """Typed records of a directory tree, with their path; a missing directory is empty."""
     try:
         files = (
             spark.read.schema(schema)
             .option("multiLine", "true")
             .option("recursiveFileLookup", "true")
-            .option("pathGlobFilter", "*.json")
+            .option("pathGlobFilter", glob)
             .json(directory)
         )
         return files.select(F.col("_metadata.file_path").alias("path"), "*")
