@@ -6,7 +6,8 @@ from checks.analysis import enriched, scan_sql
 from checks.bindings import oracle, table
 from checks.registry import register
 from larder.operators import history, scans
-from larder.sources import export
+from larder.sources import export, record_log
+from larder.sources.scratch import new_folder
 
 
 def of_their_time(spark, d):
@@ -55,3 +56,24 @@ def unseen(spark, d):
 
 
 register("unseen_files", unseen, f"select * from ({CONTENTS}) c where lines % 2 = 1")
+
+
+def merged_log(spark, d):
+    """Fingerprints from the merged runs of a log whose batches double in size."""
+    root = new_folder(spark, "log")
+    rows = table(spark, d, "version_rows").groupBy("gtin", F.expr("int(log2(batch + 1))").alias("batch")).agg(
+        F.max_by(F.struct(F.md5("name").alias("substance"), "deleted"), "batch").alias("_v")
+    )
+    rows.select("gtin", "batch", "_v.*").repartition("batch").write.partitionBy("batch").parquet(root)
+    for before in (10, 40):
+        record_log.merge_runs(spark, root, before, fan=2)
+    return record_log.fingerprints(spark, root, 40).where(~F.col("deleted")).select("gtin", "substance")
+
+
+register(
+    "merged_log", merged_log,
+    oracle(
+        "select gtin, md5(name) as substance from (select * from {version_rows} qualify row_number() over (partition by gtin "
+        "order by batch desc) = 1) v where not deleted"
+    ),
+)

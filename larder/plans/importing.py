@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 from larder.operators.dedup import first_wins
 from larder.operators.mapping import accepted, map_products
 from larder.operators.quality import with_row_error
+from larder.operators.sizes import written
 from larder.operators.upsert import substance
 from larder.sources.export import decode_lines
-from larder.sources.record_log import append_batch, latest_fingerprints, read_log
+from larder.sources.record_log import append_batch, few_keys, fingerprints, merge_runs
 
 
 def map_lines(lines, spec, retrieved_at, order="ord"):
@@ -20,12 +21,13 @@ def import_products(lines, spec, retrieved_at, order="ord"):
     return first_wins(accepted(map_lines(lines, spec, retrieved_at, order)), "gtin", order).drop(order)
 
 
-def changes_against(log, candidates, today):
+def changes_against(latest, candidates, today):
     """Records a batch must write: new or changed ones, and prunes of records now in error.
 
-    Unchanged candidates write nothing, so their dates stay.
+    latest: gtin, substance, deleted as they were.  Unchanged candidates write nothing, so
+    their dates stay.
     """
-    before = latest_fingerprints(log).select(
+    before = latest.select(
         "gtin", F.col("substance").alias("_before"), F.col("deleted").alias("_gone")
     )
     live = F.col("_before").isNotNull() & ~F.col("_gone")
@@ -37,7 +39,13 @@ def changes_against(log, candidates, today):
 
 
 def import_batch(lines, root, batch, spec, retrieved_at, today, order="ord"):
-    """Import one batch of lines into the record log at root.  Safe to repeat."""
+    """Import one batch of lines into the record log at root.  Safe to repeat.
+
+    The batch is mapped once and written; of the log, a small batch reads the pages that may
+    hold its keys.  The batches before it are merged by size once it is in.
+    """
     spark = lines.sparkSession
-    candidates = import_products(lines, spec, retrieved_at, order)
-    append_batch(changes_against(read_log(spark, root, before=batch), candidates, today), root, batch)
+    candidates = written(import_products(lines, spec, retrieved_at, order))
+    latest = fingerprints(spark, root, batch, few_keys(candidates))
+    append_batch(changes_against(latest, candidates, today), root, batch)
+    merge_runs(spark, root, batch)

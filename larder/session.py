@@ -12,6 +12,8 @@ SETTINGS = {
     # Recording a Python call site for every column costs seconds on the wide expressions.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.parquet.filterPushdown": "true",
+    # So many keys of a small batch are compared with the pages of the record log at once.
+    "spark.sql.parquet.pushdown.inFilterThreshold": "500",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
