@@ -3,10 +3,13 @@
 Every k-gram of a text is joined by hash to the places of the k-grams of license templates.
 A hit votes for the diagonal, place in the text less place in the template.  Votes on
 neighbouring diagonals are one span, since words put in or left out shift the rest by a few;
-a span names its template when its verified words cover enough of it.  Short phrases are
-templates too, which must match whole.
+a span names its template when enough of its grams follow one another in the text as they do in
+the template.  Every break costs grams, so the cover asked for bounds the breaks and with them
+how far diagonals of a span may lie apart.  Short phrases are templates too, which must match whole.
 """
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -70,10 +73,16 @@ def grams(rows, sizes=(PHRASE_GRAM, NOTICE_GRAM)):
     return numbered.select(*rows.columns, place.alias("place"), k.alias("k"), value.alias("hash"))
 
 
-def template_grams(spark, phrases, notices):
-    """hash, k, gram, template, label, exact, t_place, n_grams of all templates.
+def breaks(n_grams, cover):
+    """How many breaks, each of NOTICE_GRAM - 1 grams at least, leave `cover` of the grams."""
+    return F.floor(F.round(n_grams * (1 - cover) / (NOTICE_GRAM - 1), 6)).cast("int")
+
+
+def template_grams(spark, phrases, notices, cover=COVER):
+    """hash, k, gram, template, label, exact, t_place, n_grams, drift of all templates.
 
     A notice of fewer words than its gram size uses what it has, so it must match whole too.
+    drift is how far diagonals of one span may lie apart: none for phrases, NEIGHBOURS a break.
     """
     rows = [(text, label, True) for text, label in phrases]
     rows += [(text, label, False) for text, label in notices]
@@ -94,15 +103,30 @@ def template_grams(spark, phrases, notices):
         "exact",
         F.col("place").alias("t_place"),
         (F.size("words") - F.col("k") + 1).alias("n_grams"),
-    )
+    ).withColumn("drift", F.when(F.col("exact"), 0).otherwise(breaks(F.col("n_grams"), cover) * NEIGHBOURS))
+
+
+def in_order(hits, most):
+    """The most hits that follow one another in text and template; hits: array of (place, t_place).
+
+    Patience sorting: the entry at length n is the least t_place at which n hits in order end.
+    """
+    hits = F.array_sort(F.transform(hits, lambda h: F.struct(h["place"], (-h["t_place"]).alias("back"))))
+
+    def laid(ends, hit):
+        beyond = F.filter(ends, lambda end: end >= -hit["back"])
+        return F.concat(F.filter(ends, lambda end: end < -hit["back"]), F.array(-hit["back"]), F.slice(beyond, 2, most))
+
+    return F.size(F.aggregate(hits, F.array().cast("array<int>"), laid))
 
 
 def spans(docs, phrases=PHRASES, notices=NOTICES, cover=COVER):
     """Per text: a marker row, and a row for each span that a template has in it.
 
     doc_id, text_hash, n_words, copies (input rows that are equal in both), template, label,
-    exact, first_word, end_word, covered (share of the template's grams found).  The marker's
-    template is null.  Phrases span whole matches only, notices at least `cover`.
+    exact, first_word, end_word, covered (share of the template's grams found in order).  The
+    marker's template is null.  Phrases span whole matches only, notices at least `cover`.  Of
+    spans whose first diagonals lie within their drift, the best one counts, the first of equals.
     """
     spark = docs.sparkSession
     texts = docs.select(
@@ -110,7 +134,7 @@ def spans(docs, phrases=PHRASES, notices=NOTICES, cover=COVER):
         F.xxhash64("text").alias("text_hash"),
         words_of(lower_ascii(F.col("text")), SEPARATORS).alias("words"),
     )
-    known = template_grams(spark, phrases, notices)
+    known = template_grams(spark, phrases, notices, cover)
     hits = grams(texts).join(
         F.broadcast(known.withColumnRenamed("k", "t_k").withColumnRenamed("hash", "t_hash")),
         (F.col("hash") == F.col("t_hash")) & (F.col("k") == F.col("t_k")),
@@ -127,6 +151,7 @@ def spans(docs, phrases=PHRASES, notices=NOTICES, cover=COVER):
         (F.col("place") - F.col("t_place")).alias("diagonal"),
         "t_place",
         "n_grams",
+        "drift",
         "place",
         (F.col("place") + F.col("k")).alias("end"),
     )
@@ -135,33 +160,51 @@ def spans(docs, phrases=PHRASES, notices=NOTICES, cover=COVER):
         F.first("label").alias("label"),
         F.first("exact").alias("exact"),
         F.first("n_grams").alias("n_grams"),
-        F.max("n_words").alias("n_words"),
+        F.first("drift").alias("drift"),
+        F.max("n_words").cast("long").alias("n_words"),
         # Equal input rows vote alike; places tell how many of them there are.
-        F.count("*").alias("votes"),
+        F.count("*").alias("copies"),
         F.collect_set("t_place").alias("t_places"),
         F.min("place").alias("first_word"),
         F.max("end").alias("end_word"),
     )
-    # Phrases are whole on one diagonal; notices join diagonals a few words apart.
-    in_order = Window.partitionBy(*text, "template").orderBy("diagonal")
-    apart = F.col("exact") | (F.col("diagonal") - F.lag("diagonal").over(in_order) > NEIGHBOURS)
-    runs = votes.withColumn("apart", F.coalesce(apart, F.lit(True)).cast("int"))
-    runs = runs.withColumn("run", F.sum("apart").over(in_order))
-    merged = runs.groupBy(*text, "template", "run").agg(
-        F.first("label").alias("label"),
-        F.first("exact").alias("exact"),
-        F.first("n_grams").alias("n_grams"),
-        F.max("n_words").cast("long").alias("n_words"),
-        F.first("votes").alias("copies"),
-        F.array_distinct(F.flatten(F.collect_list("t_places"))).alias("t_places"),
-        F.min("first_word").alias("first_word"),
-        F.max("end_word").alias("end_word"),
+    # A span begins at each diagonal and takes those within its drift.
+    most = max([NEIGHBOURS * math.ceil(len(t.split()) * (1 - cover)) for t, _ in notices], default=0)
+    by_diagonal = Window.partitionBy(*text, "template").orderBy("diagonal")
+    near = F.collect_list(F.struct("diagonal", "t_places", "first_word", "end_word")).over(
+        by_diagonal.rangeBetween(0, most)
+    )
+    begun = votes.withColumn("near", near).withColumn(
+        "near", F.filter("near", lambda x: x["diagonal"] <= F.col("diagonal") + F.col("drift"))
     )
-    covered = F.size("t_places") / F.col("n_grams")
-    merged = merged.withColumn("covered", covered)
     wanted = F.when(F.col("exact"), F.lit(1.0)).otherwise(F.lit(float(cover)))
-    return merged.where(F.col("template").isNull() | (F.col("covered") >= wanted)).select(
-        *text, "n_words", "copies", "template", "label", "exact", "first_word", "end_word", "covered"
+    marker = F.col("template").isNull()
+    found = F.size(F.array_distinct(F.flatten(F.col("near.t_places"))))
+    begun = begun.where(marker | (found / F.col("n_grams") >= wanted))
+    hits = F.flatten(
+        F.transform(
+            "near",
+            lambda x: F.transform(
+                x["t_places"], lambda t: F.struct((t + x["diagonal"]).alias("place"), t.alias("t_place"))
+            ),
+        )
+    )
+    covered = F.when(~marker, in_order(hits, F.col("n_grams")) / F.col("n_grams"))
+    begun = begun.withColumn("covered", covered).where(marker | (F.col("covered") >= wanted))
+    rivals = F.collect_list(F.struct("diagonal", "covered")).over(by_diagonal.rangeBetween(-most, most))
+    beaten = F.exists(
+        "rivals",
+        lambda x: (F.abs(x["diagonal"] - F.col("diagonal")) <= F.col("drift"))
+        & (
+            (x["covered"] > F.col("covered"))
+            | ((x["covered"] == F.col("covered")) & (x["diagonal"] < F.col("diagonal")))
+        ),
+    )
+    return begun.withColumn("rivals", rivals).where(marker | ~beaten).select(
+        *text, "n_words", "copies", "template", "label", "exact",
+        F.array_min("near.first_word").alias("first_word"),
+        F.array_max("near.end_word").alias("end_word"),
+        "covered",
     )
 
 

@@ -201,7 +201,7 @@ def _licenses_sql():
         )
     )
     return rf"""
-with texts as (
+with recursive texts as (
   select row_number() over () as row, doc_id,
          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
@@ -216,17 +216,26 @@ grams as (
   select row, place, k, array_to_string(w[place + 1 : place + k], ' ') as gram
   from places, (values (2), (3)) s(k) where place + k <= len(w)),
 votes as (
-  select row, template, label, exact, n_grams, place - t_place as diagonal, t_place, place, place + k as end_word
+  select row, template, label, exact, n_grams, place - t_place as diagonal, t_place, place,
+         case when exact then 0 else 3 * floor(round(n_grams * 0.3::double / 2, 6))::int end as drift
   from grams join t_grams using (k, gram)),
-diagonals as (
-  select row, template, diagonal, exact,
-         coalesce(exact or diagonal - lag(diagonal) over (partition by row, template order by diagonal) > 3, true)::int as apart
-  from (select distinct row, template, diagonal, exact from votes)),
-runs as (select row, template, diagonal, sum(apart) over (partition by row, template order by diagonal) as run from diagonals),
+near as (
+  select s.*, v.t_place, v.place
+  from (select distinct row, template, label, exact, n_grams, drift, diagonal from votes) s
+  join votes v on v.row = s.row and v.template = s.template and v.diagonal between s.diagonal and s.diagonal + s.drift),
+likely as (
+  select * from near
+  qualify count(distinct t_place) over (partition by row, template, diagonal) / n_grams >= case when exact then 1.0 else 0.7 end),
+chains as (
+  select row, template, diagonal, place, t_place, 1 as long from likely
+  union
+  select c.row, c.template, c.diagonal, n.place, n.t_place, long + 1
+  from chains c join likely n on n.row = c.row and n.template = c.template and n.diagonal = c.diagonal
+    and n.place > c.place and n.t_place > c.t_place),
 spans as (
-  select row, template, run, any_value(label) as label, any_value(exact) as exact,
-         count(distinct t_place) / any_value(n_grams) as covered, min(place) as first_word
-  from votes join runs using (row, template, diagonal) group by row, template, run),
+  select row, template, any_value(label) as label, any_value(exact) as exact,
+         max(long) / any_value(n_grams) as covered, min(place) as first_word
+  from likely join chains using (row, template, diagonal, place, t_place) group by row, template, diagonal),
 kept as (select * from spans where covered >= case when exact then 1.0 else 0.7 end)
 select doc_id, any_value(len(w))::bigint as n_words, count(*) filter (exact) as n_base,
        min(first_word) filter (exact) as first_word, max(first_word) filter (exact) as last_word,

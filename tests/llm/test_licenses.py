@@ -1,3 +1,5 @@
+import random
+
 from larder.llm import licenses
 
 
@@ -41,6 +43,57 @@ def test_notices_with_words_put_in_and_left_out(spark):
     assert scanned(spark, ["Licensed under the Apache License, Version 2.0."])[0].labels == "apache,apache-2.0"
 
 
+NOTICE = (
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+    "documentation files"
+).split()
+
+
+def test_scattered_or_shuffled_grams_are_no_notice(spark):
+    grams = [NOTICE[i : i + 3] for i in range(len(NOTICE) - 2)]
+    scattered = " ".join(" ".join([*g, "filler"]) for g in grams)
+    halves = " ".join(NOTICE[10:] + NOTICE[:10])
+    found = scanned(spark, [scattered, halves, " ".join(NOTICE[:8] + ["x", "y", "z"] + NOTICE[8:])])
+    assert [found[i].labels for i in range(3)] == ["", "", "mit-text"]
+    assert found[2].score == 16 / 18
+
+
+def longest(hits):
+    """The most pairs in strict order of both parts, by comparing all with all."""
+    hits = sorted(hits)
+    best = []
+    for i, (place, t_place) in enumerate(hits):
+        best.append(1 + max((best[j] for j in range(i) if hits[j][0] < place and hits[j][1] < t_place), default=0))
+    return max(best, default=0)
+
+
+def test_spans_equal_a_search_of_all_chains(spark):
+    draw = random.Random(4)
+    template = [draw.choice("abcdefgh") for _ in range(24)]
+    texts = []
+    for _ in range(60):
+        words = list(template)
+        for _ in range(draw.randint(0, 4)):
+            at = draw.randrange(len(words))
+            words[at : at + draw.choice([0, 0, 1])] = [draw.choice("abx")] * draw.choice([0, 1, 3])
+        if draw.random() < 0.3:
+            cut = draw.randrange(len(words))
+            words = words[cut:] + words[:cut]
+        texts.append(" ".join(words * draw.choice([1, 1, 2])))
+    n = len(template) - 2
+    drift = 3 * int(n * 0.3 / 2 + 1e-9)
+    found = scanned(spark, texts, phrases=(), notices=[(" ".join(template), "t")])
+    scores = []
+    for i, text in enumerate(texts):
+        words = text.split()
+        hits = [(p, t) for p in range(len(words) - 2) for t in range(n) if words[p : p + 3] == template[t : t + 3]]
+        starts = {p - t for p, t in hits}
+        score = max((longest([h for h in hits if d <= h[0] - h[1] <= d + drift]) / n for d in starts), default=0.0)
+        scores.append(score if score >= 0.7 else 0.0)
+        assert (found[i].score, found[i].labels) == (scores[-1], "t" if scores[-1] else "")
+    assert 10 < sum(s > 0 for s in scores) < 60
+
+
 def test_many_places_in_a_long_text(spark):
     found = scanned(spark, ["mit license word " * 4000])
     assert (found[0].n_base, found[0].first_word, found[0].last_word) == (4000, 0, 11997)
