@@ -105,15 +105,18 @@ with parts as (
          coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path
   from (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) end as rest from pages)),
 cut as (select *, string_split(host, '.') as l from parts),
-named as (
-  select *, case when len(l) < 2 then host else l[-2] || '.' || l[-1] end as two, l[-1] as one from cut),
+ends as (
+  select host, l, array_to_string(l[i :], '.') as tail, array_to_string(l[i + 1 :], '.') as parent, len(l) - i + 1 as length
+  from (select distinct host, l from cut), lateral unnest(range(1, len(l) + 1)) u(i)),
+hits as (
+  select host, length - starts_with(rule, '!')::int + 1000000 * starts_with(rule, '!')::int as weight,
+         length - starts_with(rule, '!')::int as taken
+  from ends join (select unnest([{suffixes}]) as rule) r on rule = tail or rule = '*.' || parent or rule = '!' || tail),
+named as (select host, l, coalesce(arg_max(taken, weight), 1) as taken from ends left join hits using (host) group by host, l),
 leveled as (
-  select page_id, host, path,
-         case when two in ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'com.br', 'co.jp', 'co.in', 'co.nz') then two else one end as suffix,
-         case when two in ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'com.br', 'co.jp', 'co.in', 'co.nz')
-              then case when len(l) < 3 then host else l[-3] || '.' || two end
-              else two end as domain
-  from named),
+  select page_id, host, path, array_to_string(l[-taken :], '.') as suffix,
+         case when len(l) <= taken then host else array_to_string(l[-(taken + 1) :], '.') end as domain
+  from parts join named using (host)),
 seen as (select doc_id as page_id, count(*) as n, sum(quality) as good from labels where quality in (0, 1) group by 1),
 hosts as (
   select host, domain, suffix, coalesce(sum(n), 0)::double as n, coalesce(sum(good), 0)::double as good
@@ -150,7 +153,7 @@ select page_id, host, path, rule,
             when bound >= 0.75 then 'allow' else 'block' end as verdict,
        round(rate, 9) as rate, round(bound, 9) as bound
 from judged
-"""
+""".replace("{suffixes}", ", ".join(f"'{s}'" for s in urls.SUFFIXES))
 
 
 @register(OP5_SQL)

@@ -12,8 +12,13 @@ from pyspark.sql import functions as F
 from larder.llm.common import stored
 from larder.operators.sizes import broadcast_if_small
 
-# The last labels of a host that are a public suffix of two labels; other suffixes have one.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "com.br", "co.jp", "co.in", "co.nz")
+# Suffixes under which anyone may register, an argument: x.y, *.y for all of a label, !x.y for an
+# exception of it.  Where none fits, the last label is the suffix.
+SUFFIXES = (
+    "co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "com.br", "co.jp", "co.in", "co.nz", "co.kr", "co.za",
+    "com.cn", "com.mx", "com.tr", "github.io", "blogspot.com", "*.ck", "!www.ck",
+)
+MOST_SUFFIXES = 50_000
 MOST_RULES = 5000
 Z = 1.645
 LEAST_RATE = 0.75
@@ -26,10 +31,8 @@ def url_parts(url):
     The host runs from the first :// to / ? # or the end, A-Z lower-cased; the path from
     there to ? # or the end.
     """
-    rest = F.when(
-        F.instr(url, "://") > 0, F.expr("substring({0}, instr({0}, '://') + 3)".format("_url"))
-    )
-    rest = F.coalesce(rest, F.lit(""))
+    begin = F.instr(url, "://")
+    rest = F.coalesce(F.when(begin > 0, url.substr(begin + 3, F.length(url))), F.lit(""))
     host = F.translate(
         F.regexp_extract(rest, r"^[^/?#]*", 0),
         "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -40,21 +43,47 @@ def url_parts(url):
 
 
 def with_parts(pages):
-    """page_id, host, path, domain, suffix of every page."""
-    host, path = url_parts(F.col("_url"))
-    parts = pages.select("page_id", F.col("url").alias("_url")).select(
-        "page_id", host.alias("host"), path.alias("path")
-    )
+    """page_id, host, path of every page."""
+    host, path = url_parts(F.col("url"))
+    return pages.select("page_id", host.alias("host"), path.alias("path"))
+
+
+def _last_labels(n):
+    return F.call_function("substring_index", F.col("host"), F.lit("."), -n)
+
+
+def with_domains(hosts, suffixes=SUFFIXES):
+    """hosts (one row a host, further columns) with suffix and domain.
+
+    The suffix is the longest rule that fits the host's end; an exception beats all others and
+    stands for what follows its first label.  The domain is the suffix with one label more, or
+    the host where there is none.  Ends of a host are joined to the rules, no longer than the
+    longest rule, so a host of very many labels costs no more than others.
+    """
+    if len(suffixes) > MOST_SUFFIXES:
+        raise ValueError(f"more than {MOST_SUFFIXES} suffixes are not broadcast")
+    others = [c for c in hosts.columns if c != "host"]
+    rules = hosts.sparkSession.createDataFrame([(s,) for s in set(suffixes)], "_rule string")
+    longest = max((s.count(".") + 1 for s in suffixes), default=1)
     labels = F.split("host", r"\.")
-    last_two = F.substring_index("host", ".", -2)
-    suffix = F.when(last_two.isin(*TWO_LABEL_SUFFIXES), last_two).otherwise(
-        F.substring_index("host", ".", -1)
+    ends = hosts.select(
+        "*", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size(labels)))).alias("_length")
+    )
+    end = _last_labels(F.col("_length"))
+    parent = _last_labels(F.col("_length") - 1)
+    keys = F.array(end, F.concat(F.lit("*."), parent), F.concat(F.lit("!"), end))
+    tried = ends.select("*", F.explode(keys).alias("_key"))
+    exception = F.col("_rule").startswith("!")
+    length = F.col("_length") - exception.cast("int")
+    hit = F.when(F.col("_rule").isNotNull(), F.struct(exception.alias("exception"), length.alias("length")))
+    found = tried.join(F.broadcast(rules), F.col("_key") == F.col("_rule"), "left").groupBy("host").agg(
+        *[F.first(c).alias(c) for c in others], F.coalesce(F.max(hit)["length"], F.lit(1)).alias("_length")
     )
-    depth = F.when(last_two.isin(*TWO_LABEL_SUFFIXES), 3).otherwise(2)
-    domain = F.when(F.size(labels) < depth, F.col("host")).otherwise(
-        F.when(depth == 3, F.substring_index("host", ".", -3)).otherwise(last_two)
+    return found.select(
+        "host", *others,
+        _last_labels(F.col("_length")).alias("suffix"),
+        _last_labels(F.col("_length") + 1).alias("domain"),
     )
-    return parts.select("*", domain.alias("domain"), suffix.alias("suffix"))
 
 
 def rule_verdict(host, path, rules):
@@ -106,10 +135,10 @@ def _shrunk(children, key, parents, parent_key):
     )
 
 
-def host_reputation(parts, outcomes):
+def host_reputation(parts, outcomes, suffixes=SUFFIXES):
     """Per host: host, n, good, prior, strength, rate, bound.
 
-    parts: page_id, host, domain, suffix; outcomes: page_id, good (1 or 0; other values and
+    parts: page_id, host; outcomes: page_id, good (1 or 0; other values and
     null do not count, several of one page count each).  bound is the lower posterior bound
     of a beta distribution by its normal approximation.  Hosts without outcomes get their
     domain's rate and a wide bound; without any outcomes all rates are one half.
@@ -117,10 +146,10 @@ def host_reputation(parts, outcomes):
     seen = outcomes.where(F.col("good").isin(0, 1)).groupBy("page_id").agg(
         F.count("*").alias("n"), F.sum("good").alias("good")
     )
-    counted = parts.select("page_id", "host", "domain", "suffix").join(seen, "page_id", "left")
+    counted = parts.select("page_id", "host").join(seen, "page_id", "left")
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "good")]
     # Each level is small beside the pages; written once, it is measured and joined from there.
-    hosts = stored(counted.groupBy("host", "domain", "suffix").agg(*sums), "hosts")
+    hosts = stored(with_domains(counted.groupBy("host").agg(*sums), suffixes), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(*sums)
     suffixes = domains.groupBy("suffix").agg(*sums).withColumn("root", F.lit(1))
     roots = suffixes.groupBy("root").agg(*sums).select(
@@ -136,7 +165,7 @@ def host_reputation(parts, outcomes):
     )
 
 
-def judge(pages, outcomes, rules, least_rate=LEAST_RATE):
+def judge(pages, outcomes, rules, least_rate=LEAST_RATE, suffixes=SUFFIXES):
     """Per row of pages: page_id, host, path, rule, verdict, rate, bound.
 
     The verdict is that of the longest rule that fits, else allow where the host's bound
@@ -145,7 +174,7 @@ def judge(pages, outcomes, rules, least_rate=LEAST_RATE):
     size allows it; else the join is shuffled and AQE splits hot hosts.
     """
     parts = with_parts(pages)
-    known = host_reputation(parts, outcomes).select("host", "rate", "bound")
+    known = host_reputation(parts, outcomes, suffixes).select("host", "rate", "bound")
     rule, verdict = rule_verdict(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bound") >= least_rate, "allow").otherwise("block")
     return parts.join(broadcast_if_small(known), "host").select(

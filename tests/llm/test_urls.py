@@ -38,6 +38,32 @@ def test_hosts_paths_and_rules(spark):
     assert found[12].rule == "org/"
 
 
+def test_suffixes_by_the_longest_rule(spark):
+    hosts = {
+        "a.b.co.uk": ("co.uk", "b.co.uk"), "co.uk": ("co.uk", "co.uk"), "uk": ("uk", "uk"), "x.gov.uk": ("gov.uk", "x.gov.uk"),
+        "a.me.github.io": ("github.io", "me.github.io"), "github.io": ("github.io", "github.io"),
+        "a.b.c.ck": ("c.ck", "b.c.ck"), "c.ck": ("c.ck", "c.ck"), "ck": ("ck", "ck"), "a.www.ck": ("ck", "www.ck"),
+        "www.ck": ("ck", "www.ck"), "": ("", ""), "a..b": ("b", ".b"), "x" + ".y" * 5000 + ".net": ("net", "y.net"),
+    }
+    rows = spark.createDataFrame([(h, i) for i, h in enumerate(hosts)], "host string, n int")
+    found = urls.with_domains(rows).collect()
+    assert {r.host: (r.suffix, r.domain) for r in found} == hosts and sorted(r.n for r in found) == list(range(len(hosts)))
+    plain = urls.with_domains(rows, suffixes=()).where("host = 'a.b.co.uk'").first()
+    assert (plain.suffix, plain.domain) == ("uk", "co.uk")
+    with pytest.raises(ValueError):
+        urls.with_domains(rows, suffixes=["a"] * (urls.MOST_SUFFIXES + 1))
+
+
+def test_clashing_columns_change_nothing(spark):
+    pages = spark.createDataFrame(
+        [(1, "http://a.net/x", "h", "p", "s", 1.0), (2, None, None, None, None, None)],
+        PAGES + ", host string, path string, suffix string, rate double",
+    )
+    outcomes = spark.createDataFrame([(1, 1, "z")], "page_id long, good int, host string")
+    found = {r.page_id: (r.host, r.path) for r in urls.judge(pages, outcomes, RULES).collect()}
+    assert found == {1: ("a.net", "/x"), 2: ("", "")}
+
+
 def test_hosts_shrink_towards_their_domains(spark):
     rows, outcomes = [], []
     for i in range(400):
