@@ -3,7 +3,7 @@
 A stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept.
 """
 
-from larder.llm import decontaminate, mixing, shingles, tokens, toxicity
+from larder.llm import decontaminate, mixing, near_copies as near, tokens, toxicity
 from larder.llm.common import stored
 from larder.llm.queries import table, tokenizer_path
 
@@ -17,8 +17,8 @@ def toxic(spark, docs, sf_dir):
 
 
 def near_copies(spark, docs, sf_dir):
-    """Of each group of near copies (five-word shingles, Jaccard of 0.8 or more) one document stays."""
-    return shingles.first_of_each(docs)
+    """Of each group one document stays: linked by SimHash fingerprints, or by a Jaccard of 0.8 of five-word sets."""
+    return near.first_of_each(docs)
 
 
 def benchmark_leaks(spark, docs, sf_dir):
