@@ -19,15 +19,17 @@ def nearest_ancestor(categories, marked):
     lead in a circle, in_cycle is true, and the nearest is the first marked one met, if any.
     Of repeated ids the row with the smallest parent counts, null last.
 
-    Each round every category looks up the category it points to and takes over what that one
-    knows and where it points, so the way doubles: rounds grow with the logarithm of the depth,
-    and after more steps than there are categories only circles still point somewhere.
+    Each round every category that still points somewhere looks up the category it points to and
+    takes over what that one knows and where it points, so the way doubles: rounds grow with the
+    logarithm of the depth, and after more steps than there are categories only circles still
+    point somewhere.  The categories are as many in every round, so none of the rounds sends them
+    through the driver: a broadcast of each would add up.
     """
     tree = categories.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("parent_id").alias("parent_id"))
     known = tree.select(F.col("id").alias("parent_id"), F.lit(True).alias("_is"))
     has = marked.select(F.col("category_id").alias("id"), F.lit(True).alias("_has")).where("id is not null").distinct()
     state = written(
-        tree.join(known, "parent_id", "left").join(has, "id", "left").select(
+        tree.join(known.hint("merge"), "parent_id", "left").join(has.hint("merge"), "id", "left").select(
             "id",
             F.when(F.col("_is"), F.col("parent_id")).alias("jump"),
             F.when(F.col("_has"), F.col("id")).alias("nearest"),
@@ -40,11 +42,11 @@ def nearest_ancestor(categories, marked):
         there = state.select(
             F.col("id").alias("jump"), F.col("jump").alias("_further"), F.col("nearest").alias("_found")
         )
-        state = written(
-            state.join(there, "jump", "left").select(
-                "id", F.col("_further").alias("jump"), F.coalesce("nearest", "_found").alias("nearest")
-            )
+        moved = state.where(F.col("jump").isNotNull()).join(there.hint("merge"), "jump", "left").select(
+            "id", F.col("_further").alias("jump"), F.coalesce("nearest", "_found").alias("nearest")
         )
+        # Those that have arrived stay as they are; joined by their null they would be one group.
+        state = written(moved.unionByName(state.where(F.col("jump").isNull())))
     return state.select(
         F.col("id").alias("category_id"), F.col("nearest").alias("nearest_id"), F.col("jump").isNotNull().alias("in_cycle")
     )

@@ -138,6 +138,20 @@ def test_limits_along_deep_ways_and_circles(spark):
     assert limits.nearest_ancestor(tree.limit(0), limited).collect() == []
 
 
+def test_no_round_up_the_tree_broadcasts_the_categories(spark, monkeypatch):
+    plans, written = [], limits.written
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df)
+
+    monkeypatch.setattr(limits, "written", noted)
+    tree = spark.createDataFrame([(f"c{i}", f"c{i - 1}" if i else None) for i in range(40)], "id string, parent_id string")
+    limits.nearest_ancestor(tree, spark.createDataFrame([("c0",)], "category_id string")).collect()
+    assert len(plans) > 5
+    assert not [p for p in plans if "BroadcastExchange" in p]
+
+
 def test_a_limit_is_exceeded_only_above_it(spark):
     columns = "gtin string, block_index int, category_id string, basis string, serving_value double, serving_unit string, serving_description string"
     columns += ", " + ", ".join(f"{n} double" for n in NUTRIENT_IDS)
