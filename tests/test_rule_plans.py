@@ -58,3 +58,10 @@ def test_coverage_by_odd_paths(spark):
     found = quality.only(quality.row_findings(row, TODAY, "rid"), "0501").collect()
     pointers = {f.pointer for f in found}
     assert {"/name", "/brand", "/nutrition/1"} <= pointers and not pointers & {"/category", "/nutrition/0"}
+
+
+def test_records_make_only_the_fields_that_are_read_and_keep_filters_above(spark):
+    plan = plan_of(rules.records(spark, SMOKE).where("array_contains(countries, 'C1')").select("rid", "countries"))
+    assert "map_from_entries" not in plan and "format_string" not in plan
+    assert plan.index("array_contains(countries") < plan.index("monotonically_increasing_id")
+    assert rules.records(spark, SMOKE).columns == ["rid", "path", *PRODUCT_COLUMNS]
