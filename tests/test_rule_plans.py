@@ -2,8 +2,11 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from checks import rules
 from checks.bindings import TODAY
+from checks.registry import QUERIES
 from larder.operators import quality
 from larder.schemas import PRODUCT_COLUMNS
 
@@ -65,3 +68,16 @@ def test_records_make_only_the_fields_that_are_read_and_keep_filters_above(spark
     assert "map_from_entries" not in plan and "format_string" not in plan
     assert plan.index("array_contains(countries") < plan.index("monotonically_increasing_id")
     assert rules.records(spark, SMOKE).columns == ["rid", "path", *PRODUCT_COLUMNS]
+
+
+def test_rules_asked_for_are_found_and_no_others_worked_out(spark, tmp_path):
+    """Every rule alone, and pairs of a panel's and a record's, give what all rules together give of them."""
+    records = stored_records(spark, tmp_path / "r").withColumn("raw", F.to_json(F.struct("name", "brand")))
+    whole = quality.row_findings(records, TODAY, "rid", path="path", raw="raw").collect()
+    codes = sorted({f.code for f in whole})
+    assert len(codes) > 20
+    for wanted in [*([c] for c in codes), ["0401", "0103"], ["0410", "0501", "0802"]]:
+        some = quality.row_findings(records, TODAY, "rid", path="path", raw="raw", codes=wanted)
+        assert sorted(map(tuple, some.collect())) == sorted(tuple(f) for f in whole if f.code in wanted)
+    plan = plan_of(QUERIES["saturated_above_fat"](spark, SMOKE))
+    assert "0401" in plan and "0402" not in plan and "map_from_entries" not in plan and "from_json" not in plan
