@@ -62,7 +62,8 @@ def category_limits(panels, categories, limits, key="gtin"):
     """
     of = nearest_ancestor(categories, limits).where("nearest_id is not null").select("category_id", "nearest_id")
     rules = limits.withColumnRenamed("category_id", "nearest_id").withColumn("reads", F.coalesce("derived_from", "nutrient"))
-    rules = broadcast_if_small(written(of.join(rules, "nearest_id")))
+    # Every category has a row per limit here, so both joins are measured and not left to the size of files.
+    rules = broadcast_if_small(written(of.join(broadcast_if_small(rules), "nearest_id")))
     values = (
         normalised_panels(panels)
         .where(F.col("category_id").isNotNull())

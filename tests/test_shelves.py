@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from larder.operators import alternatives, conflicts, coverage, limits
+from larder.operators import alternatives, conflicts, coverage, limits, sizes
 from larder.vocab import NUTRIENT_IDS
 
 PANELS = "gtin string, category_id string, basis string, country string, " + ", ".join(f"{n} double" for n in NUTRIENT_IDS)
@@ -152,6 +152,25 @@ def test_no_round_up_the_tree_broadcasts_the_categories(spark, monkeypatch):
     assert not [p for p in plans if "BroadcastExchange" in p]
 
 
+def test_rules_beyond_the_bound_are_not_broadcast_however_small_their_files(spark, monkeypatch):
+    plans, bound = [], sizes.broadcast_if_small
+    monkeypatch.setattr(limits, "broadcast_if_small", lambda df: bound(df, 100))
+    written = limits.written
+    monkeypatch.setattr(limits, "written", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(df))
+    tree = spark.createDataFrame([(f"c{i}", f"c{i - 1}" if i else None) for i in range(40)], "id string, parent_id string")
+    rules = spark.createDataFrame(
+        [(f"c{i}", "Sweets", "sugars_g", "Sugars", "g", None, None, 10.0) for i in range(20)],
+        "category_id string, source_category string, nutrient string, display string, unit string, derived_from string, multiply_by double, above double",
+    )
+    columns = "gtin string, block_index int, category_id string, basis string, serving_value double, serving_unit string, serving_description string"
+    columns += ", " + ", ".join(f"{n} double" for n in NUTRIENT_IDS)
+    row = lambda i: (str(i), 0, f"c{i}", "per_100g", None, None, None, *[11.0 if n == "sugars_g" else None for n in NUTRIENT_IDS])
+    found = limits.category_limits(spark.createDataFrame([row(i) for i in range(50)], columns), tree, rules)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert {(r.gtin, r.limit_category) for r in found.collect()} == {(str(i), f"c{min(i, 19)}") for i in range(40)}
+    assert not [p for p in plans if "BroadcastExchange" in p]
+
+
 def test_a_limit_is_exceeded_only_above_it(spark):
     columns = "gtin string, block_index int, category_id string, basis string, serving_value double, serving_unit string, serving_description string"
     columns += ", " + ", ".join(f"{n} double" for n in NUTRIENT_IDS)
