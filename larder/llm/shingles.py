@@ -1,18 +1,22 @@
 """Near copies by their shingles: an exact set-similarity join, for the pipeline's stage.
 
 A text is a set of five-word shingles, and two texts with a Jaccard of 0.8 or more are linked.
-Shingles have one order for all texts, those common in a sample last.  Similar sets then share
-at least `least_shared` shingles among the first `prefix_size` of each, and their sizes differ
-by a fifth at most; every pair that passes is verified on the whole sets.  (Fingerprints
+Shingles have one order for all texts, the frequent ones last.  Similar sets then share
+at least `least_shared` shingles among the first `prefix_size` of each, their sizes differ
+by a fifth at most, and so many of their sketches' bits are equal that the sets can be similar;
+every pair that passes is verified on the whole sets.  (Fingerprints
 cannot promise this: pairs with a Jaccard of 0.8 are up to a dozen and more of 64 bits apart,
 and within such a radius a metric tree hardly prunes.)
 
-Equal sets are one class and never become pairs.  Rounds of leaders first link each class with
-the one leader it shares most with, if that is enough; that joins nearly all of a dense group.  Then every two
+Equal sets are one class and never become pairs.  Rounds of leaders, a few drawn anew for each
+shingle, first link each class with the leader it shares most with, if that is enough; that joins
+nearly all of a dense group.  Then every two
 classes that pass the filters and are not yet connected are compared, so no link that would
 join two components is lost and dense groups are not expanded into all pairs.
 """
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,12 +30,16 @@ SIZE = 5
 # Similar: at least 4 of 5 shingles of the union are shared.
 SHARED, OF = 4, 5
 LEADER_ROUNDS = 2
-SAMPLE_ROWS = 4096
-COMMON = 8
-MOST_COMMON = 200_000
+# So many leaders for each shingle and round.
+LEADERS = 4
+# Longs of a sketch; it tells sets of up to about 64 * SKETCH / 4 shingles apart.
+SKETCH = 8
+BUCKETS = 1 << 22
+PART = 1 << 12
+PART_ROWS = 64
 MEMO = 100_000
 TEXT_ROWS = 1024
-PAIR_ROWS = 512
+PAIR_ROWS = 128
 LEADER_SHINGLES = 1 << 20
 FACTORS = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64
@@ -48,8 +56,8 @@ class Words(dict):
         return found
 
 
-def shingle_set(text, memo):
-    """Sorted distinct 64-bit hashes of a text's shingles.
+def shingle_hashes(text, memo):
+    """64-bit hashes of a text's shingles, repeats included.
 
     Words as for fingerprints: lower-cased in A-Z, cut at ASCII white space.  Fewer than five
     are one shingle of all; a text without words has none.
@@ -66,7 +74,21 @@ def shingle_set(text, memo):
     for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
         h ^= h >> np.uint64(shift)
         h *= np.uint64(factor)
-    return np.unique(h ^ (h >> np.uint64(33)))
+    return h ^ (h >> np.uint64(33))
+
+
+def shingle_set(text, memo):
+    """Sorted distinct hashes of a text's shingles."""
+    return np.unique(shingle_hashes(text, memo))
+
+
+def sketch_of(own):
+    """SKETCH longs: bit j says whether an odd number of the set's hashes fall on it.
+
+    Sketches of two sets differ in no more bits than there are shingles in one set alone.
+    """
+    odd = np.bincount((own % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def least_shared(n):
@@ -79,50 +101,65 @@ def prefix_size(n):
     return n - (SHARED * n + OF - 1) // OF + least_shared(n)
 
 
-def common_shingles(docs):
-    """Hashes (sorted) of shingles common in a sample of documents, and how often they occur.
+def rarity(docs):
+    """How often shingles of each hash bucket occur in all documents, as one array of fixed size.
 
     Any order of shingles gives exact results; this one keeps frequent passages out of prefixes.
+    Each task adds up what it has read, and the sums are added part by part of the array.
     """
-    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    count = docs.count()
-    if not count:
-        return none
 
-    def run(batches):
-        memo = Words()
+    def count(batches):
+        memo, counts = Words(), np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, memo).view(np.int64))], ["shingle"])
+                np.add.at(counts, (shingle_hashes(text, memo) % np.uint64(BUCKETS)).astype(np.int64), 1)
+        for first in range(0, BUCKETS, PART):
+            own = counts[first : first + PART]
+            if own.any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([first // PART], pa.int32()), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())],
+                    ["part", "counts"],
+                )
+
+    def add(batches):
+        sums = {}
+        for batch in batches:
+            for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist()):
+                own = np.frombuffer(zlib.decompress(counts), np.int64)
+                sums[part] = sums[part] + own if part in sums else own
+        for part, own in sums.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["part", "counts"]
+            )
 
-    part = docs.select("text").sample(min(1.0, SAMPLE_ROWS / count), 7)
-    often = part.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
-    found = often.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).toArrow()
-    hashes = found.column("shingle").to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], found.column("n").to_numpy()[order]
+    spark, kind = docs.sparkSession, "part int, counts binary"
+    with small_batches(spark, TEXT_ROWS):
+        parts = stored(docs.select("text").mapInArrow(count, kind), "counts")
+    with small_batches(spark, PART_ROWS):
+        sums = parts.repartition("part").mapInArrow(add, kind).toArrow()
+    out = np.zeros(BUCKETS, np.int64)
+    for part, counts in zip(sums.column("part").to_pylist(), sums.column("counts").to_pylist()):
+        out[part * PART : (part + 1) * PART] = np.frombuffer(counts, np.int64)
+    return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
 
 
-def prefixes(docs, common):
-    """doc_id, text_hash, n (shingles), key (of the set) and prefix of each row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
+def prefixes(docs, counts):
+    """doc_id, text_hash, n (shingles), key and sketch (of the set) and prefix of each row of docs."""
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def prefix(own):
-        hashes, counts = shared.value
-        if not len(own) or not len(hashes):
-            return own[: prefix_size(len(own))]
-        at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
-        often = np.where(hashes[at] == own, counts[at], 0)
+        often = shared.value[(own % np.uint64(BUCKETS)).astype(np.int64)]
         return own[np.argsort(often, kind="stable")[: prefix_size(len(own))]]
 
     def run(batches):
         memo = Words()
         for batch in batches:
-            sizes, keys, firsts = [], [], []
+            sizes, keys, sketches, firsts = [], [], [], []
             for text in batch.column("text").to_pylist():
                 own = shingle_set(text, memo)
                 sizes.append(len(own))
                 keys.append(xxhash.xxh3_128_digest(own.tobytes()))
+                sketches.append(sketch_of(own))
                 firsts.append(prefix(own).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -130,13 +167,14 @@ def prefixes(docs, common):
                     batch.column("text_hash"),
                     pa.array(sizes, pa.int32()),
                     pa.array(keys, pa.binary()),
+                    pa.array(sketches, pa.list_(pa.int64())),
                     pa.array(firsts, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "text_hash", "n", "key", "prefix"],
+                ["doc_id", "text_hash", "n", "key", "sketch", "prefix"],
             )
 
     return _keyed(docs).mapInArrow(
-        run, "doc_id long, text_hash long, n int, key binary, prefix array<long>"
+        run, "doc_id long, text_hash long, n int, key binary, sketch array<long>, prefix array<long>"
     )
 
 
@@ -190,11 +228,22 @@ def _fits(n, other):
     return F.least(n, other) * OF >= F.greatest(n, other) * SHARED
 
 
+def _near():
+    """Whether sets of n and o_n shingles can be similar by their sketches, s0... and o_s0...
+
+    Similar sets differ in no more than (OF - SHARED) / (OF + SHARED) of n + o_n shingles.
+    """
+    differ = sum(F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"o_s{i}"))) for i in range(SKETCH))
+    return differ * (OF + SHARED) <= (F.col("n") + F.col("o_n")) * (OF - SHARED)
+
+
 def similar_roots(docs, classes):
     """id, root of the classes that are linked to others; root is the smallest id reached.
 
-    classes: id, doc_id and text_hash of one of its rows, n, prefix.
+    classes: id, doc_id and text_hash of one of its rows, n, sketch, prefix.
     """
+    bits = [f"s{i}" for i in range(SKETCH)]
+    sketches = classes.select("id", *[F.col("sketch")[i].alias(s) for i, s in enumerate(bits)])
     rows = classes.select("id", "n", F.explode("prefix").alias("shingle"))
     held = rows.groupBy("shingle").agg(F.count("*").alias("_held")).where("_held > 1").select("shingle")
     rows = stored(rows.join(held, "shingle").select("id", "n", "shingle"), "rows")
@@ -206,20 +255,22 @@ def similar_roots(docs, classes):
             rooted = rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
             mixed = rooted.groupBy("shingle").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"))
             rooted = rooted.join(mixed.where("_lo < _hi").select("shingle"), "shingle", "left_semi")
-        own = rooted.select(F.col("id").alias("b"), F.col("n"), "shingle", F.col("root"))
+        rooted = rooted.join(sketches, "id")
+        own = rooted.select(F.col("id").alias("b"), "n", "shingle", "root", *bits)
         if number < LEADER_ROUNDS:
-            others = rooted.groupBy("shingle").agg(F.min(F.struct("root", "id", "n")).alias("o")).select(
-                F.col("shingle").alias("o_shingle"), F.col("o.root").alias("o_root"),
-                F.col("o.id").alias("a"), F.col("o.n").alias("o_n"),
-            )
+            # Drawn anew in each round: a leader that is similar to few is not asked again.
+            draw = F.xxhash64("id", F.lit(number))
+            first = F.min(F.struct(draw.alias("draw"), "root", "id", "n", *bits))
+            heads = rooted.groupBy("shingle", F.pmod(draw, F.lit(LEADERS)).alias("seat")).agg(first.alias("o"))
+            others, apart = heads.select("shingle", "o.*"), F.col("o_root") != F.col("root")
         else:
-            others = rooted.select(
-                F.col("shingle").alias("o_shingle"), F.col("root").alias("o_root"),
-                F.col("id").alias("a"), F.col("n").alias("o_n"),
-            )
+            others, apart = rooted, F.col("o_root") < F.col("root")
+        others = others.select(
+            F.col("shingle").alias("o_shingle"), F.col("root").alias("o_root"), F.col("id").alias("a"),
+            F.col("n").alias("o_n"), *[F.col(s).alias(f"o_{s}") for s in bits],
+        )
         met = own.join(
-            others,
-            (own["shingle"] == others["o_shingle"]) & (F.col("o_root") < F.col("root")) & _fits(F.col("n"), F.col("o_n")),
+            others, (own["shingle"] == others["o_shingle"]) & apart & _fits(F.col("n"), F.col("o_n")) & _near()
         )
         counted = met.groupBy("a", "b").agg(F.count("*").alias("_met"), F.min(F.least("n", "o_n")).alias("_n"))
         counted = counted.where(F.col("_met") >= 1 + F.floor(F.col("_n") / 20))
@@ -237,10 +288,10 @@ def similar_roots(docs, classes):
 
 def similar_documents(docs):
     """Per row of docs: doc_id, text_hash, component (rows that links reach have the same)."""
-    common = common_shingles(docs)
+    counts = rarity(docs)
     with small_batches(docs.sparkSession, TEXT_ROWS):
-        rows = stored(prefixes(docs, common), "prefixes")
-    first = F.min(F.struct("doc_id", "text_hash", "n", "prefix")).alias("first")
+        rows = stored(prefixes(docs, counts), "prefixes")
+    first = F.min(F.struct("doc_id", "text_hash", "n", "sketch", "prefix")).alias("first")
     classes = rows.groupBy("key").agg(first).select("key", "first.*")
     classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     roots = similar_roots(docs, classes)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -86,3 +87,31 @@ def test_odd_rows(clashing, empty):
     assert [r.text for r in rows if r.doc_id is None] == ["five six\nseven eight nine ten"]
     assert shingles.first_of_each(empty).collect() == []
     assert shingles.similar_documents(clashing.where(F.col("doc_id") == 8)).count() == 1
+
+
+def test_dense_group_without_links_is_not_paired(spark, monkeypatch):
+    """Copies of one text with three words changed in each: every two share much, none enough."""
+    draw = random.Random(3)
+    texts = {}
+    for i in range(150):
+        words = [f"w{j}" for j in range(150)]
+        for j in (10, 40, 70, 100, 130):
+            words[j + draw.randrange(20)] = f"new{i}_{j}"
+        texts[i] = " ".join(words)
+    texts[150] = " ".join(["other"] + texts[149].split()[1:])
+    asked, verified = [], shingles.verified
+    monkeypatch.setattr(shingles, "verified", lambda d, c, pairs: asked.append(pairs.count()) or verified(d, c, pairs))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = [r.doc_id for r in shingles.first_of_each(docs).collect()]
+    assert sorted(kept) == sorted(set(slow_groups(texts).values()))
+    assert sum(asked) <= 10 * len(texts)
+
+
+def test_sketches_differ_no_more_than_sets():
+    draw = np.random.default_rng(1)
+    for n in (0, 1, 5, 60, 700, 3000):
+        both = draw.integers(0, 2**63, n).astype(np.uint64)
+        for extra in (0, 1, n // 9, n):
+            x, y = (np.unique(np.r_[both, draw.integers(0, 2**63, extra).astype(np.uint64)]) for _ in range(2))
+            bits = int(np.bitwise_count((shingles.sketch_of(x) ^ shingles.sketch_of(y)).view(np.uint64)).sum())
+            assert bits <= len(np.setxor1d(x, y))
