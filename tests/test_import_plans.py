@@ -1,7 +1,13 @@
 """How often the import reports map the lines."""
 
+import re
+
+from pyspark.sql import functions as F
+
 from checks import imports
+from checks.registry import QUERIES
 from larder.plans import importing
+from larder.sources.export import decode_lines
 
 SMOKE = "/root/testdata/sf0.001"
 
@@ -17,3 +23,17 @@ def test_a_report_maps_each_import_once(spark, monkeypatch):
 def test_a_manifest_reads_written_products(spark):
     plan = imports.manifest(spark, SMOKE)._jdf.queryExecution().executedPlan().toString()
     assert "from_json" not in plan
+
+
+def test_a_filter_on_fields_does_not_decode_the_lines_again(spark):
+    plan = QUERIES["region_filter"](spark, SMOKE)._jdf.queryExecution().optimizedPlan().toString()
+    filters = re.findall(r"Filter \((.*?)(?:Project \[|Generate )", plan, re.S)
+    assert any("en:india" in condition for condition in filters)
+    assert not any("from_json" in condition for condition in filters)
+
+
+def test_fields_that_nobody_reads_are_not_made(spark):
+    lines = spark.createDataFrame([('{"code":"1","brands":"x"}', 0), ('{"code":"2"', 1)], "value string, ord long")
+    found = decode_lines(lines).where(F.col("code").startswith("1") | F.col("malformed")).select("ord", "code")
+    assert sorted(map(tuple, found.collect())) == [(0, "1"), (1, None)]
+    assert "AS brands" not in found._jdf.queryExecution().optimizedPlan().toString()
