@@ -81,3 +81,15 @@ def test_rules_asked_for_are_found_and_no_others_worked_out(spark, tmp_path):
         assert sorted(map(tuple, some.collect())) == sorted(tuple(f) for f in whole if f.code in wanted)
     plan = plan_of(QUERIES["saturated_above_fat"](spark, SMOKE))
     assert "0401" in plan and "0402" not in plan and "map_from_entries" not in plan and "from_json" not in plan
+
+
+def test_lambdas_look_at_columns_that_are_worked_out_once(spark):
+    """Parsing the record inside the lambda over its entries would parse it once an entry."""
+    plan = QUERIES["stale_paths"](spark, SMOKE)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"parse_?json", plan.lower())) == 1
+    assert re.search(r"AS _document#\d+", plan)
+
+
+def test_the_flag_of_broken_rules_is_not_worked_out_in_a_lambda(spark):
+    plan = QUERIES["prune_broken"](spark, SMOKE)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"exists\(_found#\d+", plan)
