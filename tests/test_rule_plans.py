@@ -93,3 +93,16 @@ def test_lambdas_look_at_columns_that_are_worked_out_once(spark):
 def test_the_flag_of_broken_rules_is_not_worked_out_in_a_lambda(spark):
     plan = QUERIES["prune_broken"](spark, SMOKE)._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"exists\(_found#\d+", plan)
+
+
+def test_the_flag_looks_at_all_rules_of_severity_error_and_no_other(spark, tmp_path):
+    records = stored_records(spark, tmp_path / "r")
+    found = quality.row_findings(records, TODAY, "rid", path="path", raw=None)
+    severities = {(r.code, r.severity) for r in found.select("code", "severity").distinct().collect()}
+    assert {c for c, s in severities if s == "error"} <= quality.ERROR_CODES
+    assert not {c for c, s in severities if s != "error"} & quality.ERROR_CODES
+    broken = quality.row_findings(records, TODAY, "rid").where("severity = 'error'")
+    kept = records.join(broken.select("rid").distinct(), "rid", "left_anti").select("rid").collect()
+    flagged = quality.with_row_error(records, TODAY, "flag")
+    assert {r.rid for r in flagged.where("not flag").select("rid").collect()} == {r.rid for r in kept}
+    assert "0802" not in plan_of(flagged)
